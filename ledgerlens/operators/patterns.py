@@ -194,7 +194,8 @@ def recurring_forgotten(df: DataFrame, keys: Keys = (), min_months: int = 2) ->
     if "category" not in df.columns:
         return df.limit(0).select(*keys, F.lit("RECURRING_FORGOTTEN").alias("type"))
     e = df.where(_exp & ~F.col("category").eqNullSafe(SUBSCRIPTIONS))
-    months = e.groupBy(*keys, "description", "amount", month_label(F.col("date")).alias("_ll_month")).agg()
+    months = e.groupBy(*keys, "description", "amount", month_label(F.col("date")).alias("_ll_month")).agg(
+        F.count(F.lit(1)).alias("_ll_c"))
     g = months.groupBy(*keys, "description", "amount").agg(F.count(F.lit(1)).alias("months_seen"))
     return (g.where(F.col("months_seen") >= min_months)
             .select(*keys, F.lit("RECURRING_FORGOTTEN").alias("type"),
