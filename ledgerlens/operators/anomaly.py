@@ -78,7 +78,7 @@ def minmax_normalise(scored: DataFrame, keys: Keys = (), col: str = "raw_score")
 
 
 def _reason(amount_abs, merchant, median, weekend):
-    ratio = amount_abs / median
+    ratio = F.try_divide(amount_abs, median)
     return (F.when(amount_abs > median * 5,
                    F.format_string("$%.2f at %s is %.1fx the median transaction", amount_abs, merchant,
                                    F.round(ratio.cast("decimal(38,10)"), 1).cast("double")))

@@ -30,7 +30,7 @@ def category_drift(cur: DataFrame, prev: DataFrame, keys: Keys = (), threshold:
     j = c.join(p, [*keys, "category"], "full_outer")
     cv = F.coalesce("_ll_c", F.lit(0.0))
     pv = F.coalesce("_ll_p", F.lit(0.0))
-    change = (cv - pv) / F.abs(pv)
+    change = F.try_divide(cv - pv, F.abs(pv))
     pct = round_half_up(change * 100.0, 1)
     j = (j.withColumn("current", round_half_up(cv, 2)).withColumn("previous", round_half_up(pv, 2))
           .withColumn("change_pct", F.when(pv != 0, pct))
@@ -84,7 +84,7 @@ def spending_velocity(df: DataFrame, keys: Keys = ()) -> DataFrame:
         F.coalesce(F.sum(F.when(first, absamt)), F.lit(0).cast(MONEY)).cast("double").alias("first_half"),
         F.coalesce(F.sum(F.when(~first, absamt)), F.lit(0).cast(MONEY)).cast("double").alias("second_half"),
     )
-    ratio = F.when(F.col("first_half") > 0, F.col("second_half") / F.col("first_half")).otherwise(F.lit(1.0))
+    ratio = F.when(F.col("first_half") > 0, F.try_divide(F.col("second_half"), F.col("first_half"))).otherwise(F.lit(1.0))
     trend = (F.when(F.col("second_half") == 0, F.lit("stable"))
              .when(ratio > 1.25, F.lit("accelerating"))
              .when(ratio < 0.75, F.lit("decelerating"))

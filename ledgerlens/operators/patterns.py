@@ -42,7 +42,7 @@ def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
         F.coalesce(F.sum(F.when(late, F.abs("amount").cast(MONEY))), F.lit(0).cast(MONEY))
         .cast("double").alias("late_night_total"),
     )
-    pct = F.col("late_night_transaction_count") / F.col("total_food_transactions")
+    pct = F.try_divide(F.col("late_night_transaction_count"), F.col("total_food_transactions"))
     return (g.where(F.col("_ll_hours") & (F.col("total_food_transactions") > 0) & (pct >= 0.15))
             .select(*keys, F.lit("LATE_NIGHT_SPENDING").alias("type"),
                     F.concat(_pct0(pct), F.lit(" of food spend happens after 10 PM")).alias("headline"),
@@ -80,11 +80,11 @@ def weekend_splurge(df: DataFrame, keys: Keys = (), threshold: float = 1.3) -> D
         F.sum(F.when(~wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ds"),
         F.count_if(~wk).alias("_ll_dn"),
     )
-    wavg = F.col("_ll_ws") / F.col("_ll_wn")
-    davg = F.col("_ll_ds") / F.col("_ll_dn")
+    wavg = F.try_divide(F.col("_ll_ws"), F.col("_ll_wn"))
+    davg = F.try_divide(F.col("_ll_ds"), F.col("_ll_dn"))
     g = (g.where((F.col("_ll_wn") > 0) & (F.col("_ll_dn") > 0))
          .withColumn("_ll_wavg", wavg).withColumn("_ll_davg", davg)
-         .withColumn("_ll_ratio", F.when(F.col("_ll_davg") > 0, F.col("_ll_wavg") / F.col("_ll_davg"))
+         .withColumn("_ll_ratio", F.when(F.col("_ll_davg") > 0, F.try_divide(F.col("_ll_wavg"), F.col("_ll_davg")))
                      .otherwise(F.lit(1.0))))
     r = F.col("_ll_ratio")
     return (g.where(r >= threshold)
@@ -106,7 +106,7 @@ def merchant_dominance(df: DataFrame, keys: Keys = (), share: float = 0.25) -> D
     w = Window.partitionBy(*keys, "category")
     m = (m.withColumn("_ll_cat", F.abs(F.sum("_ll_m").over(w)).cast("double"))
           .withColumn("amount", F.abs("_ll_m").cast("double")))
-    pct = F.col("amount") / F.col("_ll_cat")
+    pct = F.try_divide(F.col("amount"), F.col("_ll_cat"))
     return (m.where((F.col("_ll_cat") != 0) & (pct > share))
             .select(*keys, F.lit("SINGLE_MERCHANT_DOMINANCE").alias("type"),
                     F.concat(F.col("description"), F.lit(" is "), _pct0(pct), F.lit(" of your "),
@@ -129,18 +129,18 @@ def anomalous_week(df: DataFrame, keys: Keys = (), factor: float = 1.5) -> DataF
         F.abs(F.sum("_ll_w")).cast("double").alias("_ll_tot"),
         best.alias("_ll_best"),
     )
-    avg = F.col("_ll_tot") / F.col("_ll_n")
+    avg = F.try_divide(F.col("_ll_tot"), F.col("_ll_n"))
     mx = F.col("_ll_best.v")
     g = g.withColumn("_ll_avg", avg)
     return (g.where((F.col("_ll_n") >= 2) & ~(mx < F.col("_ll_avg") * factor))
             .select(*keys, F.lit("ANOMALOUS_WEEK").alias("type"),
                     F.concat(F.lit("Week of "), F.col("_ll_best.w"), F.lit(" was "),
-                             _f("%.1f", mx / F.col("_ll_avg"), 1), F.lit("x your typical week")).alias("headline"),
+                             _f("%.1f", F.try_divide(mx, F.col("_ll_avg")), 1), F.lit("x your typical week")).alias("headline"),
                     F.lit("warning").alias("severity"),
                     F.col("_ll_best.w").alias("anomalous_week"),
                     round_half_up(mx, 2).alias("week_total"),
                     round_half_up(F.col("_ll_avg"), 2).alias("weekly_average"),
-                    round_half_up(mx / F.col("_ll_avg"), 2).alias("multiplier")))
+                    round_half_up(F.try_divide(mx, F.col("_ll_avg")), 2).alias("multiplier")))
 
 
 def income_gaps(df: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -166,8 +166,8 @@ def income_irregularity(df: DataFrame, keys: Keys = (), min_deposits: int = 3,
     )
     m, s1, s2 = F.col("_ll_m"), F.col("_ll_s1"), F.col("_ll_s2")
     num = m * s2 - s1 * s1                       # exact: (m-1)·m·var
-    std = F.sqrt(num.cast("double") / (m * (m - 1)).cast("double"))
-    avg = s1.cast("double") / m
+    std = F.sqrt(F.try_divide(num.cast("double"), (m * (m - 1)).cast("double")))
+    avg = F.try_divide(s1.cast("double"), m)
     return (g.where((F.col("income_events") >= min_deposits) & (m >= 2)
                     & (num >= F.lit(min_std_days * min_std_days) * m * (m - 1)))
             .select(*keys, F.lit("INCOME_IRREGULARITY").alias("type"),
