@@ -12,7 +12,9 @@ from ledgerlens.functions.rules import FOOD_DINING, SEVERITY_ORDER, SUBSCRIPTION
 from ledgerlens.operators.common import Keys, expenses, prev_in_order
 from ledgerlens.functions.dates import MICROS_PER_DAY, micros
 
-_exp = F.col("amount") < 0
+def _is_exp():
+    return F.col("amount") < 0
+
 
 
 def _abs_sum(c):
@@ -33,7 +35,7 @@ def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
     provided the ledger has more than one distinct hour (time of day known)."""
     if not {"hour", "category"} <= set(df.columns):
         return _empty_late(df, keys)
-    food = (F.col("category") == FOOD_DINING) & _exp
+    food = (F.col("category") == FOOD_DINING) & _is_exp()
     late = food & ((F.col("hour") >= 22) | (F.col("hour") < 4))
     g = df.groupBy(*keys).agg(
         (F.min("hour") != F.max("hour")).alias("_ll_hours"),
@@ -57,7 +59,7 @@ def _empty_late(df, keys):
 
 def subscription_creep(df: DataFrame, keys: Keys = (), max_subscriptions: int = 5) -> DataFrame:
     """More than ``max_subscriptions`` distinct subscription merchants."""
-    subs = df.where(_exp & (F.col("category") == SUBSCRIPTIONS))
+    subs = df.where(_is_exp() & (F.col("category") == SUBSCRIPTIONS))
     g = subs.groupBy(*keys).agg(
         F.sort_array(F.collect_set("description")).alias("subscriptions"),
         _abs_sum(F.col("amount")).alias("total_spend"),
@@ -193,7 +195,7 @@ def recurring_forgotten(df: DataFrame, keys: Keys = (), min_months: int = 2) ->
     a distinct-count: (group, month) first, then count months per group."""
     if "category" not in df.columns:
         return df.limit(0).select(*keys, F.lit("RECURRING_FORGOTTEN").alias("type"))
-    e = df.where(_exp & ~F.col("category").eqNullSafe(SUBSCRIPTIONS))
+    e = df.where(_is_exp() & ~F.col("category").eqNullSafe(SUBSCRIPTIONS))
     months = e.groupBy(*keys, "description", "amount", month_label(F.col("date")).alias("_ll_month")).agg(
         F.count(F.lit(1)).alias("_ll_c"))
     g = months.groupBy(*keys, "description", "amount").agg(F.count(F.lit(1)).alias("months_seen"))

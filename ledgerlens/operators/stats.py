@@ -10,8 +10,12 @@ from ledgerlens.functions.money import MONEY
 from ledgerlens.functions.rules import SUBSCRIPTIONS
 from ledgerlens.operators.common import Keys, expenses, join_on_keys, top_k
 
-_exp = F.col("amount") < 0
-_inc = F.col("amount") > 0
+def _is_exp():
+    return F.col("amount") < 0
+
+def _is_inc():
+    return F.col("amount") > 0
+
 
 
 def _dec(c):
@@ -20,15 +24,15 @@ def _dec(c):
 
 def totals(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """total_spent (negative), total_income, net and row counts per key."""
-    spent = F.coalesce(F.sum(F.when(_exp, _dec(F.col("amount")))), F.lit(0).cast(MONEY))
-    earned = F.coalesce(F.sum(F.when(_inc, _dec(F.col("amount")))), F.lit(0).cast(MONEY))
+    spent = F.coalesce(F.sum(F.when(_is_exp(), _dec(F.col("amount")))), F.lit(0).cast(MONEY))
+    earned = F.coalesce(F.sum(F.when(_is_inc(), _dec(F.col("amount")))), F.lit(0).cast(MONEY))
     return df.groupBy(*keys).agg(
         spent.cast("double").alias("total_spent"),
         earned.cast("double").alias("total_income"),
         (spent + earned).cast("double").alias("net"),
         F.count(F.lit(1)).alias("transaction_count"),
-        F.count_if(_exp).alias("expense_count"),
-        F.count_if(_inc).alias("income_count"),
+        F.count_if(_is_exp()).alias("expense_count"),
+        F.count_if(_is_inc()).alias("income_count"),
     )
 
 
@@ -62,7 +66,7 @@ def top_merchants(df: DataFrame, keys: Keys = (), n: int = 20) -> DataFrame:
 
 
 def subscription_total(df: DataFrame, keys: Keys = ()) -> DataFrame:
-    cond = _exp & (F.col("category") == SUBSCRIPTIONS)
+    cond = _is_exp() & (F.col("category") == SUBSCRIPTIONS)
     return df.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(cond, _dec(F.abs("amount")))), F.lit(0).cast(MONEY))
         .cast("double").alias("subscription_total"))
@@ -93,19 +97,19 @@ def compute_stats(df: DataFrame, keys: Keys = ()) -> DataFrame:
     aggregate over the ledger; the most frequent merchant needs a merchant
     aggregate first.  Both results are one row per key and are joined.
     """
-    spent = F.coalesce(F.sum(F.when(_exp, _dec(F.col("amount")))), F.lit(0).cast(MONEY))
-    earned = F.coalesce(F.sum(F.when(_inc, _dec(F.col("amount")))), F.lit(0).cast(MONEY))
-    sub = F.coalesce(F.sum(F.when(_exp & (F.col("category") == SUBSCRIPTIONS), _dec(F.abs("amount")))),
+    spent = F.coalesce(F.sum(F.when(_is_exp(), _dec(F.col("amount")))), F.lit(0).cast(MONEY))
+    earned = F.coalesce(F.sum(F.when(_is_inc(), _dec(F.col("amount")))), F.lit(0).cast(MONEY))
+    sub = F.coalesce(F.sum(F.when(_is_exp() & (F.col("category") == SUBSCRIPTIONS), _dec(F.abs("amount")))),
                      F.lit(0).cast(MONEY))
-    largest = F.min_by(F.when(_exp, F.struct("description", "amount", "date")),
-                       F.when(_exp, F.struct("amount", "date", "transaction_id")))
+    largest = F.min_by(F.when(_is_exp(), F.struct("description", "amount", "date")),
+                       F.when(_is_exp(), F.struct("amount", "date", "transaction_id")))
     scal = df.groupBy(*keys).agg(
         spent.cast("double").alias("total_spent"),
         earned.cast("double").alias("total_income"),
         (spent + earned).cast("double").alias("net"),
         F.count(F.lit(1)).alias("transaction_count"),
-        F.count_if(_exp).alias("expense_count"),
-        F.count_if(_inc).alias("income_count"),
+        F.count_if(_is_exp()).alias("expense_count"),
+        F.count_if(_is_inc()).alias("income_count"),
         sub.cast("double").alias("subscription_total"),
         largest.alias("_ll_l"),
     ).select(*keys, "total_spent", "total_income", "net", "transaction_count", "expense_count",

@@ -16,6 +16,7 @@ from ledgerlens.operators.clean import dedup_exact, dedup_near, merchant_dimensi
 from ledgerlens.operators.categorize import categorize_keywords
 from ledgerlens.plans import analyze as an
 from ledgerlens.plans import oracle as o
+from ledgerlens.plans.materialize import materialize
 from ledgerlens.sources.ledgers import ledger_events, ledger_orders, table
 
 KEYS = ["account_id"]
@@ -42,15 +43,16 @@ def _orders(spark, d):
     return ledger_orders(spark, d)
 
 
-_ENRICHED = {}
+def enriched_events(spark, d, window=2, once=False):
+    """Enriched events ledger.  ``once=True`` when several facets of one query
+    read it: it is then written once instead of recomputed per facet."""
+    e = an.enrich(_events(spark, d), KEYS, window)
+    return materialize(e, "enriched-events") if once else e
 
 
-def enriched_events(spark, d, window=2):
-    return an.enrich(_events(spark, d), KEYS, window)
-
-
-def enriched_orders(spark, d, window=2):
-    return an.enrich(_orders(spark, d), KEYS, window)
+def enriched_orders(spark, d, window=2, once=False):
+    e = an.enrich(_orders(spark, d), KEYS, window)
+    return materialize(e, "enriched-orders") if once else e
 
 
 E = o.enriched_cte("events", 2, "e")
@@ -62,7 +64,8 @@ EO = o.enriched_cte("orders", 2, "e")
 # ---------------------------------------------------------------------------
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return st.by_category(enriched_events(spark, d), KEYS)
+    # Single consumer: stays one lazy plan (nothing written).
+    return st.by_category(an.enrich(_events(spark, d), KEYS, 2), KEYS)
 
 
 FLAGSHIP_SQL = f"""WITH {E}
@@ -220,7 +223,7 @@ s AS (SELECT account_id, {_TOTALS},
   AS DOUBLE) AS subscription_total FROM e GROUP BY account_id)
 SELECT s.*, l.largest_description, l.largest_amount, l.largest_date, f.most_frequent_merchant, f.most_frequent_count
 FROM s LEFT JOIN l USING (account_id) LEFT JOIN f USING (account_id)""")(
-    lambda spark, d: st.compute_stats(enriched_events(spark, d), KEYS))
+    lambda spark, d: st.compute_stats(enriched_events(spark, d, once=True), KEYS))
 
 register("spend_share", f"""WITH {E},
 c AS (SELECT account_id, category, CAST(SUM(CAST(abs(amount) AS DECIMAL(18,2))) AS DOUBLE) AS total, COUNT(*) AS count

@@ -51,7 +51,7 @@ scored AS (SELECT *, CASE WHEN is_anomaly AND rnk <= 3 AND amount < 0 THEN
 
 
 def _feat_q(spark, d):
-    return an.anomaly_features(enriched_events(spark, d), KEYS).select(
+    return an.anomaly_features(enriched_events(spark, d, once=True), KEYS).select(
         "account_id", "transaction_id", "amount_abs", "dow", "hour", "category_encoded", "days_since_prev")
 
 
@@ -59,7 +59,7 @@ register("anomaly_features", f"WITH {EV}, {_FEAT} SELECT * FROM f")(_feat_q)
 
 
 def _z_q(spark, d):
-    f = an.anomaly_features(enriched_events(spark, d), KEYS)
+    f = an.anomaly_features(enriched_events(spark, d, once=True), KEYS)
     return an.zscore_scores(f, KEYS).select("account_id", "transaction_id", "amount_abs", "raw_score")
 
 
@@ -67,7 +67,7 @@ register("anomaly_zscore", f"WITH {EV}, {_FEAT}, {_Z} SELECT account_id, transac
 
 
 def _flags_q(spark, d):
-    s = an.score_anomalies(enriched_events(spark, d), KEYS, method="zscore")
+    s = an.score_anomalies(enriched_events(spark, d, once=True), KEYS, method="zscore")
     return s.select("account_id", "transaction_id", "anomaly_score", "is_anomaly", "anomaly_reason")
 
 
@@ -76,7 +76,7 @@ SELECT account_id, transaction_id, anomaly_score, is_anomaly, anomaly_reason FRO
 
 
 def _extract_q(spark, d):
-    s = an.score_anomalies(enriched_events(spark, d), KEYS, method="zscore")
+    s = an.score_anomalies(enriched_events(spark, d, once=True), KEYS, method="zscore")
     return an.extract_anomalies(s, KEYS, limit=5)
 
 
@@ -97,7 +97,7 @@ PREV = f"date < TIMESTAMP '{SPLIT}'"
 
 
 def _periods(spark, d):
-    e = enriched_orders(spark, d)
+    e = enriched_orders(spark, d, once=True)
     cut = F.to_timestamp(F.lit(SPLIT))
     return e.where(F.col("date") >= cut), e.where(F.col("date") < cut)
 

@@ -125,7 +125,7 @@ register("merchant_dominance", f"WITH {EV} {dominance_sql('e')}")(
 register("anomalous_week", f"WITH {EV}, {week_sql('e').removeprefix('WITH ')}")(
     lambda s, d: pt.anomalous_week(enriched_events(s, d), KEYS))
 register("income_irregularity", f"WITH {OR}, {income_sql('e').removeprefix('WITH ')}")(
-    lambda s, d: pt.income_irregularity(enriched_orders(s, d), KEYS))
+    lambda s, d: pt.income_irregularity(enriched_orders(s, d, once=True), KEYS))
 register("recurring_forgotten", f"WITH {OR} {recurring_sql('e')}")(
     lambda s, d: pt.recurring_forgotten(enriched_orders(s, d), KEYS))
 
@@ -150,8 +150,8 @@ def _union_sql() -> str:
 @register("detect_patterns", _union_sql())
 def q_patterns(spark, d):
     cols = ["ledger", *KEYS, "type", "headline", "severity", "detector_order", "severity_rank"]
-    ev = pt.detect_patterns(enriched_events(spark, d), KEYS).withColumn("ledger", F.lit("events"))
-    eo = pt.detect_patterns(enriched_orders(spark, d), KEYS).withColumn("ledger", F.lit("orders"))
+    ev = pt.detect_patterns(enriched_events(spark, d, once=True), KEYS).withColumn("ledger", F.lit("events"))
+    eo = pt.detect_patterns(enriched_orders(spark, d, once=True), KEYS).withColumn("ledger", F.lit("orders"))
     return ev.select(*cols).unionByName(eo.select(*cols))
 
 

@@ -18,7 +18,7 @@ OR = o.enriched_cte("orders", 2, "e")
 
 
 def _loads(spark, d):
-    e = enriched_orders(spark, d)
+    e = enriched_orders(spark, d, once=True)
     return (e.where(F.col("date") < F.to_timestamp(F.lit("1998-01-01 00:00:00"))),
             e.where(F.col("date") >= F.to_timestamp(F.lit("1997-01-01 00:00:00"))))
 
@@ -143,7 +143,7 @@ SELECT 'transactions' AS table_name, COUNT(*) AS n FROM e
 UNION ALL SELECT 'analysis_runs', COUNT(*) FROM runs
 UNION ALL SELECT 'merchants', COUNT(*) FROM mg""")
 def q_counts(spark, d):
-    return sto.table_counts({"transactions": enriched_orders(spark, d), "analysis_runs": _runs(spark, d),
+    return sto.table_counts({"transactions": enriched_orders(spark, d, once=True), "analysis_runs": _runs(spark, d),
                              "merchants": _merged(spark, d)})
 
 

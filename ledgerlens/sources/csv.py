@@ -26,9 +26,16 @@ _CHUNK = 1 << 20
 
 
 def _open(path: str):
+    """Open a file Spark listed: ``file:`` paths locally, other schemes
+    (s3, hdfs, gs, ...) through the matching Arrow filesystem."""
     import pyarrow.fs as pafs
-    fs, p = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    return fs.open_input_stream(p)
+    if path.startswith("file:"):
+        local = "/" + path[len("file:"):].lstrip("/")
+        return pafs.LocalFileSystem().open_input_stream(local)
+    if "://" in path:
+        fs, p = pafs.FileSystem.from_uri(path)
+        return fs.open_input_stream(p)
+    return pafs.LocalFileSystem().open_input_stream(path)
 
 
 def _sniff(path: str) -> tuple[str, str]:

@@ -33,27 +33,30 @@ FILE_COL = "file_path"
 
 
 def occurrence_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str] = (),
-                     out: str = "occurrence") -> DataFrame:
+                     out: str = "occurrence", buckets: int = 64) -> DataFrame:
     """0-based index of each row among rows with equal ``group_cols``.
 
-    Identical lines can be a large share of one file, so the numbering is
-    split by input partition: count per (group, input partition), prefix-sum
-    the counts per group (one row per partition, bounded), then number rows
-    locally within (group, partition).  No task ever holds a whole group.
+    Identical lines can be a large share of one file, so a group is split
+    into ``buckets`` by a hash of the whole row: count per (group, bucket),
+    prefix-sum the counts per group (at most ``buckets`` rows per group), then
+    number rows locally within (group, bucket).  The bucket is a function of
+    the row's content, so every branch of the plan and every retry sees the
+    same split whatever the partitioning.  Only rows equal in *every* column
+    share a bucket.
     """
-    part = "_ll_part"
-    d = df.withColumn(part, F.spark_partition_id())
-    counts = d.groupBy(*group_cols, part).agg(F.count(F.lit(1)).alias("_ll_n"))
+    salt = "_ll_salt"
+    d = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)))
+    counts = d.groupBy(*group_cols, salt).agg(F.count(F.lit(1)).alias("_ll_n"))
     offsets = counts.withColumn(
         "_ll_off",
-        F.sum("_ll_n").over(Window.partitionBy(*group_cols).orderBy(part)) - F.col("_ll_n"),
+        F.sum("_ll_n").over(Window.partitionBy(*group_cols).orderBy(salt)) - F.col("_ll_n"),
     ).drop("_ll_n")
-    cond = [d[c].eqNullSafe(offsets[c]) for c in [*group_cols, part]]
+    cond = [d[c].eqNullSafe(offsets[c]) for c in [*group_cols, salt]]
     joined = d.join(offsets, cond, "inner").select(d["*"], offsets["_ll_off"])
     local_order = [F.col(c) for c in order_cols] or [F.lit(1)]
-    local = Window.partitionBy(*group_cols, part).orderBy(*local_order)
+    local = Window.partitionBy(*group_cols, salt).orderBy(*local_order)
     return (joined.withColumn(out, (F.row_number().over(local) - 1 + F.col("_ll_off")).cast("long"))
-            .drop(part, "_ll_off"))
+            .drop(salt, "_ll_off"))
 
 
 def with_transaction_id(df: DataFrame, date_text: str = "date_text", raw: str = "raw_description",
