@@ -104,7 +104,10 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
         scored = zscore_scores(feats, keys)
     elif method == "iforest":
         from ledgerlens.operators.iforest import iforest_scores
-        scored = iforest_scores(feats, keys, forest=forest)
+        from ledgerlens.plans.materialize import materialize
+        # Python-computed scores feed three consumers below (threshold,
+        # top-N, join back): write them once instead of re-running the forest.
+        scored = materialize(iforest_scores(feats, keys, forest=forest), "iforest-scores")
         scored = minmax_normalise(scored, keys)
     else:
         raise ValueError(f"unknown method {method!r}")
