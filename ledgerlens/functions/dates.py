@@ -25,11 +25,29 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+# Text shape -> formats to try.  Selecting by shape first means a value is
+# only parsed with formats that can fit it (a failed parse is costly).
+_SHAPES = (
+    (r"^\d{4}-\d{2}-\d{2}$", ("yyyy-MM-dd",)),
+    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([+-]\d{2}:?\d{2}|Z)?$", None),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("MM/dd/yyyy", "M/d/yyyy")),
+)
+
+
 def parse_date(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; zoned text is converted to UTC,
     naive text is taken as UTC.  Unparseable -> NULL."""
     s = F.regexp_replace(_col(c).cast("string"), r"^\s+|\s+$", "")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    if tuple(formats) != DEFAULT_DATE_FORMATS:
+        return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    out = None
+    for shape, fmts in _SHAPES:
+        fmts = fmts or tuple(f for f in formats if "HH" in f)
+        val = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts]) if len(fmts) > 1 \
+            else F.try_to_timestamp(s, F.lit(fmts[0]))
+        cond = s.rlike(shape)
+        out = F.when(cond, val) if out is None else out.when(cond, val)
+    return out
 
 
 def as_utc_timestamp(c: Column | str) -> Column:

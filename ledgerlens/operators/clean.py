@@ -18,14 +18,43 @@ from ledgerlens.functions.text import normalize_description
 from ledgerlens.operators.common import Keys
 
 
-def normalize_descriptions(df: DataFrame, src: str = "description", out: str = "description") -> DataFrame:
-    """Clean merchant text row-wise (narrow projection, no shuffle).
-
-    Evaluating on distinct strings and joining back would trade regex CPU for
-    a full shuffle of the ledger; at scale the shuffle is the costlier part,
-    so the rules run inline inside whole-stage codegen.
+# Largest merchant dimension that is broadcast; beyond it the rules run
+# inline on every row (no shuffle of the ledger either way).
+MAX_DIMENSION_ROWS = 200_000
+
+
+def normalize_descriptions(df: DataFrame, src: str = "description", out: str = "description",
+                           via_dimension: bool | str = "auto", with_category: bool = False,
+                           max_dimension_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """Clean merchant text (optionally also the keyword category).
+
+    Raw descriptions repeat heavily, so with ``via_dimension`` the rules run
+    once per distinct raw string and the result is broadcast-joined back.
+    The broadcast happens only after a bounded count of the distinct strings
+    proves the dimension small (``max_dimension_rows``); otherwise the rules
+    run row-wise inside whole-stage codegen — a narrow projection, never a
+    shuffle of the ledger.
     """
-    return df.withColumn(out, normalize_description(F.col(src)))
+    from ledgerlens.operators.categorize import categorize_keywords
+
+    def inline(d: DataFrame) -> DataFrame:
+        d = d.withColumn(out, normalize_description(F.col(src)))
+        return categorize_keywords(d, src=out) if with_category else d
+
+    if via_dimension is False:
+        return inline(df)
+    raw = df.select(F.col(src).alias("_ll_raw")).distinct()
+    if via_dimension == "auto":
+        n = raw.limit(max_dimension_rows + 1).count()
+        if n > max_dimension_rows:
+            return inline(df)
+    dim = raw.withColumn(out, normalize_description(F.col("_ll_raw")))
+    if with_category:
+        dim = categorize_keywords(dim, src=out)
+    add = [c for c in dim.columns if c != "_ll_raw"]
+    base = df.drop(*[c for c in add if c in df.columns and c != src])
+    joined = base.join(F.broadcast(dim), base[src].eqNullSafe(dim["_ll_raw"]), "left")
+    return joined.drop("_ll_raw")
 
 
 def merchant_dimension(df: DataFrame, src: str = "raw_description") -> DataFrame:
@@ -81,12 +110,19 @@ def dedup_near(df: DataFrame, keys: Keys = (), window_days: int = 2, id_col: str
             .select("_ll_row.*"))
 
 
-def deduplicate(df: DataFrame, near_dup_window_days: int = 2, keys: Keys = ()) -> DataFrame:
-    """Exact duplicates by transaction id, then near duplicates."""
+def deduplicate(df: DataFrame, near_dup_window_days: int = 2, keys: Keys = (),
+                ids_unique: bool = False) -> DataFrame:
+    """Exact duplicates by transaction id, then near duplicates.
+
+    ``ids_unique=True`` states that ids were just assigned per key with the
+    occurrence index (so no two rows of a key share one) and skips the exact
+    pass, which would be a no-op shuffle.  Frames unioned from several
+    sources or loads must keep the default."""
     if not 0 <= near_dup_window_days <= NEAR_DUP_MAX_DAYS:
         raise ValueError(
             f"near_dup_window_days must be between 0 and {NEAR_DUP_MAX_DAYS}, got {near_dup_window_days}")
-    return dedup_near(dedup_exact(df, keys), keys, near_dup_window_days)
+    exact = df if ids_unique else dedup_exact(df, keys)
+    return dedup_near(exact, keys, near_dup_window_days)
 
 
 def normalize_dates(df: DataFrame) -> DataFrame:

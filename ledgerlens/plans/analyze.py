@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.anomaly import score_anomalies
-from ledgerlens.operators.categorize import categorize_keywords
 from ledgerlens.operators.clean import deduplicate, normalize_dates, normalize_descriptions
 from ledgerlens.operators.common import Keys
 from ledgerlens.sources.ledgers import ledger_text_date
@@ -27,16 +26,25 @@ def with_ledger_ids(ledger: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
     return with_transaction_id(d, file_cols=list(keys), order_cols=order).drop("date_text")
 
 
-def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2) -> DataFrame:
-    d = with_ledger_ids(ledger, keys)
-    d = normalize_descriptions(d, src="raw_description")
-    d = deduplicate(d, near_dup_window_days, keys)
+def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2,
+          with_category: bool = False) -> DataFrame:
+    """ids -> clean descriptions -> de-duplicate -> date features.
+
+    Descriptions are cleaned on the raw scan (before the id shuffle) so the
+    distinct-string check reads one pruned column of the source.  The
+    category is a pure function of the clean description, so it can be
+    computed in the same dimension."""
+    d = normalize_descriptions(ledger, src="raw_description", with_category=with_category)
+    d = with_ledger_ids(d, keys)
+    # ids were numbered per account just above: no two rows of an account
+    # share one, so the exact pass is skipped (it stays for unioned loads).
+    d = deduplicate(d, near_dup_window_days, keys, ids_unique=True)
     return normalize_dates(d)
 
 
 def enrich(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2) -> DataFrame:
     """Cleaned, de-duplicated, dated and keyword-categorised ledger."""
-    return categorize_keywords(clean(ledger, keys, near_dup_window_days))
+    return clean(ledger, keys, near_dup_window_days, with_category=True)
 
 
 def analyze(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2,
