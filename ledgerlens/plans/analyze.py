@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.anomaly import score_anomalies
 from ledgerlens.operators.clean import deduplicate, normalize_dates, normalize_descriptions
 from ledgerlens.operators.common import Keys
+from ledgerlens.operators.filters import filter_period
 from ledgerlens.sources.ledgers import ledger_text_date
 from ledgerlens.sources.parse import with_transaction_id
 
@@ -27,28 +28,42 @@ def with_ledger_ids(ledger: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
 
 
 def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2,
-          with_category: bool = False) -> DataFrame:
+          with_category: bool = False, period_days: int | None = None, as_of: str | None = None,
+          audit=None) -> DataFrame:
     """ids -> clean descriptions -> de-duplicate -> date features.
 
     Descriptions are cleaned on the raw scan (before the id shuffle) so the
     distinct-string check reads one pruned column of the source.  The
     category is a pure function of the clean description, so it can be
     computed in the same dimension."""
-    d = normalize_descriptions(ledger, src="raw_description", with_category=with_category)
+    obs = (lambda df, stage: audit.observe(df, stage)) if audit is not None else (lambda df, stage: df)
+    if period_days is not None:
+        # The period filter comes first, as in the source pipeline; it is a
+        # plain predicate on the scan's date column, so it is pushed down.
+        ledger = filter_period(ledger, period_days, as_of)
+    d = obs(ledger, "parse")
+    d = obs(normalize_descriptions(d, src="raw_description", with_category=with_category),
+            "normalize_descriptions")
     d = with_ledger_ids(d, keys)
     # ids were numbered per account just above: no two rows of an account
     # share one, so the exact pass is skipped (it stays for unioned loads).
-    d = deduplicate(d, near_dup_window_days, keys, ids_unique=True)
-    return normalize_dates(d)
+    d = obs(deduplicate(d, near_dup_window_days, keys, ids_unique=True), "deduplicate")
+    return obs(normalize_dates(d), "normalize_dates")
 
 
-def enrich(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2) -> DataFrame:
+def enrich(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2,
+           period_days: int | None = None, as_of: str | None = None, audit=None) -> DataFrame:
     """Cleaned, de-duplicated, dated and keyword-categorised ledger."""
-    return clean(ledger, keys, near_dup_window_days, with_category=True)
+    return clean(ledger, keys, near_dup_window_days, with_category=True, period_days=period_days,
+                 as_of=as_of, audit=audit)
 
 
 def analyze(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: int = 2,
-            method: str = "zscore", contamination: float = 0.05, top_n: int = 3) -> DataFrame:
+            method: str = "zscore", contamination: float = 0.05, top_n: int = 3,
+            period_days: int | None = None, as_of: str | None = None, audit=None) -> DataFrame:
     """Enriched ledger with anomaly columns (the frame every report reads)."""
-    e = enrich(ledger, keys, near_dup_window_days)
-    return score_anomalies(e, keys, method=method, contamination=contamination, top_n=top_n)
+    e = enrich(ledger, keys, near_dup_window_days, period_days, as_of, audit)
+    s = score_anomalies(e, keys, method=method, contamination=contamination, top_n=top_n)
+    if audit is not None:
+        s = audit.observe(s, "fit_predict", anomalies_found=F.sum(F.col("is_anomaly").cast("long")))
+    return s

@@ -110,6 +110,17 @@ def q_history(spark, d):
     return sto.history(_runs(spark, d))
 
 
+@register("read_transactions_range", f"""WITH {OR}
+SELECT account_id, transaction_id, date, description, raw_description, amount, source, category,
+  category_confidence FROM e
+WHERE date >= TIMESTAMP '1996-03-01 00:00:00' AND date <= TIMESTAMP '1996-06-30 00:00:00'""")
+def q_read_range(spark, d):
+    e = enriched_orders(spark, d)
+    return sto.read_range(e, "1996-03-01 00:00:00", "1996-06-30 00:00:00").select(
+        "account_id", "transaction_id", "date", "description", "raw_description", "amount", "source", "category",
+        "category_confidence")
+
+
 RUN_KEY = "7|1998"
 
 

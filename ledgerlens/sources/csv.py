@@ -112,10 +112,11 @@ def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[Data
         raw = (spark.read.schema(schema).option("header", True).option("encoding", enc)
                .option("multiLine", multi_line).option("enforceSchema", True).csv(files)
                .withColumn(ps.FILE_COL, F.col("_metadata.file_path")))
-        if fmt == "generic":
+        spec = ps.format_for(names)          # registry: built-in and plug-in layouts
+        if spec.name == "generic":
             std = ps.parse_generic(raw, ps.generic_mapping(names))
         else:
-            std = {"chase": ps.parse_chase, "bofa": ps.parse_bofa, "plaid": ps.parse_plaid}[fmt](raw)
+            std = spec.parse(raw)
         out = std if out is None else out.unionByName(std)
     if out is None:
         out = spark.createDataFrame([], "file_path STRING, date TIMESTAMP, description STRING, amount DOUBLE, "

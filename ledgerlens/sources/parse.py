@@ -195,9 +195,14 @@ FORMATS: list[FormatSpec] = [
 GENERIC = FormatSpec("generic", lambda cols: True, parse_generic)
 
 
-def register_format(spec: FormatSpec, before_generic: bool = True) -> None:
-    """Plug-in point for new bank layouts (tested in registration order)."""
-    FORMATS.append(spec)
+def register_format(spec: FormatSpec, first: bool = False) -> None:
+    """Plug-in point for new bank layouts: ``detect(columns) -> bool`` and
+    ``parse(raw_df) -> standard frame``.  Layouts are tested in order (the
+    generic layout is always last); ``first=True`` puts it before the banks."""
+    if first:
+        FORMATS.insert(0, spec)
+    else:
+        FORMATS.append(spec)
 
 
 def format_for(columns: Sequence[str]) -> FormatSpec:

@@ -45,3 +45,29 @@ def test_streaming_ingest_is_incremental(spark):
     m = {r["normalized_name"]: r["transaction_count"] for r in store.read("merchants").collect()}
     # the merchant merge is additive over each batch (re-sent rent line counts again)
     assert m == {"netflix.com": 2, "rent payment": 2}
+
+
+def test_pipeline_audit_and_period(spark):
+    from ledgerlens.plans.analyze import analyze
+
+    rows = [(1, 1, datetime(2026, 4, d), -5.0 * d, "STARBUCKS #0%d" % d) for d in range(1, 21)]
+    ledger = spark.createDataFrame(rows, "row_id BIGINT, account_id BIGINT, date TIMESTAMP, amount DOUBLE, "
+                                         "raw_description STRING")
+    log = AuditLog("r")
+    out = analyze(ledger, ["account_id"], period_days=10, as_of="2026-04-21 00:00:00", audit=log)
+    assert out.count() == 10
+    ev = {r["name"]: r["output_rows"] for r in log.events(spark).where("kind = 'stage'").collect()}
+    assert ev["parse"] == 10 and ev["normalize_descriptions"] == 10 and ev["fit_predict"] == 10
+
+
+def test_plugin_format(spark):
+    from ledgerlens.sources import parse as ps
+
+    spec = ps.FormatSpec("acme", lambda cols: "ACME Ref" in cols,
+                         lambda raw: ps.parse_generic(raw.drop("ACME Ref")))
+    ps.register_format(spec, first=True)
+    try:
+        assert ps.format_for(["Date", "Description", "Amount", "ACME Ref"]).name == "acme"
+        assert ps.format_for(["Date", "Description", "Amount", "Running Bal."]).name == "bofa"
+    finally:
+        ps.FORMATS.remove(spec)
