@@ -84,12 +84,17 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFra
     return files.mapInPandas(_sniff_batches, HEADER_SCHEMA)
 
 
-def row_counts(spark: SparkSession, headers: DataFrame) -> DataFrame:
-    """Data rows per file (lines minus the header, blank lines ignored)."""
-    paths = [r["file_path"] for r in headers.select("file_path").collect()]
-    if not paths:
-        return headers.withColumn("n_rows", F.lit(0).cast("long"))
-    lines = (spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), "value")
+def row_counts(spark: SparkSession, headers: DataFrame, path: str | None = None, glob: str = "*.csv") -> DataFrame:
+    """Data rows per file (lines minus the header, blank lines ignored), from
+    one distributed text scan of the directory."""
+    if path is None:
+        paths = [r["file_path"] for r in headers.select("file_path").collect()]
+        if not paths:
+            return headers.withColumn("n_rows", F.lit(0).cast("long"))
+        reader = spark.read.text(paths)
+    else:
+        reader = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path))
+    lines = (reader.select(F.col("_metadata.file_path").alias("file_path"), "value")
              .where(F.length(F.regexp_replace("value", r"^\s+|\s+$", "")) > 0)
              .groupBy("file_path").agg((F.count(F.lit(1)) - 1).alias("n_rows")))
     return headers.join(lines, "file_path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
@@ -97,11 +102,12 @@ def row_counts(spark: SparkSession, headers: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read a directory of bank exports -> (standard transactions, rejects)."""
-    heads = hd.map_columns(hd.detect_formats(row_counts(spark, read_headers(spark, path))))
+    heads = hd.map_columns(hd.detect_formats(row_counts(spark, read_headers(spark, path), path)))
     rejects = hd.reject_report(heads)
     good = heads.join(rejects.select("file_path"), "file_path", "left_anti")
-    # One CSV scan per distinct layout; the number of layouts is small and
-    # the path list is what the file index holds anyway.
+    # One CSV scan per distinct layout.  The reader needs each layout's file
+    # list; that is the listing the file index holds on the driver anyway
+    # (one path per file, no data).
     groups: dict[tuple[str, str, str], list[str]] = {}
     for r in good.select("format", "header", "encoding", "file_path").collect():
         groups.setdefault((r["format"], r["header"], r["encoding"]), []).append(r["file_path"])
