@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import MICROS_PER_DAY, micros
 from ledgerlens.functions.money import MONEY
 from ledgerlens.functions.rules import DAY_NAMES, OTHER_CATEGORY
-from ledgerlens.operators.common import Keys, expenses, join_on_keys, prev_in_order, top_k
+from ledgerlens.operators.common import Keys, exact_quantile, expenses, join_on_keys, prev_in_order, top_k
 
 FEATURES = ("amount_abs", "dow", "hour", "category_encoded", "days_since_prev")
 
@@ -117,9 +117,12 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
         F.count(F.lit(1)).alias("_ll_cnt"),
         F.min("raw_score").alias("_ll_lo"),
         F.max("raw_score").alias("_ll_hi"),
-        F.percentile(F.col("raw_score"), F.lit(q)).alias("_ll_thr"),
-        F.median("amount_abs").alias("_ll_median"),
     )
+    # Exact quantiles without one account's values in one buffer (see
+    # ``exact_quantile``): the flag threshold and the median |amount|.
+    thr = exact_quantile(scored, keys, "raw_score", q, "_ll_thr")
+    med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
+    stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
     close = F.abs(F.col("_ll_hi") - F.col("_ll_lo")) <= (1e-8 + 1e-5 * F.abs(F.col("_ll_lo")))
     stats = stats.withColumn("_ll_active", (F.col("_ll_cnt") >= min_expenses) & ~close)
 

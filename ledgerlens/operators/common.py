@@ -83,3 +83,57 @@ def top_k(df: DataFrame, keys: Keys, order: Sequence[Column], k: int, salt_col:
     name = rank_col or "_ll_rank"
     out = df.withColumn(name, F.row_number().over(final)).where(F.col(name) <= k)
     return out if rank_col else out.drop(name)
+
+
+def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "quantile",
+                   accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolation quantile per key (numpy/``quantile_cont``
+    semantics) without holding a key's values in one aggregation buffer.
+
+    1. A mergeable sketch (``percentile_approx``, rank error <= n/accuracy)
+       brackets the needed order statistics per key.
+    2. Rows below the bracket are counted; rows inside it are reduced to
+       (value, count) — at most about 6·n/accuracy distinct values per key,
+       ties included.
+    3. A running count over those values finds the exact order statistics at
+       ranks floor((n-1)q) and ceil((n-1)q), which are interpolated.
+    """
+    if not 0.0 <= q <= 1.0:
+        raise ValueError(f"quantile must be in [0, 1], got {q}")
+    x = F.col(col)
+    width = 3.0 / accuracy
+    lo_q, hi_q = max(0.0, q - width), min(1.0, q + width)
+    base = df.where(x.isNotNull()) if keys else df.where(x.isNotNull()).withColumn("_ll_one", F.lit(0))
+    kk = list(keys) or ["_ll_one"]
+    bounds = base.groupBy(*kk).agg(
+        F.count(F.lit(1)).alias("_ll_n"),
+        F.percentile_approx(x, F.array(F.lit(lo_q), F.lit(hi_q)), F.lit(accuracy)).alias("_ll_b"),
+        F.min(x).alias("_ll_min"), F.max(x).alias("_ll_max"))
+    # Keys with at most 4·accuracy rows bracket their whole range (so at most
+    # that many values); larger keys have enough slack in the sketch bracket
+    # to cover the one-rank gap between nearest-rank and interpolation ranks.
+    small = F.col("_ll_n") <= 4 * accuracy
+    lo_b = F.when(small | (F.lit(lo_q) == 0.0), F.col("_ll_min")).otherwise(F.col("_ll_b")[0])
+    hi_b = F.when(small | (F.lit(hi_q) == 1.0), F.col("_ll_max")).otherwise(F.col("_ll_b")[1])
+    bounds = bounds.select(*kk, "_ll_n", lo_b.alias("_ll_lo"), hi_b.alias("_ll_hi"))
+    j = base.select(*kk, x.alias("_ll_x")).join(bounds, kk)
+    below = j.groupBy(*kk).agg(F.count_if(F.col("_ll_x") < F.col("_ll_lo")).alias("_ll_below"))
+    inside = (j.where((F.col("_ll_x") >= F.col("_ll_lo")) & (F.col("_ll_x") <= F.col("_ll_hi")))
+              .groupBy(*kk, "_ll_x").agg(F.count(F.lit(1)).alias("_ll_c")))
+    w = Window.partitionBy(*kk).orderBy("_ll_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (inside.withColumn("_ll_end", F.sum("_ll_c").over(w))
+              .join(below, kk).join(bounds.select(*kk, "_ll_n"), kk)
+              .withColumn("_ll_end", F.col("_ll_end") + F.col("_ll_below"))   # ranks < _ll_end
+              .withColumn("_ll_start", F.col("_ll_end") - F.col("_ll_c")))
+    pos = (F.col("_ll_n") - 1) * F.lit(q)
+    r_lo = F.floor(pos)
+    r_hi = F.ceil(pos)
+    hit_lo = (F.col("_ll_start") <= r_lo) & (r_lo < F.col("_ll_end"))
+    hit_hi = (F.col("_ll_start") <= r_hi) & (r_hi < F.col("_ll_end"))
+    picked = ranked.groupBy(*kk).agg(
+        F.max(F.when(hit_lo, F.col("_ll_x"))).alias("_ll_vlo"),
+        F.max(F.when(hit_hi, F.col("_ll_x"))).alias("_ll_vhi"),
+        F.first("_ll_n").alias("_ll_n"))
+    frac = (F.col("_ll_n") - 1) * F.lit(q) - F.floor((F.col("_ll_n") - 1) * F.lit(q))
+    res = picked.select(*kk, (F.col("_ll_vlo") + (F.col("_ll_vhi") - F.col("_ll_vlo")) * frac).alias(out))
+    return res if keys else res.drop("_ll_one")
