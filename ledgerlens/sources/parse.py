@@ -45,29 +45,21 @@ def occurrence_index(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     share a bucket.
     """
     salt = "_ll_salt"
-    types = dict(df.dtypes)
-    # Non-NULL surrogate keys (value with NULL replaced + a NULL bit mask), so
-    # the join below is a plain equi-join whose hash partitioning the local
-    # window reuses; a null-safe join would hash on different expressions
-    # and force one more shuffle of the data.
-    keys = {f"_ll_k{i}": F.coalesce(F.col(c), F.lit("") if types[c] == "string" else F.lit(0).cast(types[c]))
-            for i, c in enumerate(group_cols)}
-    mask = F.lit(0)
-    for i, c in enumerate(group_cols):
-        mask = mask + F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
-    keys["_ll_kn"] = mask
-    kcols = list(keys)
-    d = df.withColumns(keys).withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)))
-    counts = d.groupBy(*kcols, salt).agg(F.count(F.lit(1)).alias("_ll_n"))
+    # Salt from the row's own content: the ordering columns when given (a line
+    # number or row id identifies the row), else every column.
+    salt_src = list(order_cols) or list(df.columns)
+    d = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in salt_src]), F.lit(buckets)))
+    counts = d.groupBy(*group_cols, salt).agg(F.count(F.lit(1)).alias("_ll_n"))
     offsets = counts.withColumn(
         "_ll_off",
-        F.sum("_ll_n").over(Window.partitionBy(*kcols).orderBy(salt)) - F.col("_ll_n"),
+        F.sum("_ll_n").over(Window.partitionBy(*group_cols).orderBy(salt)) - F.col("_ll_n"),
     ).drop("_ll_n")
-    joined = d.join(offsets, [*kcols, salt], "inner")
+    cond = [d[c].eqNullSafe(offsets[c]) for c in group_cols] + [d[salt] == offsets[salt]]
+    joined = d.join(offsets, cond, "inner").select(d["*"], offsets["_ll_off"])
     local_order = [F.col(c) for c in order_cols] or [F.lit(1)]
-    local = Window.partitionBy(*kcols, salt).orderBy(*local_order)
+    local = Window.partitionBy(*group_cols, salt).orderBy(*local_order)
     return (joined.withColumn(out, (F.row_number().over(local) - 1 + F.col("_ll_off")).cast("long"))
-            .drop(salt, "_ll_off", *kcols))
+            .drop(salt, "_ll_off"))
 
 
 def with_transaction_id(df: DataFrame, date_text: str = "date_text", raw: str = "raw_description",
