@@ -12,6 +12,10 @@ from ledgerlens.functions.rules import DAY_NAMES, OTHER_CATEGORY
 from ledgerlens.operators.common import Keys, exact_quantile, expenses, join_on_keys, prev_in_order, top_k
 
 FEATURES = ("amount_abs", "dow", "hour", "category_encoded", "days_since_prev")
+# Largest per-key row count for which the built-in exact percentile (which
+# keeps a key's distinct values in one buffer) is used.
+DIRECT_QUANTILE_ROWS = 40_000
+MATERIALIZE_SCORES = True
 
 
 def category_index(df: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -100,29 +104,38 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
     if not 0.0 < contamination < 0.5:
         raise ValueError(f"contamination must be in (0, 0.5), got {contamination}")
     feats = anomaly_features(df, keys)
+    from ledgerlens.plans.materialize import materialize
     if method == "zscore":
         scored = zscore_scores(feats, keys)
     elif method == "iforest":
         from ledgerlens.operators.iforest import iforest_scores
-        from ledgerlens.plans.materialize import materialize
-        # Python-computed scores feed three consumers below (threshold,
-        # top-N, join back): write them once instead of re-running the forest.
-        scored = materialize(iforest_scores(feats, keys, forest=forest), "iforest-scores")
-        scored = minmax_normalise(scored, keys)
+        # Python-computed scores: written once before normalising.
+        scored = minmax_normalise(materialize(iforest_scores(feats, keys, forest=forest), "iforest-scores"), keys)
     else:
         raise ValueError(f"unknown method {method!r}")
+    # The score table (four narrow columns) feeds the threshold and median
+    # quantiles, the top-N ranking and the join back: it is written once so
+    # the feature windows are not recomputed for every consumer.
+    scored = scored.select(*keys, "transaction_id", "raw_score", "amount_abs")
+    if MATERIALIZE_SCORES:
+        scored = materialize(scored, "anomaly-scores")
 
     q = 1.0 - contamination
-    stats = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_ll_cnt"),
-        F.min("raw_score").alias("_ll_lo"),
-        F.max("raw_score").alias("_ll_hi"),
-    )
-    # Exact quantiles without one account's values in one buffer (see
-    # ``exact_quantile``): the flag threshold and the median |amount|.
-    thr = exact_quantile(scored, keys, "raw_score", q, "_ll_thr")
-    med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
-    stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
+    base = [F.count(F.lit(1)).alias("_ll_cnt"), F.min("raw_score").alias("_ll_lo"),
+            F.max("raw_score").alias("_ll_hi")]
+    # Exact flag threshold and median |amount| per key.  When the largest key
+    # is proven small (a check on the per-key counts), the built-in exact
+    # aggregates hold at most that many values per key and run in the same
+    # pass; otherwise ``exact_quantile`` avoids any per-key value buffer.
+    largest = scored.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= DIRECT_QUANTILE_ROWS:
+        stats = scored.groupBy(*keys).agg(*base, F.percentile("raw_score", F.lit(q)).alias("_ll_thr"),
+                                          F.median("amount_abs").alias("_ll_median"))
+    else:
+        stats = scored.groupBy(*keys).agg(*base)
+        thr = exact_quantile(scored, keys, "raw_score", q, "_ll_thr")
+        med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
+        stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
     close = F.abs(F.col("_ll_hi") - F.col("_ll_lo")) <= (1e-8 + 1e-5 * F.abs(F.col("_ll_lo")))
     stats = stats.withColumn("_ll_active", (F.col("_ll_cnt") >= min_expenses) & ~close)
 

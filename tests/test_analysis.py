@@ -125,3 +125,16 @@ def test_new_category_drift(spark):
 def test_velocity(spark):
     rows = [("2026-04-01", "A", -10.0, "other", 0), ("2026-04-30", "B", -40.0, "other", 0)]
     assert dr.spending_velocity(frame(spark, rows)).collect()[0]["velocity_trend"] == "accelerating"
+
+
+def test_large_key_quantile_path_matches_direct(spark, monkeypatch):
+    rows = [("2026-04-%02d" % (i % 28 + 1), f"M{i % 7}", -float(5 + (i * 37) % 101), "other", i % 24)
+            for i in range(300)]
+    rows.append(("2026-04-28", "Big", -4000.0, "shopping", 3))
+    df = frame(spark, rows)
+    direct = sorted(tuple(r) for r in an.score_anomalies(df).select("transaction_id", "is_anomaly",
+                                                                     "anomaly_reason").collect())
+    monkeypatch.setattr(an, "DIRECT_QUANTILE_ROWS", 10)
+    bracket = sorted(tuple(r) for r in an.score_anomalies(df).select("transaction_id", "is_anomaly",
+                                                                      "anomaly_reason").collect())
+    assert direct == bracket and any(r[1] for r in direct)
