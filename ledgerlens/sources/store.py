@@ -53,12 +53,23 @@ def to_transaction_rows(df: DataFrame, run_id, keys: Keys = ()) -> DataFrame:
 
 
 def read_range(tx: DataFrame, start=None, end=None) -> DataFrame:
-    """Stored transactions with start <= date <= end (either bound optional)."""
+    """Stored transactions with start <= date <= end (either bound optional).
+
+    The date predicates are pushed into the Parquet scan; when the table is
+    partitioned by year/month (as the store writes it) the same bounds are
+    also stated on the partition columns, so whole months are pruned."""
     out = tx
+    ym = ("year" in tx.columns and "month" in tx.columns)
     if start is not None:
-        out = out.where(F.col("date") >= F.to_timestamp(F.lit(start)))
+        ts = F.to_timestamp(F.lit(start))
+        out = out.where(F.col("date") >= ts)
+        if ym:
+            out = out.where(F.col("year") * 100 + F.col("month") >= F.year(ts) * 100 + F.month(ts))
     if end is not None:
-        out = out.where(F.col("date") <= F.to_timestamp(F.lit(end)))
+        ts = F.to_timestamp(F.lit(end))
+        out = out.where(F.col("date") <= ts)
+        if ym:
+            out = out.where(F.col("year") * 100 + F.col("month") <= F.year(ts) * 100 + F.month(ts))
     return out
 
 
