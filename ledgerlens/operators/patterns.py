@@ -30,20 +30,19 @@ def _f(fmt, x, digits):
     return F.format_string(fmt, round_half_up(x, digits))
 
 
-def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Share of food_dining expense rows at hour >= 22 or < 4 is >= 15 %,
-    provided the ledger has more than one distinct hour (time of day known)."""
-    if not {"hour", "category"} <= set(df.columns):
-        return _empty_late(df, keys)
+def _late_aggs():
     food = (F.col("category") == FOOD_DINING) & _is_exp()
     late = food & ((F.col("hour") >= 22) | (F.col("hour") < 4))
-    g = df.groupBy(*keys).agg(
+    return [
         (F.min("hour") != F.max("hour")).alias("_ll_hours"),
         F.count_if(food).alias("total_food_transactions"),
         F.count_if(late).alias("late_night_transaction_count"),
         F.coalesce(F.sum(F.when(late, F.abs("amount").cast(MONEY))), F.lit(0).cast(MONEY))
         .cast("double").alias("late_night_total"),
-    )
+    ]
+
+
+def _late_finish(g: DataFrame, keys: Keys) -> DataFrame:
     pct = F.try_divide(F.col("late_night_transaction_count"), F.col("total_food_transactions"))
     return (g.where(F.col("_ll_hours") & (F.col("total_food_transactions") > 0) & (pct >= 0.15))
             .select(*keys, F.lit("LATE_NIGHT_SPENDING").alias("type"),
@@ -53,17 +52,26 @@ def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
                     round_half_up(pct * 100.0, 1).alias("percentage")))
 
 
+def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Share of food_dining expense rows at hour >= 22 or < 4 is >= 15 %,
+    provided the ledger has more than one distinct hour (time of day known)."""
+    if not {"hour", "category"} <= set(df.columns):
+        return _empty_late(df, keys)
+    return _late_finish(df.groupBy(*keys).agg(*_late_aggs()), keys)
+
+
 def _empty_late(df, keys):
     return df.limit(0).select(*keys, F.lit("LATE_NIGHT_SPENDING").alias("type"))
 
 
-def subscription_creep(df: DataFrame, keys: Keys = (), max_subscriptions: int = 5) -> DataFrame:
-    """More than ``max_subscriptions`` distinct subscription merchants."""
-    subs = df.where(_is_exp() & (F.col("category") == SUBSCRIPTIONS))
-    g = subs.groupBy(*keys).agg(
-        F.sort_array(F.collect_set("description")).alias("subscriptions"),
-        _abs_sum(F.col("amount")).alias("total_spend"),
-    ).withColumn("subscription_count", F.size("subscriptions"))
+def _subs_aggs():
+    sub = _is_exp() & (F.col("category") == SUBSCRIPTIONS)
+    return [F.sort_array(F.collect_set(F.when(sub, F.col("description")))).alias("subscriptions"),
+            F.sum(F.when(sub, F.abs("amount").cast(MONEY))).cast("double").alias("total_spend")]
+
+
+def _subs_finish(g: DataFrame, keys: Keys, max_subscriptions: int = 5) -> DataFrame:
+    g = g.withColumn("subscription_count", F.size("subscriptions"))
     return (g.where(F.col("subscription_count") > max_subscriptions)
             .select(*keys, F.lit("SUBSCRIPTION_CREEP").alias("type"),
                     F.format_string("%d active subscriptions totalling $%.2f",
@@ -72,16 +80,21 @@ def subscription_creep(df: DataFrame, keys: Keys = (), max_subscriptions: int =
                     "subscription_count", "subscriptions", "total_spend"))
 
 
-def weekend_splurge(df: DataFrame, keys: Keys = (), threshold: float = 1.3) -> DataFrame:
-    """Mean |amount| per weekend expense vs per weekday expense."""
-    e = expenses(df)
+def subscription_creep(df: DataFrame, keys: Keys = (), max_subscriptions: int = 5) -> DataFrame:
+    """More than ``max_subscriptions`` distinct subscription merchants."""
+    return _subs_finish(df.groupBy(*keys).agg(*_subs_aggs()), keys, max_subscriptions)
+
+
+def _weekend_aggs():
+    e = _is_exp()
     wk = F.col("is_weekend")
-    g = e.groupBy(*keys).agg(
-        F.sum(F.when(wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ws"),
-        F.count_if(wk).alias("_ll_wn"),
-        F.sum(F.when(~wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ds"),
-        F.count_if(~wk).alias("_ll_dn"),
-    )
+    return [F.sum(F.when(e & wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ws"),
+            F.count_if(e & wk).alias("_ll_wn"),
+            F.sum(F.when(e & ~wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ds"),
+            F.count_if(e & ~wk).alias("_ll_dn")]
+
+
+def _weekend_finish(g: DataFrame, keys: Keys, threshold: float = 1.3) -> DataFrame:
     wavg = F.try_divide(F.col("_ll_ws"), F.col("_ll_wn"))
     davg = F.try_divide(F.col("_ll_ds"), F.col("_ll_dn"))
     g = (g.where((F.col("_ll_wn") > 0) & (F.col("_ll_dn") > 0))
@@ -99,6 +112,11 @@ def weekend_splurge(df: DataFrame, keys: Keys = (), threshold: float = 1.3) -> D
                     round_half_up(r, 2).alias("ratio")))
 
 
+def weekend_splurge(df: DataFrame, keys: Keys = (), threshold: float = 1.3) -> DataFrame:
+    """Mean |amount| per weekend expense vs per weekday expense."""
+    return _weekend_finish(df.groupBy(*keys).agg(*_weekend_aggs()), keys, threshold)
+
+
 def merchant_dominance(df: DataFrame, keys: Keys = (), share: float = 0.25) -> DataFrame:
     """Merchants holding more than ``share`` of their category's spend."""
     m = (expenses(df).where(F.col("category").isNotNull())
@@ -217,9 +235,14 @@ def _as_pattern(d: DataFrame, keys: Keys, order: int) -> DataFrame:
 def detect_patterns(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Union of every detector, in the fixed detector order, with the
     severity rank (critical < warning < info) for presentation."""
-    parts = [late_night_spending(df, keys), subscription_creep(df, keys), weekend_splurge(df, keys),
-             merchant_dominance(df, keys), anomalous_week(df, keys), income_irregularity(df, keys),
-             recurring_forgotten(df, keys)]
+    # Late-night, subscription and weekend detectors are per-key scalars:
+    # one aggregate pass feeds all three instead of three scans and shuffles.
+    has_time = {"hour", "category"} <= set(df.columns)
+    aggs = (_late_aggs() if has_time else []) + _subs_aggs() + _weekend_aggs()
+    g = df.groupBy(*keys).agg(*aggs)
+    parts = [_late_finish(g, keys) if has_time else _empty_late(df, keys), _subs_finish(g, keys),
+             _weekend_finish(g, keys), merchant_dominance(df, keys), anomalous_week(df, keys),
+             income_irregularity(df, keys), recurring_forgotten(df, keys)]
     out = None
     for i, p in enumerate(parts):
         if "headline" not in p.columns:
