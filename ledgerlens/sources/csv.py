@@ -117,7 +117,11 @@ def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[Data
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         raw = (spark.read.schema(schema).option("header", True).option("encoding", enc)
                .option("multiLine", multi_line).option("enforceSchema", True).csv(files)
-               .withColumn(ps.FILE_COL, F.col("_metadata.file_path")))
+               .withColumn(ps.FILE_COL, F.col("_metadata.file_path"))
+               # The input split a line came from: deterministic per row, it
+               # salts the occurrence index so identical lines of one large
+               # file are numbered by several tasks.
+               .withColumn("_ll_line", F.col("_metadata.file_block_start")))
         spec = ps.format_for(names)          # registry: built-in and plug-in layouts
         if spec.name == "generic":
             std = ps.parse_generic(raw, ps.generic_mapping(names))
