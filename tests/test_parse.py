@@ -124,3 +124,20 @@ def test_csv_directory_scan(spark):
                    ("generic", "CAFÉ LUMIÈRE", -3.0), ("plaid", "Cafe", -4.5)]
     rej = {os.path.basename(r["file_path"]): r["reason"] for r in rejects.collect()}
     assert rej == {"bad.csv": "Cannot detect a date column", "empty.csv": "CSV has no data rows"}
+
+
+def test_identical_lines_across_splits(spark):
+    root = tempfile.mkdtemp(prefix="ll-csv-split-")
+    with open(os.path.join(root, "big.csv"), "w") as fh:
+        fh.write("date,description,amount\n" + "2026-01-01,Coffee,-4.50\n" * 200)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        tx, _ = scan(spark, root)
+        ids = sorted(r["transaction_id"] for r in tx.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    base = "2026-01-01|Coffee|-4.5000"
+    expect = sorted(hashlib.sha256((base if i == 0 else f"{base}|{i}").encode()).hexdigest()[:16]
+                    for i in range(200))
+    assert ids == expect
