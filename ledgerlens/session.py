@@ -16,9 +16,6 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Post-shuffle partitions are coalesced toward this size, so one
-    # configuration serves sf0.01 tests and 100 TB runs.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches to Python workers are bounded in rows and bytes, so one
     # batch of long texts stays small.
