@@ -159,9 +159,12 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, prefix: str = "mix") -> tu
     return np.array(residuals).reshape(-1, k), scale, step
 
 
-def default_targets(names: list[str], tokens: np.ndarray, low_quality: float = 0.05, power: float = 0.7) -> np.ndarray:
-    """Same total; languages by tokens**power, ``low_quality`` of each
-    language's share for its q0 domain (all of it where q1 is absent)."""
+def default_targets(names: list[str], tokens: np.ndarray, low_quality: float = 0.05, power: float = 0.7,
+                    margin: float = 1.02) -> np.ndarray:
+    """Languages by tokens**power, ``low_quality`` of each language's share for
+    its q0 domain (all of it where only one is present).  The total is the
+    least at which every q1 domain holds ``margin`` times its own tokens, so
+    trusted text is repeated rather than dropped."""
     langs = [n.rsplit("/", 1)[0] for n in names]
     by = {g: sum(tokens[i] for i in range(len(names)) if langs[i] == g) ** power for g in langs}
     share = np.zeros(len(names))
@@ -169,7 +172,9 @@ def default_targets(names: list[str], tokens: np.ndarray, low_quality: float = 0
         both = {m for m in names if m.rsplit("/", 1)[0] == langs[i]}
         part = 1.0 if len(both) == 1 else low_quality if n.endswith("/q0") else 1 - low_quality
         share[i] = by[langs[i]] * part
-    return tokens.sum() * share / max(share.sum(), 1e-300)
+    share /= max(share.sum(), 1e-300)
+    whole = [tokens[i] / share[i] for i, n in enumerate(names) if not n.endswith("/q0") and share[i] > 0]
+    return margin * max(whole, default=tokens.sum()) * share
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets=default_targets, prefix: str = "mix") -> DataFrame:
