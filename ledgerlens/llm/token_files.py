@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlens.llm.common import ensure_checkpoint_dir, materialize, stretch
 
 END_ID = 2
-CACHE_CHUNKS = 400_000  # distinct chunks a worker keeps encoded; beyond it the cache starts anew
+CACHE_CHUNKS = 450_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -43,46 +44,112 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level vocabulary's letter for each byte: printable Latin-1
+    bytes stand for themselves, the others for the characters from 256 on."""
+    keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in keep else next(rest)) for b in range(256)}
+
+
 class ChunkEncoder:
-    """Encodes texts with the tokenizer, each distinct space-led chunk once.
+    """Encodes texts with the tokenizer, each distinct chunk or word once.
 
     The byte-level splitter starts a new piece at every single space between
     non-space characters, so encoding such chunks one by one gives the ids of
-    the whole text.  A text with any other white space around a space (or at
-    an end of a chunk) is encoded whole.
+    the whole text.  It never joins letters with the marks in ``_MARKS`` or
+    with a line feed, so a chunk of letters and marks, or two of them with one
+    line feed between, is looked up word by word, and a new word goes straight
+    to the tokenizer's model.  Any other chunk is encoded as a whole, and a
+    text with other white space next to a space is encoded whole.
     """
 
+    _MARKS = ".,;:!?*%$#&|"
+
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # control strings inside a text are ordinary text
-        self.dtype = np.dtype(dtype)
-        self.cache: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = self.tok.model
+        self.letters = _byte_letters()
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.chunks: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.feed = self._piece("\n")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the splitter, straight from the model."""
+        byte_text = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(byte_text)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            got = self.words[word] = self._piece(word)
+        return got
+
+    def _run(self, run: str, lead: str) -> bytes | None:
+        """Ids of letters followed by marks, after a space if ``lead``; None for other runs."""
+        core = run.rstrip(self._MARKS)
+        if not core:
+            return self._word(lead + run) if run else None
+        if not core.isalpha():
+            return None
+        return self._word(lead + core) + (self._word(run[len(core):]) if len(core) < len(run) else b"")
+
+    def _learn(self, new: set[str]) -> None:
+        """Fill the chunk cache.  A key is the chunk after its space; a text's
+        first chunk has no space, and its key has one."""
+        rest = []
+        for c in new:
+            if not c or c[-1].isspace() or (c[0].isspace() and c[0] != " ") or (c[0] == " " and (len(c) == 1 or c[1].isspace())):
+                self.chunks[c] = None  # the text is encoded whole
+                continue
+            lead, run = ("", c[1:]) if c[0] == " " else (" ", c)
+            got = self._run(run, lead)
+            if got is None and run.count("\n") == 1:
+                one, two = run.split("\n")
+                x, y = self._run(one, lead), self._run(two, "")
+                got = x + self.feed + y if x is not None and y is not None else None
+            if got is None:
+                rest.append((c, lead + run))
+            else:
+                self.chunks[c] = got
+        if rest:
+            self.chunks.update(zip((c for c, _ in rest), self._whole([t for _, t in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks = {}
+        if len(self.words) > CACHE_CHUNKS:
+            self.words = {}
         split = [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split), (" " + s[0] for s in split)) - self.cache.keys()
-        # A key is the chunk after its space; a text's first chunk has no
-        # space, and is told apart by a leading one.
-        plain = [c for c in new if c and not c[-1].isspace() and not (c[0].isspace() and c[0] != " ")
-                 and not (c[0] == " " and (len(c) == 1 or c[1].isspace()))]
-        self.cache.update(dict.fromkeys(new))
-        self.cache.update(zip(plain, self._ids([c[1:] if c[0] == " " else " " + c for c in plain])))
-        out: list[bytes] = []
-        for t, s in zip(texts, split):
+        for s in split:
             s[0] = " " + s[0]
-            got = [self.cache[c] for c in s]
-            out.append(b"".join(got) if None not in got else self._ids([t])[0] if t else b"")
+        self._learn(set().union(*split) - self.chunks.keys())
+        get, out = self.chunks.__getitem__, []
+        for t, s in zip(texts, split):
+            try:
+                out.append(b"".join(map(get, s)))
+            except TypeError:  # a chunk that must not be encoded by itself
+                out.append(self._whole([t])[0] if t else b"")
         return out
 
 
+_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def _encoder(path: str, dtype: str) -> ChunkEncoder:
+    """One encoder per worker process, so its caches serve all its tasks."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = ChunkEncoder(path, dtype)
+    return _encoders[path, dtype]
+
+
 def _put(folder: str, name: str, write) -> None:
     """Write a file under a temporary name, then move it into place."""
     fs, base = open_folder(folder)
@@ -98,19 +165,18 @@ def _put(folder: str, name: str, write) -> None:
 
 def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = None, np.array([end_id], dtype=dtype).tobytes()
+        end = np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
         lengths: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         name = f"shard-{TaskContext.get().partitionId():05d}"
 
         def tokens(out):
-            nonlocal enc
             for b in batches:
-                enc = enc or ChunkEncoder(tokenizer, dtype)
+                enc = _encoder(tokenizer, dtype)
                 texts = b.column(1).fill_null("").to_pylist()
-                for lo in range(0, len(texts), 256):
-                    got = enc.encode(texts[lo:lo + 256])
+                for lo in range(0, len(texts), 128):
+                    got = enc.encode(texts[lo:lo + 128])
                     lengths.append(np.array([len(x) // width + 1 for x in got], dtype=np.uint64))
                     out.write(b"".join(x + end for x in got))
                 ids = b.column(0)
