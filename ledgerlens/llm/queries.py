@@ -90,3 +90,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.weighted_minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_vector_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.vector_dedup import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_OP6_ROWS = """SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'"""
+
+
+def _escaped(column: str) -> str:
+    from ledgerlens.llm.chat_trees import CONTROL
+
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_OP6 = f"""WITH c AS ({_OP6_ROWS})
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(4 + length({_escaped('role')}) + length({_escaped('text')}) + 7) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@register("op6_chat_trees", _OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.chat_trees import chain, digest, format_branches
+    from ledgerlens.llm.common import materialize
+
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    messages = materialize(chain(rows.unionByName(extra)), "messages")
+    out = digest(materialize(format_branches(messages), "formatted"))
+    return out.select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "n_turns", "turns_sha256",
+                      "loss_chars", "loss_sha256", "formatted_chars")
