@@ -133,3 +133,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = digest(materialize(format_branches(messages), "formatted"))
     return out.select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "n_turns", "turns_sha256",
                       "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@register("op5_site_templates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.site_templates import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
