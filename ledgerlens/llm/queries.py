@@ -140,3 +140,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.site_templates import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
