@@ -147,3 +147,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op1_quality_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.quality_lm import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
