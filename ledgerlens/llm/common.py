@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.plans.materialize import materialize
 from ledgerlens.session import configure, ensure_checkpoint_dir
 
 __all__ = ["broadcast_if_small", "connected_components", "configure", "ensure_checkpoint_dir", "fresh_name", "materialize",
-           "stretch", "table", "with_fields"]
+           "star_forest", "stretch", "table", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +68,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A star forest with the components of the links (a, b)."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[:len(a)], inv[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, new[x])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    star = label != np.arange(len(nodes))
+    return list(zip(nodes[star].tolist(), nodes[label[star]].tolist()))

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import connected_components, materialize
+from ledgerlens.llm.common import connected_components, materialize, star_forest
 
 THRESHOLD = 0.98
 PROJECTIONS = 18
@@ -65,23 +65,6 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A star forest with the components of the links (a, b)."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inv[:len(a)], inv[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, new[x])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    star = label != np.arange(len(nodes))
-    return list(zip(nodes[star].tolist(), nodes[label[star]].tolist()))
-
-
 def compare_block(q_ids, q_raw, m_ids, m_raw, m_copies, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of the query rows to the member rows: weighted counts and a forest."""
     u, v = _unit(q_raw), _unit(m_raw)
@@ -106,7 +89,7 @@ def compare_block(q_ids, q_raw, m_ids, m_raw, m_copies, threshold: float) -> tup
         i, j = i[cos >= threshold], j[cos >= threshold]
     other = q_ids[i] != m_ids[j]
     i, j = i[other], j[other]
-    return np.bincount(i, m_copies[j], minlength=len(u)).astype(np.int64), _forest(q_ids[i], m_ids[j])
+    return np.bincount(i, m_copies[j], minlength=len(u)).astype(np.int64), star_forest(q_ids[i], m_ids[j])
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ similarity (sum of minima / sum of maxima, 0.8 or more).
 
 * idf: document frequencies of all documents are counted in a table of
   ``DF_SLOTS`` hashed slots, a fixed size however large the corpus; a slot's
-  frequency is at least its shingles'.  idf = 1 + ln((N+1)/(df+1)) / ln(N+1),
-  between 1 and 2.
+  frequency is at least its shingles'.  idf = 1 + ``IDF_SPAN`` * ln((N+1)/(df+1))
+  / ln(N+1).  The span is small: the shingles of a large class of near copies
+  are frequent because of the class, and a steep idf would push its members
+  below the threshold.
 * Exact copies (same words) collapse to one representative before any pair is
   made, so a group of copies of any size is one node.
 * In a band's group every member is paired with one pivot, never with every
-  other.  Members that stay in different components after those pairs are
-  verified are then paired across components, so no link between documents
-  sharing a band is lost, while a group that its pivot joins costs one pair
-  per member.
+  other; members outside the pivot's component meet further pivots.  Members
+  outside it after ``PIVOT_ROUNDS`` are compared with their whole group, block
+  by block, so no link between documents sharing a band is lost, while a group
+  that its pivots join costs a few pairs per member.  A block sends a spanning
+  forest of its links, not its pairs.
 * Components of the verified links are the classes; a class id is the
   smallest doc_id in it.
 """
@@ -25,16 +28,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import broadcast_if_small, connected_components, materialize
+from ledgerlens.llm.common import broadcast_if_small, connected_components, materialize, star_forest
 from ledgerlens.llm.textblocks import blocks, content_key, mix, seeds, windows, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at 0.8 shares a band with probability 1 - (1 - 0.8**3)**12 > 0.9998
 HASHES = BANDS * ROWS
+PIVOT_ROUNDS = 2
+QUERY_BLOCK, MEMBER_BLOCK = 512, 1024  # rows compared in one task
+IDF_SPAN = 0.1
 DF_SLOTS = 1 << 20
 DF_SLICES = 64
 MAX_BROADCAST_ROWS = 1_000_000  # (rep, key, id) rows of 40 bytes; more join by shuffle
@@ -98,7 +105,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(max(n, 1) + 1)).astype(np.float32)
+    return (1 + IDF_SPAN * np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(max(n, 1) + 1)).astype(np.float32)
 
 
 def signature(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -194,8 +201,8 @@ def weighted_jaccard(h1, w1, h2, w2) -> float:
     return low / high if high > 0 else 0.0
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) with their weighted Jaccard similarity s."""
     def sets(table, ids, column):
         at = np.unique(ids, return_index=True)[1]
         out = {}
@@ -209,13 +216,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
         for b in batches:
             x, y = (b.column(i).to_numpy() for i in (0, 1))
             one, two = sets(table, x, b.column(2)), sets(table, y, b.column(3))
-            ok = [weighted_jaccard(*one[i], *two[j]) >= threshold - 1e-6 for i, j in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            s = [weighted_jaccard(*one[i], *two[j]) for i, j in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["a", "b", "s"])
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("t1"))
     two = texts.select(F.col("rep").alias("b"), F.col("text").alias("t2"))
     # The pivot side may repeat often; it joins last, as a skewed join that Spark splits.
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "t1", "t2")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, s double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,31 +246,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                        .agg(F.min("doc_id").alias("first"), F.first("total").alias("total"), F.first("bands").alias("bands"))
                        .withColumn("rep", F.monotonically_increasing_id()), "reps")
     members = reps.select("rep", "total", F.explode("bands").alias("band"))
-    # Groups of at least two; map-side counts, one row per band value.
-    pivots = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(members.join(pivots, "band"), "members")
-    first = materialize(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    # Groups of at least two; map-side counts, one row per band value.  The
+    # pivot of a group is its member with the most company over all its bands,
+    # which in a family of edits is the text they were edited from.
+    groups = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(members.join(groups, "band"), "band-groups")
+    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    known = members.drop("n").join(company, "rep")
+    pivots = known.groupBy("band").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("p")).select("band", (-F.col("p.r")).alias("pivot"))
+    members = materialize(members.drop("n").join(pivots, "band"), "members")
+    first = materialize(_ordered(members.where("rep <> pivot"), "pivot", "rep").distinct(), "pairs")
     pick = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "k1", "k2", F.col("first").alias("own"))
     texts = materialize(_texts_of(docs, materialize(pick, "pick")), "texts")
-    links = materialize(_verify(first, texts, idf, threshold), "links")
-    comp = connected_components(links)
-    # Pairs across components within a band group: those that do not belong
-    # to the group's pivot component meet everyone else of the group.
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    pc = comp.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-    placed = materialize(placed.join(pc, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot")), "placed")
-    odd = placed.where("component <> pc").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("total").alias("tx"))
-    mixed = odd.select("band").distinct()
-    rest = placed.join(mixed, "band", "left_semi").select("band", F.col("rep").alias("y"), F.col("component").alias("cy"),
-                                                          F.col("total").alias("ty"), (F.col("component") != F.col("pc")).alias("odd"))
-    # Similarity cannot exceed the ratio of the total weights; pairs with the
-    # pivot were verified above.
-    more = (odd.join(rest, (odd["band"] == rest["band"]) & (F.col("cx") != F.col("cy"))
-                     & (~F.col("odd") | (F.col("x") < F.col("y")))
-                     & (F.least("tx", "ty") >= F.greatest("tx", "ty") * (threshold - 1e-6)))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    links2 = materialize(links.union(_verify(more, texts, idf, threshold)), "links")
+    known = materialize(_verify(first, texts, idf), "similarities")
+    # Every member's similarity to its group's pivot.
+    own = _ordered(members, "pivot", "rep", "band", "rep", "total", "pivot").join(known, ["a", "b"], "left")
+    members = materialize(own.select("band", "rep", "total", "pivot", F.coalesce("s", F.lit(1.0)).alias("sp")), "members")
+    far = 1 - threshold + 1e-6
+    placed = _place(members, known.where(F.col("s") >= threshold - 1e-6))
+    for _ in range(PIVOT_ROUNDS - 1):
+        # The most similar member outside the pivot's component meets all members of other components.
+        odd = placed.where("component <> pc")
+        if not odd.head(1):
+            break
+        nxt = odd.groupBy("band").agg(F.max(F.struct("sp", "rep", "component", "total")).alias("p")).select(
+            "band", F.col("p.rep").alias("x"), F.col("p.component").alias("cx"), F.col("p.total").alias("tx"), F.col("p.sp").alias("sx"))
+        pairs = _pairs(nxt, _named(placed, "y"), threshold, far, F.lit(True))
+        known = materialize(known.union(_verify(materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), texts, idf)), "similarities")
+        placed = _place(members, known.where(F.col("s") >= threshold - 1e-6))
+    rest = _cross_links(placed, texts, idf, threshold)
+    links2 = materialize(known.where(F.col("s") >= threshold - 1e-6).select("a", "b").union(rest), "links")
     comp = connected_components(links2).select(F.col("node").alias("rep"), "component")
     of = reps.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     of = materialize(of.select("k1", "k2", "first", "component"), "classes")
@@ -272,6 +284,93 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _mark(sampled.select("doc_id", "k1", "k2"), of)
 
 
+def _place(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of band groups with their component and the pivot's (pc)."""
+    comp = connected_components(links)
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    pc = comp.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    return materialize(placed.join(pc, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot")), "placed")
+
+
+def compare_sets(q: list[tuple], m: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs of weighted sets (hashes, counts, idf)
+    whose weighted Jaccard similarity reaches the threshold.
+
+    The k-th occurrence of a shingle is a feature of its own, so a sum of
+    minima is a product of 0/1 rows; shared features are multiplied in slices."""
+    both = [*q, *m]
+    row = np.repeat(np.arange(len(both)), [int(c.sum()) for _, c, _ in both])
+    nth = np.concatenate([np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) for _, c, _ in both]).astype(_U)
+    h = np.concatenate([np.repeat(e, c) for e, c, _ in both])
+    w = np.concatenate([np.repeat(x, c) for _, c, x in both]).astype(np.float64)
+    total = np.bincount(row, w, minlength=len(both))
+    with np.errstate(over="ignore"):
+        _, first, col, times = np.unique(mix(h + nth * _STEP[0]), return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[col]
+    row, at, weight = row[at >= 0], at[at >= 0], w[first[shared]]
+    common = np.zeros((len(q), len(m)))
+    for lo in range(0, len(shared), 4096):
+        hit = (at >= lo) & (at < lo + 4096)
+        x = np.zeros((len(both), min(4096, len(shared) - lo)))
+        x[row[hit], at[hit] - lo] = 1.0
+        common += (x[:len(q)] * weight[lo:lo + 4096]) @ x[len(q):].T
+    high = total[:len(q), None] + total[None, len(q):] - common
+    return np.nonzero(common >= (threshold - 1e-6) * high)
+
+
+def _cross_links(placed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between the members outside their group's pivot component
+    and all members of their groups, as a spanning forest of each block."""
+    sizes = materialize(placed.groupBy("band").agg(
+        F.ceil(F.sum((F.col("component") != F.col("pc")).cast("long")) / QUERY_BLOCK).alias("nq"),
+        F.ceil(F.count("*") / MEMBER_BLOCK).alias("nm")).where("nq > 0"), "odd-groups")
+    dealt = placed.join(sizes, "band")
+    zero = F.lit(0).cast("long")
+    q = dealt.where("component <> pc").select("band", F.pmod(F.xxhash64("rep"), F.col("nq")).alias("qb"),
+                                              F.explode(F.sequence(zero, F.col("nm") - 1)).alias("mb"), "rep", F.lit(True).alias("query"))
+    m = dealt.select("band", F.explode(F.sequence(zero, F.col("nq") - 1)).alias("qb"),
+                     F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nm")).alias("mb"), "rep", F.lit(False).alias("query"))
+    rows = q.unionByName(m).join(texts.dropDuplicates(["rep"]), "rep")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = idf.value
+        sets = []
+        for _, _, data, off in blocks(pa.array(pdf["text"], pa.string())):
+            sets += [(h, c, table[_slot(h)]) for h, c in _distinct(data, off)]
+        ask, ids = pdf["query"].to_numpy(), pdf["rep"].to_numpy()
+        if not ask.any() or ask.all():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        i, j = compare_sets([s for s, k in zip(sets, ask) if k], [s for s, k in zip(sets, ask) if not k], threshold)
+        links = star_forest(ids[ask][i], ids[~ask][j])
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("band", "qb", "mb").applyInPandas(run, "a long, b long")
+
+
+def _ordered(df: DataFrame, x: str, y: str, *keep: str) -> DataFrame:
+    """(a, b), the smaller and the larger of two columns, and the kept ones."""
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), *keep)
+
+
+def _named(placed: DataFrame, x: str, *more) -> DataFrame:
+    end = x[-1]
+    return placed.select("band", F.col("rep").alias(x), F.col("component").alias(f"c{end}"), F.col("total").alias(f"t{end}"),
+                         F.col("sp").alias(f"s{end}"), *more)
+
+
+def _pairs(one: DataFrame, two: DataFrame, threshold: float, far: float, which) -> DataFrame:
+    """Distinct pairs (a, b) of rows of a band in different components that may
+    reach the threshold: similarity cannot exceed the ratio of the total
+    weights, and 1 - similarity is a metric, so two rows whose similarities to
+    the pivot differ by more than 1 - threshold are too far apart."""
+    may = ((F.col("cx") != F.col("cy")) & which & (F.abs(F.col("sx") - F.col("sy")) <= far)
+           & (F.least("tx", "ty") >= F.greatest("tx", "ty") * (threshold - 1e-6)))
+    return _ordered(one.join(two, "band").where(may), "x", "y").distinct()
+
+
 def _mark(keyed: DataFrame, of: DataFrame) -> DataFrame:
     """Class and kept flag for every row.  One row per class leads: the first
     of the rows holding the leading representative's smallest id."""
