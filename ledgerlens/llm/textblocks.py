@@ -46,7 +46,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 20), base, dtype=_U)
+        p = np.full(max(n, 1 << 18), base, dtype=_U)
         p[0] = 1
         _powers[kind] = have = np.cumprod(p, dtype=_U)
     return have[:n]
@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into row ranges (lo, hi, bytes, offsets) of at most
     ``max_bytes``; a longer row is a range of its own."""
     raw, off = utf8(column)
