@@ -80,7 +80,7 @@ def text_bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cut = np.searchsorted(row, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             u, c = np.unique(b[cut[i]:cut[i + 1]], return_counts=True)
-            yield u, (c / (PAD + c.sum())).astype(np.float32)
+            yield u.astype(np.int32), (c / (PAD + c.sum())).astype(np.float32)
 
 
 @dataclass
@@ -99,7 +99,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
     soft = (rng.random((DIM, 2)) - 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     bags = list(text_bags(pa.array(texts, pa.string())))
-    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=BUCKETS) if bags else np.zeros(BUCKETS)
+    seen = np.zeros(BUCKETS, np.int32)
+    for u, _ in bags:
+        seen[u] += 1
     bags = [(u[seen[u] >= MIN_TEXTS], w[seen[u] >= MIN_TEXTS]) for u, w in bags]
     y = np.asarray(labels, dtype=np.int64)
     if len(set(labels)) < 2:  # nothing to tell apart
@@ -166,9 +168,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
-    rows = sorted(training_sample(docs, labels, **bounds).select("doc_id", "toxic", "text").collect(),
-                  key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    """Train on the bounded sample, in one task; the driver gets the model's
+    BUCKETS floats only."""
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        m = train([r[2] for r in rows], [int(r[1]) for r in rows])
+        yield pa.RecordBatch.from_pydict({"score": pa.array([m.score.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([m.bias])})
+
+    sample = training_sample(docs, labels, **bounds).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    got = sample.repartition(1).mapInArrow(run, "score binary, bias double").first()
+    return Model(np.frombuffer(got["score"], "<f4"), float(got["bias"]))
 
 
 def add_toxicity(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
