@@ -28,7 +28,7 @@ NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 DIM = 8
 GAIN = 30.0
-EPOCHS = 8
+EPOCHS, MIN_STEPS = 8, 300  # small samples are read more often
 BATCH = 128
 RATE = 0.05
 DECAY = 1e-3  # pull of every used embedding toward zero, per step
@@ -110,7 +110,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
     params = [emb, soft, bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-MIN_STEPS // -(-len(bags) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             pick = order[lo:lo + BATCH]
@@ -129,7 +130,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> Model:
             demb = np.stack([np.bincount(where, w * back[row, d], minlength=len(used)) for d in range(DIM)], 1)
             demb += DECAY * emb[used]
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+            rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, grad in enumerate((demb, hidden.T @ p, p.sum(0))):
                 at = used if k == 0 else slice(None)  # lazy moments for the rows in use
                 m1[k][at] = 0.9 * m1[k][at] + 0.1 * grad
