@@ -28,7 +28,8 @@ def parse_amount(c: Column | str, generic: bool = False) -> Column:
         s = F.regexp_replace(s, r"[$,\s]", "")
         s = F.regexp_replace(s, r"\((.+)\)", "-$1")
     else:
-        s = F.regexp_replace(s, r"[$,]", "")
+        # Blank padding around the number is not part of it.
+        s = F.regexp_replace(s, r"[$,]|^\s+|\s+$", "")
     return F.when(s.rlike(_NUMERIC), s.try_cast("double"))
 
 

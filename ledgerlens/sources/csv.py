@@ -116,7 +116,8 @@ def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[Data
         names = header.split(",")
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         raw = (spark.read.schema(schema).option("header", True).option("encoding", enc)
-               .option("multiLine", multi_line).option("enforceSchema", True).csv(files)
+               .option("multiLine", multi_line).option("enforceSchema", True)
+               .option("escape", '"').csv(files)  # a doubled quote inside a quoted field
                .withColumn(ps.FILE_COL, F.col("_metadata.file_path"))
                # The input split a line came from: deterministic per row, it
                # salts the occurrence index so identical lines of one large

@@ -141,3 +141,12 @@ def test_identical_lines_across_splits(spark):
     expect = sorted(hashlib.sha256((base if i == 0 else f"{base}|{i}").encode()).hexdigest()[:16]
                     for i in range(200))
     assert ids == expect
+
+
+def test_bank_amounts_may_be_blank_padded(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions.money import parse_amount
+
+    rows = spark.createDataFrame([(" -4.00 ",), ("$1,200.50",), ("4 5",), ("x",)], "a string")
+    assert [r[0] for r in rows.select(parse_amount(F.col("a"))).collect()] == [-4.0, 1200.5, None, None]
