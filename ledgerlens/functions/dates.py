@@ -30,7 +30,13 @@ def _col(c):
 _SHAPES = (
     (r"^\d{4}-\d{2}-\d{2}$", ("yyyy-MM-dd",)),
     (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([+-]\d{2}:?\d{2}|Z)?$", None),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("MM/dd/yyyy", "M/d/yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy",)),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", ("yyyy-MM-dd HH:mm",)),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", ("yyyy-MM-dd'T'HH:mm",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm",)),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
 )
 
 
@@ -69,7 +75,7 @@ def week_of_month(d: Column) -> Column:
 
 
 def is_weekend(d: Column) -> Column:
-    return F.weekday(d) >= 5
+    return F.coalesce(F.weekday(d) >= 5, F.lit(False))
 
 
 def week_label(d: Column) -> Column:

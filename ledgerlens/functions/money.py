@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Money is summed as DECIMAL so results do not depend on partition order
-# (double addition is not associative).  18 digits, 2 after the point,
-# covers amounts up to 10^16 per row; sums widen automatically.
-MONEY = "decimal(18,2)"
+# (double addition is not associative).  8 digits after the point keep
+# sub-cent amounts, 20 before it bound a row; sums widen to 38 digits.
+MONEY = "decimal(28,8)"
+# For sums of squares: a square must fit 38 digits with room for the sum.
+MOMENT = "decimal(18,6)"
 
 # What a plain number looks like once currency symbols and separators are
 # removed.  Spark's cast also accepts '1.0d', 'NaN', 'Infinity'; the gate keeps

@@ -7,14 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import MICROS_PER_DAY, micros
-from ledgerlens.functions.money import MONEY
+from ledgerlens.functions.money import MOMENT
 from ledgerlens.functions.rules import DAY_NAMES, OTHER_CATEGORY
 from ledgerlens.operators.common import Keys, exact_quantile, expenses, join_on_keys, prev_in_order, top_k
 
 FEATURES = ("amount_abs", "dow", "hour", "category_encoded", "days_since_prev")
-# Largest per-key row count for which the built-in exact percentile (which
-# keeps a key's distinct values in one buffer) is used.
-DIRECT_QUANTILE_ROWS = 40_000
 MATERIALIZE_SCORES = True
 
 
@@ -58,7 +55,7 @@ def zscore_scores(feats: DataFrame, keys: Keys = ()) -> DataFrame:
     Mean and variance come from exact DECIMAL sums, so every engine and every
     partitioning yields bit-identical scores.
     """
-    x = F.col("amount_abs").cast(MONEY)
+    x = F.col("amount_abs").cast(MOMENT)
     g = feats.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_ll_n"),
         F.sum(x).cast("double").alias("_ll_s1"),
@@ -123,19 +120,12 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
     q = 1.0 - contamination
     base = [F.count(F.lit(1)).alias("_ll_cnt"), F.min("raw_score").alias("_ll_lo"),
             F.max("raw_score").alias("_ll_hi")]
-    # Exact flag threshold and median |amount| per key.  When the largest key
-    # is proven small (a check on the per-key counts), the built-in exact
-    # aggregates hold at most that many values per key and run in the same
-    # pass; otherwise ``exact_quantile`` avoids any per-key value buffer.
-    largest = scored.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= DIRECT_QUANTILE_ROWS:
-        stats = scored.groupBy(*keys).agg(*base, F.percentile("raw_score", F.lit(q)).alias("_ll_thr"),
-                                          F.median("amount_abs").alias("_ll_median"))
-    else:
-        stats = scored.groupBy(*keys).agg(*base)
-        thr = exact_quantile(scored, keys, "raw_score", q, "_ll_thr")
-        med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
-        stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
+    # Exact flag threshold and median |amount| per key, without a buffer that
+    # holds a key's values.
+    stats = scored.groupBy(*keys).agg(*base)
+    thr = exact_quantile(scored, keys, "raw_score", q, "_ll_thr")
+    med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
+    stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
     close = F.abs(F.col("_ll_hi") - F.col("_ll_lo")) <= (1e-8 + 1e-5 * F.abs(F.col("_ll_lo")))
     stats = stats.withColumn("_ll_active", (F.col("_ll_cnt") >= min_expenses) & ~close)
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.rules import SEED_VOCAB
 from ledgerlens.functions.text import keyword_category, keyword_confidence
-
-# The centroid table is pulled into the plan as a literal; it has one row per
-# category, so it is bounded by the vocabulary, and the bound is checked.
-MAX_CENTROIDS = 1024
+from ledgerlens.operators.common import join_on_keys
 
 
 def categorize_keywords(df: DataFrame, vocab=SEED_VOCAB, src: str = "description") -> DataFrame:
@@ -48,26 +45,25 @@ def _norm(a: Column) -> Column:
 def categorize_embeddings(df: DataFrame, centroids: DataFrame | Sequence[tuple[object, Sequence[float]]],
                           vec: str = "embedding", label_type: str = "int") -> DataFrame:
     """Nearest centroid by cosine ``dot/(|a||b|+1e-9)``; ties -> first centroid
-    in label order.  Adds ``category`` and ``category_confidence``."""
-    if isinstance(centroids, DataFrame):
-        rows = centroids.orderBy("label").select("label", "centroid").limit(MAX_CENTROIDS + 1).collect()
-        if len(rows) > MAX_CENTROIDS:
-            raise ValueError(f"more than {MAX_CENTROIDS} centroids; use a join-based assignment")
-        cents = [(r["label"], list(r["centroid"])) for r in rows]
-    else:
-        cents = list(centroids)
-    if not cents:
-        return df.withColumn("category", F.lit(None)).withColumn("category_confidence", F.lit(None).cast("double"))
+    in label order.  Adds ``category`` and ``category_confidence``; without
+    centroids both are NULL.
+
+    The centroids travel as ONE row holding an array of (label, vector, norm),
+    attached by a constant key.  There is one entry per category, whatever the
+    number of rows, and the plan does not grow with their number."""
+    if not isinstance(centroids, DataFrame):
+        centroids = df.sparkSession.createDataFrame(
+            [(lab, [float(x) for x in c]) for lab, c in centroids], f"label {label_type}, centroid ARRAY<DOUBLE>")
+    c = centroids.select(F.col("label").cast(label_type).alias("label"),
+                         F.transform("centroid", lambda x: x.cast("double")).alias("centroid"))
+    table = c.agg(F.sort_array(F.collect_list(
+        F.struct("label", "centroid", _norm(F.col("centroid")).alias("norm")))).alias("_ll_cents"))
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    vn = _norm(v)
-    sims = []
-    for i, (lab, c) in enumerate(cents):
-        carr = F.array(*[F.lit(float(x)) for x in c])
-        cnorm = sum(float(x) * float(x) for x in c) ** 0.5
-        sim = _dot(v, carr) / (vn * F.lit(cnorm) + F.lit(1e-9))
-        sims.append(F.struct(sim.alias("sim"), F.lit(-i).alias("neg_i"), F.lit(lab).cast(label_type).alias("label")))
-    best = F.greatest(*sims) if len(sims) > 1 else sims[0]
-    return (df.withColumn("_ll_best", best)
-              .withColumn("category", F.col("_ll_best.label"))
-              .withColumn("category_confidence", F.col("_ll_best.sim"))
-              .drop("_ll_best"))
+    j = join_on_keys(df.withColumn("_ll_v", v).withColumn("_ll_vn", _norm(F.col("_ll_v"))), table, ())
+    best = F.array_max(F.transform("_ll_cents", lambda e, i: F.struct(
+        (_dot(F.col("_ll_v"), e["centroid"]) / (F.col("_ll_vn") * e["norm"] + F.lit(1e-9))).alias("sim"),
+        (-i).alias("neg_i"), e["label"].alias("label"))))
+    return (j.withColumn("_ll_best", best)
+             .withColumn("category", F.col("_ll_best.label"))
+             .withColumn("category_confidence", F.col("_ll_best.sim"))
+             .drop("_ll_best", "_ll_cents", "_ll_v", "_ll_vn"))

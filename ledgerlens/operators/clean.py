@@ -18,43 +18,17 @@ from ledgerlens.functions.text import normalize_description
 from ledgerlens.operators.common import Keys
 
 
-# Largest merchant dimension that is broadcast; beyond it the rules run
-# inline on every row (no shuffle of the ledger either way).
-MAX_DIMENSION_ROWS = 200_000
-
-
 def normalize_descriptions(df: DataFrame, src: str = "description", out: str = "description",
-                           via_dimension: bool | str = "auto", with_category: bool = False,
-                           max_dimension_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+                           with_category: bool = False) -> DataFrame:
     """Clean merchant text (optionally also the keyword category).
 
-    Raw descriptions repeat heavily, so with ``via_dimension`` the rules run
-    once per distinct raw string and the result is broadcast-joined back.
-    The broadcast happens only after a bounded count of the distinct strings
-    proves the dimension small (``max_dimension_rows``); otherwise the rules
-    run row-wise inside whole-stage codegen — a narrow projection, never a
-    shuffle of the ledger.
+    The rules run row-wise inside whole-stage codegen: a narrow projection, so
+    building the plan starts no job and the ledger is not shuffled.
     """
     from ledgerlens.operators.categorize import categorize_keywords
 
-    def inline(d: DataFrame) -> DataFrame:
-        d = d.withColumn(out, normalize_description(F.col(src)))
-        return categorize_keywords(d, src=out) if with_category else d
-
-    if via_dimension is False:
-        return inline(df)
-    raw = df.select(F.col(src).alias("_ll_raw")).distinct()
-    if via_dimension == "auto":
-        n = raw.limit(max_dimension_rows + 1).count()
-        if n > max_dimension_rows:
-            return inline(df)
-    dim = raw.withColumn(out, normalize_description(F.col("_ll_raw")))
-    if with_category:
-        dim = categorize_keywords(dim, src=out)
-    add = [c for c in dim.columns if c != "_ll_raw"]
-    base = df.drop(*[c for c in add if c in df.columns and c != src])
-    joined = base.join(F.broadcast(dim), base[src].eqNullSafe(dim["_ll_raw"]), "left")
-    return joined.drop("_ll_raw")
+    out_df = df.withColumn(out, normalize_description(F.col(src)))
+    return categorize_keywords(out_df, src=out) if with_category else out_df
 
 
 def merchant_dimension(df: DataFrame, src: str = "raw_description") -> DataFrame:

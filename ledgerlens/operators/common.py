@@ -63,7 +63,7 @@ def prev_in_order(df: DataFrame, keys: Keys, ts: str, tiebreak: str, out: str) -
 
 
 def top_k(df: DataFrame, keys: Keys, order: Sequence[Column], k: int, salt_col: str | None = None,
-          buckets: int = 64, rank_col: str | None = None) -> DataFrame:
+          buckets: int = 1024, rank_col: str | None = None) -> DataFrame:
     """Rows with the ``k`` smallest ``order`` per key (``order`` must be total).
 
     Two rounds so a hot key is never ranked in one task: top-k within
@@ -91,12 +91,15 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
     semantics) without holding a key's values in one aggregation buffer.
 
     1. A mergeable sketch (``percentile_approx``, rank error <= n/accuracy)
-       brackets the needed order statistics per key.
-    2. Rows below the bracket are counted; rows inside it are reduced to
+       brackets the quantile per key, three errors wide on each side.
+    2. One pass counts the rows below the bracket and keeps the values next to
+       it (largest below, smallest above); rows inside are reduced to
        (value, count) — at most about 6·n/accuracy distinct values per key,
        ties included.
-    3. A running count over those values finds the exact order statistics at
-       ranks floor((n-1)q) and ceil((n-1)q), which are interpolated.
+    3. A running count over those values finds the order statistics at ranks
+       floor((n-1)q) and ceil((n-1)q), which are interpolated.  With b the
+       bracket's lower rank, floor((n-1)q) >= b-1, and likewise above, so a
+       rank outside the bracket is always one of the two neighbours.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"quantile must be in [0, 1], got {q}")
@@ -109,16 +112,18 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
         F.count(F.lit(1)).alias("_ll_n"),
         F.percentile_approx(x, F.array(F.lit(lo_q), F.lit(hi_q)), F.lit(accuracy)).alias("_ll_b"),
         F.min(x).alias("_ll_min"), F.max(x).alias("_ll_max"))
-    # Keys with at most 4·accuracy rows bracket their whole range (so at most
-    # that many values); larger keys have enough slack in the sketch bracket
-    # to cover the one-rank gap between nearest-rank and interpolation ranks.
-    small = F.col("_ll_n") <= 4 * accuracy
-    lo_b = F.when(small | (F.lit(lo_q) == 0.0), F.col("_ll_min")).otherwise(F.col("_ll_b")[0])
-    hi_b = F.when(small | (F.lit(hi_q) == 1.0), F.col("_ll_max")).otherwise(F.col("_ll_b")[1])
-    bounds = bounds.select(*kk, "_ll_n", lo_b.alias("_ll_lo"), hi_b.alias("_ll_hi"))
+    lo_b = F.lit(lo_q) == 0.0
+    hi_b = F.lit(hi_q) == 1.0
+    bounds = bounds.select(*kk, "_ll_n",
+                           F.when(lo_b, F.col("_ll_min")).otherwise(F.col("_ll_b")[0]).alias("_ll_lo"),
+                           F.when(hi_b, F.col("_ll_max")).otherwise(F.col("_ll_b")[1]).alias("_ll_hi"))
     j = base.select(*kk, x.alias("_ll_x")).join(bounds, kk)
-    below = j.groupBy(*kk).agg(F.count_if(F.col("_ll_x") < F.col("_ll_lo")).alias("_ll_below"))
-    inside = (j.where((F.col("_ll_x") >= F.col("_ll_lo")) & (F.col("_ll_x") <= F.col("_ll_hi")))
+    under = F.col("_ll_x") < F.col("_ll_lo")
+    over = F.col("_ll_x") > F.col("_ll_hi")
+    below = j.groupBy(*kk).agg(F.count_if(under).alias("_ll_below"), F.count_if(~over).alias("_ll_upto"),
+                               F.max(F.when(under, F.col("_ll_x"))).alias("_ll_left"),
+                               F.min(F.when(over, F.col("_ll_x"))).alias("_ll_right"))
+    inside = (j.where(~under & ~over)
               .groupBy(*kk, "_ll_x").agg(F.count(F.lit(1)).alias("_ll_c")))
     w = Window.partitionBy(*kk).orderBy("_ll_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (inside.withColumn("_ll_end", F.sum("_ll_c").over(w))
@@ -133,7 +138,10 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
     picked = ranked.groupBy(*kk).agg(
         F.max(F.when(hit_lo, F.col("_ll_x"))).alias("_ll_vlo"),
         F.max(F.when(hit_hi, F.col("_ll_x"))).alias("_ll_vhi"),
-        F.first("_ll_n").alias("_ll_n"))
+        *[F.max(c).alias(c) for c in ("_ll_n", "_ll_below", "_ll_upto", "_ll_left", "_ll_right")])
+    for v, r in (("_ll_vlo", r_lo), ("_ll_vhi", r_hi)):
+        picked = picked.withColumn(v, F.when(r < F.col("_ll_below"), F.col("_ll_left"))
+                                   .when(r >= F.col("_ll_upto"), F.col("_ll_right")).otherwise(F.col(v)))
     frac = (F.col("_ll_n") - 1) * F.lit(q) - F.floor((F.col("_ll_n") - 1) * F.lit(q))
     res = picked.select(*kk, (F.col("_ll_vlo") + (F.col("_ll_vhi") - F.col("_ll_vlo")) * frac).alias(out))
     return res if keys else res.drop("_ll_one")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.common import Keys
 
 FEATURES = ("amount_abs", "dow", "hour", "category_encoded", "days_since_prev")
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 10_000
 
 
 def c_factor(n):
@@ -108,10 +108,12 @@ def grow_forest(x: np.ndarray, tree_of_row: np.ndarray, rng: np.random.Generator
 def _build_fn(keys: Sequence[str], sample_size: int, seed: int):
     """Grow every tree of one key.  The group is the key's tree samples:
     about trees x sample_size rows at most, however large the key is."""
-    max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
-
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[list(FEATURES)].to_numpy(dtype=float)
+        # The depth limit follows the rows a tree really has: a small account's
+        # trees are grown on all its rows, fewer than ``sample_size``.
+        rows = min(sample_size, int(pdf["tree_id"].value_counts().max()))
+        max_depth = int(math.ceil(math.log2(max(rows, 2))))
         rng = np.random.default_rng([seed, len(pdf)])
         res = grow_forest(x, pdf["tree_id"].to_numpy(), rng, max_depth)
         roots = res[res["depth"] == 0].set_index("tree_id")["size"]
@@ -171,8 +173,9 @@ def iforest_scores(feats: DataFrame, keys: Keys = (), n_trees: int = 100, sample
     w = work.join(counts, kk)
     if forest is None:
         rate = F.least(F.lit(1.0), F.lit(float(sample_size)) / F.col("_ll_n"))
-        u = lambda t: (F.pmod(F.xxhash64(F.col("transaction_id"), t, F.lit(seed)), F.lit(1_000_003))
-                       / F.lit(1_000_003.0))
+        # All 53 bits a double holds, so the rate may be as low as any key needs.
+        u = lambda t: (F.shiftrightunsigned(F.xxhash64(F.col("transaction_id"), t, F.lit(seed)), 11)
+                       / F.lit(2.0 ** 53))
         picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < rate)
         sample = w.select(*kk, *FEATURES, F.explode(picks).alias("tree_id"))
         node_schema = ", ".join([f"{k} {dict(work.dtypes)[k]}" for k in kk]) + \

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from ledgerlens.sources import headers as hd
 from ledgerlens.sources import parse as ps
 
-HEADER_SCHEMA = "file_path STRING, header STRING, encoding STRING"
+HEADER_SCHEMA = "file_path STRING, path STRING, header STRING, encoding STRING"
 _CHUNK = 1 << 20
 
 
@@ -39,7 +40,7 @@ def _open(path: str):
 
 
 def _sniff(path: str) -> tuple[str, str]:
-    """First line (BOM dropped) and the encoding that decodes the whole file:
+    """First line that is not blank (BOM dropped) and the encoding that decodes the whole file:
     UTF-8 when every byte decodes, else ISO-8859-1 (which always decodes)."""
     dec = codecs.getincrementaldecoder("utf-8")()
     first = bytearray()
@@ -51,9 +52,10 @@ def _sniff(path: str) -> tuple[str, str]:
             if not chunk:
                 break
             if not have_first:
-                nl = chunk.find(b"\n")
-                first += chunk if nl < 0 else chunk[:nl]
-                have_first = nl >= 0
+                lines = (bytes(first) + chunk).split(b"\n")
+                kept = next((i for i, ln in enumerate(lines) if ln.lstrip(codecs.BOM_UTF8).strip()), len(lines) - 1)
+                first = bytearray(lines[kept])
+                have_first = kept < len(lines) - 1
             if ok:
                 try:
                     dec.decode(chunk)
@@ -73,14 +75,17 @@ def _sniff(path: str) -> tuple[str, str]:
 
 def _sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(p, *_sniff(p)) for p in b["path"]]
-        yield pd.DataFrame(rows, columns=["file_path", "header", "encoding"])
+        rows = [(f, p, *_sniff(p)) for f, p in zip(b["file_path"], b["path"])]
+        yield pd.DataFrame(rows, columns=["file_path", "path", "header", "encoding"])
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(file_path, header, encoding) for every file under ``path``."""
+    """(file_path, path, header, encoding) for every file under ``path``.
+
+    ``file_path`` is the name every scan's ``_metadata`` gives (blanks escaped)
+    and joins the steps; ``path`` opens the file."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path).select("path"))
+             .option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file_path"), "path"))
     return files.mapInPandas(_sniff_batches, HEADER_SCHEMA)
 
 
@@ -88,7 +93,7 @@ def row_counts(spark: SparkSession, headers: DataFrame, path: str | None = None,
     """Data rows per file (lines minus the header, blank lines ignored), from
     one distributed text scan of the directory."""
     if path is None:
-        paths = [r["file_path"] for r in headers.select("file_path").collect()]
+        paths = [r["path"] for r in headers.select("path").collect()]
         if not paths:
             return headers.withColumn("n_rows", F.lit(0).cast("long"))
         reader = spark.read.text(paths)
@@ -100,29 +105,50 @@ def row_counts(spark: SparkSession, headers: DataFrame, path: str | None = None,
     return headers.join(lines, "file_path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
 
 
+def _names(header: str) -> list[str]:
+    """Stripped column names of a header line."""
+    return [n.strip() for n in next(csv.reader([header], skipinitialspace=True), [])]
+
+
+def _last_named(names: list[str]) -> list[tuple[int, str]]:
+    """(position, name) per column; the last of columns whose names differ in
+    case only, as a frame resolves names without regard to case."""
+    last = {n.lower(): i for i, n in enumerate(names)}
+    return [(i, n) for i, n in enumerate(names) if last[n.lower()] == i and n]
+
+
 def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read a directory of bank exports -> (standard transactions, rejects)."""
     heads = hd.map_columns(hd.detect_formats(row_counts(spark, read_headers(spark, path), path)))
     rejects = hd.reject_report(heads)
+    # A registered layout may use column names the generic mapping rejects.
+    plugged = [r["header"] for r in heads.select("header").distinct().collect()
+               if ps.format_for(_names(r["header"])).name not in ("chase", "bofa", "plaid", "generic")]
+    if plugged:
+        own = heads.where(F.col("header").isin(plugged) & (F.col("n_rows") > 0)).select("file_path")
+        rejects = rejects.join(own, "file_path", "left_anti")
     good = heads.join(rejects.select("file_path"), "file_path", "left_anti")
     # One CSV scan per distinct layout.  The reader needs each layout's file
     # list; that is the listing the file index holds on the driver anyway
     # (one path per file, no data).
     groups: dict[tuple[str, str, str], list[str]] = {}
-    for r in good.select("format", "header", "encoding", "file_path").collect():
-        groups.setdefault((r["format"], r["header"], r["encoding"]), []).append(r["file_path"])
+    for r in good.select("format", "header", "encoding", "path").collect():
+        groups.setdefault((r["format"], r["header"], r["encoding"]), []).append(r["path"])
     out = None
     for (fmt, header, enc), files in groups.items():
-        names = header.split(",")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        names = _names(header)
+        # Read by position: header names may repeat or differ in case only.
+        schema = T.StructType([T.StructField(f"_ll_c{i}", T.StringType()) for i in range(len(names))])
         raw = (spark.read.schema(schema).option("header", True).option("encoding", enc)
                .option("multiLine", multi_line).option("enforceSchema", True)
                .option("escape", '"').csv(files)  # a doubled quote inside a quoted field
-               .withColumn(ps.FILE_COL, F.col("_metadata.file_path"))
-               # The input split a line came from: deterministic per row, it
-               # salts the occurrence index so identical lines of one large
-               # file are numbered by several tasks.
-               .withColumn("_ll_line", F.col("_metadata.file_block_start")))
+               .select(*[F.col(f"_ll_c{i}").alias(n) for i, n in _last_named(names)],
+                       F.col("_metadata.file_path").alias(ps.FILE_COL),
+                       # The input split a line came from: deterministic per row, it
+                       # salts the occurrence index so identical lines of one large
+                       # file are numbered by several tasks.
+                       F.col("_metadata.file_block_start").alias("_ll_line")))
+        names = [n for _, n in _last_named(names)]
         spec = ps.format_for(names)          # registry: built-in and plug-in layouts
         if spec.name == "generic":
             std = ps.parse_generic(raw, ps.generic_mapping(names))

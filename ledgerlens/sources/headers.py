@@ -28,7 +28,12 @@ def _lits(values) -> Column:
 
 
 def raw_columns(h: Column) -> Column:
-    return F.split(h, ",")
+    """Column names of a CSV header line; quotes around a name are not part
+    of it, and a quoted name may hold commas and doubled quotes."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), h), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+    return F.transform(parts, lambda c: F.when(
+        c.rlike(r'^\s*".*"\s*$'),
+        F.regexp_replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), '""', '"')).otherwise(c))
 
 
 def stripped_columns(h: Column) -> Column:

@@ -7,6 +7,7 @@ that disambiguates identical lines inside one file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ FILE_COL = "file_path"
 
 
 def occurrence_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str] = (),
-                     out: str = "occurrence", buckets: int = 64) -> DataFrame:
+                     out: str = "occurrence", buckets: int = 1024) -> DataFrame:
     """0-based index of each row among rows with equal ``group_cols``.
 
     Identical lines can be a large share of one file, so a group is split
@@ -97,8 +98,8 @@ def parse_chase(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
 
 
 def parse_bofa(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
-    """BofA: strict MM/dd/yyyy; the id uses the parsed date's text form."""
-    parsed = F.try_to_timestamp(F.col("Date"), F.lit("MM/dd/yyyy"))
+    """BofA: month/day/year, one or two digits; the id uses the parsed date's text form."""
+    parsed = F.try_to_timestamp(F.trim(F.col("Date")), F.lit("M/d/yyyy"))
     d = raw.select(*keep, *[c for c in ("_ll_line",) if c in raw.columns],
                    parsed.alias("date_parsed"),
                    _desc(F.col("Description")).alias("description"),
@@ -131,29 +132,16 @@ class ColumnMapping:
     credit: str | None = None
 
 
-def normalise_header(name: str) -> str:
-    return " ".join(name.strip().lower().split())
-
-
-def find_column(columns: Sequence[str], variants: Sequence[str]) -> str | None:
-    """Exact match of the normalised header against the sorted variants."""
-    norm = {}
-    for c in columns:
-        norm.setdefault(normalise_header(c), c)
-    for v in sorted(variants):
-        if v in norm:
-            return norm[v]
-    return None
+def generic_mapping(columns: Sequence[str]) -> ColumnMapping:
+    """Columns of a generic header, as ``headers.map_columns`` picks them: the
+    first variant in sorted order, the last of columns with equal names."""
+    by_name = {re.sub(r"\s+", " ", c.strip().lower()): c for c in columns}
 
+    def pick(variants: Sequence[str]) -> str | None:
+        return min((v for v in by_name if v in variants), default=None)
 
-def generic_mapping(columns: Sequence[str]) -> ColumnMapping:
-    return ColumnMapping(
-        date=find_column(columns, DATE_VARIANTS),
-        description=find_column(columns, DESC_VARIANTS),
-        amount=find_column(columns, AMOUNT_VARIANTS),
-        debit=find_column(columns, DEBIT_VARIANTS),
-        credit=find_column(columns, CREDIT_VARIANTS),
-    )
+    found = [pick(v) for v in (DATE_VARIANTS, DESC_VARIANTS, AMOUNT_VARIANTS, DEBIT_VARIANTS, CREDIT_VARIANTS)]
+    return ColumnMapping(*[None if v is None else by_name[v] for v in found])
 
 
 def parse_generic(raw: DataFrame, mapping: ColumnMapping | None = None,

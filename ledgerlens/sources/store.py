@@ -98,14 +98,15 @@ def previous_period(tx: DataFrame, runs: DataFrame, current: DataFrame, keys: Ke
     """Transactions of the latest run that ended strictly before each key's
     current period start (as-of join), selected by date range.
 
-    ``current`` holds (keys, current_start).  The as-of step reduces runs to
+    ``current`` holds (keys, current_start); of several starts of a key the
+    earliest counts.  Runs that end together rank by run_id.  The as-of step reduces runs to
     one row per key with ``max_by``; the range step is an equi-join on keys
     against that one-row-per-key side plus a BETWEEN filter."""
     from ledgerlens.operators.common import join_on_keys
-    cand = join_on_keys(runs, current.limit(1) if not keys else current, keys)
+    cand = join_on_keys(runs, current.groupBy(*keys).agg(F.min("current_start").alias("current_start")), keys)
     latest = (cand.where(F.col("period_end") < F.col("current_start"))
               .groupBy(*keys)
-              .agg(F.max_by(F.struct("run_id", "period_start", "period_end"), F.col("period_end")).alias("_ll_r"))
+              .agg(F.max_by(F.struct("run_id", "period_start", "period_end"), F.struct("period_end", "run_id")).alias("_ll_r"))
               .select(*keys, "_ll_r.*"))
     j = join_on_keys(tx, latest, keys)
     return j.where(F.col("date").between(F.col("period_start"), F.col("period_end")))
@@ -160,8 +161,8 @@ def merge_merchants(base: DataFrame, delta: DataFrame, keys: Keys = ()) -> DataF
 
 def top_merchants_table(merchants: DataFrame, keys: Keys = (), limit: int = 50) -> DataFrame:
     """Merchants by lifetime spend, ``limit`` per key (ties: name)."""
-    if not 1 <= limit <= 500:
-        raise ValueError(f"limit must be between 1 and 500, got {limit}")
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1, got {limit}")
     order = [F.col("total_spent").desc(), F.col("normalized_name")]
     if not keys:
         return merchants.orderBy(*order).limit(limit)

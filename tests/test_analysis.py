@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,14 +128,25 @@ def test_velocity(spark):
     assert dr.spending_velocity(frame(spark, rows)).collect()[0]["velocity_trend"] == "accelerating"
 
 
-def test_large_key_quantile_path_matches_direct(spark, monkeypatch):
+def test_single_account_threshold_matches_numpy(spark):
     rows = [("2026-04-%02d" % (i % 28 + 1), f"M{i % 7}", -float(5 + (i * 37) % 101), "other", i % 24)
             for i in range(300)]
     rows.append(("2026-04-28", "Big", -4000.0, "shopping", 3))
-    df = frame(spark, rows)
-    direct = sorted(tuple(r) for r in an.score_anomalies(df).select("transaction_id", "is_anomaly",
-                                                                     "anomaly_reason").collect())
-    monkeypatch.setattr(an, "DIRECT_QUANTILE_ROWS", 10)
-    bracket = sorted(tuple(r) for r in an.score_anomalies(df).select("transaction_id", "is_anomaly",
-                                                                      "anomaly_reason").collect())
-    assert direct == bracket and any(r[1] for r in direct)
+    got = an.score_anomalies(frame(spark, rows)).select("amount", "anomaly_score", "is_anomaly").collect()
+    x = np.array([abs(r["amount"]) for r in got])
+    z = np.abs(x - x.mean()) / (x.std() + 1e-9)
+    flagged = z >= np.percentile(z, 95) - 1e-12
+    assert [r["is_anomaly"] for r in got] == flagged.tolist() and flagged.any()
+    assert np.allclose([r["anomaly_score"] for r in got], z, rtol=1e-9)
+
+
+def test_forest_finds_a_single_outlier(spark):
+    rows = [("2026-04-%02d" % (i % 28 + 1), "M", -20.0 - (i % 5), "other", 12) for i in range(50)]
+    rows.append(("2026-04-15", "Big", -5000.0, "other", 12))
+    got = an.score_anomalies(frame(spark, rows), method="iforest").orderBy(F.desc("anomaly_score")).collect()
+    assert got[0]["description"] == "Big" and got[0]["is_anomaly"]
+
+
+def test_sub_cent_amounts_add_up(spark):
+    rows = [("2026-04-01", "A", -0.004, "other", 0)] * 1000
+    assert st.totals(frame(spark, rows)).collect()[0]["total_spent"] == pytest.approx(-4.0)

@@ -150,3 +150,48 @@ def test_bank_amounts_may_be_blank_padded(spark):
 
     rows = spark.createDataFrame([(" -4.00 ",), ("$1,200.50",), ("4 5",), ("x",)], "a string")
     assert [r[0] for r in rows.select(parse_amount(F.col("a"))).collect()] == [-4.0, 1200.5, None, None]
+
+
+def test_scan_of_untidy_files(spark):
+    root = tempfile.mkdtemp(prefix="ll-csv-untidy-")
+    files = {
+        "quoted.csv": '"Date","Description","Amount"\n2026-01-01,"JOE ""S"" PIZZA, NY",-4.50\n',
+        "with space.csv": "date,description,amount\n2026-01-02,Space,-1.00\n",
+        "blank led.csv": "\n\ndate,description,amount\n2026-01-03,Blank,-2.00\n",
+        "padded.csv": " Transaction Date ,Post Date, Description,Category,Type, Amount ,Memo\n"
+                      "04/01/2026,04/02/2026,Padded,,Sale, -4.00 ,\n",
+        "twice.csv": "date,description,Amount,amount\n2026-01-04,Twice,-1.00,-9.00\n",
+        "bofa.csv": "Date,Description,Amount,Running Bal.\n4/1/2026,Bofa,-3.00,10.00\n",
+        "short.csv": "date,description,amount\n01/05/26,Short,-5.00\n\"Jan 5, 2026\",Named,-6.00\n",
+    }
+    for name, text in files.items():
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(text)
+    tx, rejects = scan(spark, root)
+    assert rejects.count() == 0
+    got = {r["description"]: (str(r["date"])[:10], r["amount"]) for r in tx.collect()}
+    assert got == {'JOE "S" PIZZA, NY': ("2026-01-01", -4.5), "Space": ("2026-01-02", -1.0),
+                   "Blank": ("2026-01-03", -2.0), "Padded": ("2026-04-01", -4.0), "Twice": ("2026-01-04", -9.0),
+                   "Bofa": ("2026-04-01", -3.0), "Short": ("2026-01-05", -5.0), "Named": ("2026-01-05", -6.0)}
+
+
+def test_registered_layout_with_unknown_names_is_scanned(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.sources import parse as ps
+
+    def parse(raw):
+        return raw.select("file_path", F.to_timestamp("buchung").alias("date"), F.col("zweck").alias("description"),
+                          F.col("betrag").cast("double").alias("amount"), F.col("zweck").alias("raw_description"),
+                          F.lit("own").alias("source"), F.sha2("zweck", 256).alias("transaction_id"))
+
+    root = tempfile.mkdtemp(prefix="ll-csv-own-")
+    with open(os.path.join(root, "own.csv"), "w") as fh:
+        fh.write("buchung,zweck,betrag\n2026-01-01,Own,-7.00\n")
+    spec = ps.FormatSpec("own", lambda cols: {"buchung", "zweck", "betrag"} <= set(cols), parse)
+    ps.register_format(spec)
+    try:
+        tx, rejects = scan(spark, root)
+        assert rejects.count() == 0 and tx.collect()[0]["amount"] == -7.0
+    finally:
+        ps.FORMATS.remove(spec)
