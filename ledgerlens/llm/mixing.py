@@ -71,8 +71,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE
     rows = (docs.where("doc_id is not null").join(lab, F.col("doc_id") == F.col("id"))
             .select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("q"), "quality")).alias("domain"),
                     F.xxhash64("doc_id").alias("at")))
+    rows = rows.dropDuplicates(["doc_id"])
+    # The hash is uniform, so its lowest 4 * per_domain / n share of a domain holds
+    # the per_domain lowest rows: only those are ranked, however large the domain.
+    share = rows.groupBy("domain").agg((F.lit(4.0 * per_domain) / F.count(F.lit(1))).alias("share"))
+    low = (rows.join(F.broadcast(share), "domain")  # one row a domain
+           .where(F.col("at").cast("double") / 2.0**64 + 0.5 <= F.col("share")).drop("share"))
     w = Window.partitionBy("domain").orderBy("at", "doc_id")
-    pick = rows.dropDuplicates(["doc_id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_domain)
+    pick = low.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_domain)
     ids = F.broadcast(pick.select(F.col("doc_id").alias("id"), "domain"))  # per_domain rows a domain
     got = docs.join(ids, F.col("doc_id") == F.col("id")).groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     return sorted((r["doc_id"], r["domain"], r["text"]) for r in got.collect())
