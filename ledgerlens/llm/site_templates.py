@@ -1,12 +1,15 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree is hashed (tag, text and child hashes).  Spark counts
-on how many pages of its host each hash occurs; subtrees that recur on many
-pages of a host are that site's template and are deleted.  Elements that name
-themselves as page furniture (nav, footer, forms, scripts, adverts, comments
-and the like) are deleted as well, and where a page has an article, only it is
-read.  Headings, paragraphs and other prose inside the article stay even if
-other pages repeat them.
+with how many distinct main texts of its host each hash occurs; subtrees that
+recur with many are that site's template and are deleted, but for
+prose inside the article.  Copies of a page have one main text and count once.  Edited
+copies have other main texts, but the same lines around a subtree: inside an
+article a template must also stand between other lines on most of its pages.
+
+To supplement this, elements that name themselves as page furniture (nav,
+footer, forms, scripts, adverts, comments and the like) are deleted, and where
+a page has an article, only it is read.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.common import broadcast_if_small, materialize
 
-MIN_PAGES, MIN_SHARE = 5, 0.2  # a subtree on so many pages, and this share of the host's pages, is template
-MAX_BROADCAST_ROWS = 100_000  # hosts with their template lists (each bounded by page size / MIN_SHARE)
+MIN_PAGES, MIN_SHARE = 5, 0.2  # a subtree with so many distinct main texts, and this share of its host's, is template
+AROUND = 3  # lines before and after a subtree in an article that tell edited copies from a template
+MAX_BROADCAST_ROWS = 100_000  # templates (host, digest), and pages with their templates (bounded by page size)
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,21 +177,67 @@ def _in_furniture(n: Node) -> bool:
     return False
 
 
-def page_subtrees(page: str | None) -> list[int]:
-    """Distinct digests of the subtrees that could be template: all with
-    content, but for the page itself, its article and prose in the article."""
+def _lines(top: Node) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The lines of the text without furniture, and of each element in it (by
+    id) the range of its lines."""
+    lines: list[str] = []
+    line: list[str] = []
+    span: dict[int, tuple[int, int]] = {}
+
+    def close():
+        text = _SPACE.sub(" ", "".join(line)).strip()
+        if text:
+            lines.append(text)
+        line.clear()
+
+    stack: list = [top]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            line.append(n)
+        elif isinstance(n, tuple):
+            n, start = n
+            if n.tag in BLOCK:
+                close()
+            span[id(n)] = (start, len(lines) + (n.tag not in BLOCK))
+        elif n is top or not is_furniture(n, top):
+            if n.tag in BLOCK:
+                close()
+            stack.append((n, len(lines)))
+            stack.extend(reversed(n.inside))
+    close()
+    return lines, span
+
+
+def page_subtrees(page: str | None) -> list[tuple[int, int, int, int]]:
+    """Distinct (digest, main, before, after) of the subtrees that could be
+    template: all with content, but for the page itself and its article.  main
+    names the page's main text; before and after the lines around a subtree in
+    the article (main for others).  Digest 0 stands for the page.  A page
+    without main text has none."""
+    from xxhash import xxh64_intdigest
+
     root = parse(page or "")
     digest_subtrees(root)
     top = _main(root)
-    inside = {id(n) for n in _walk(top)} if top.tag != "#root" else set()
+    lines, span = _lines(top)
+    if not lines:
+        return []
+    name = lambda x: _signed(xxh64_intdigest("\x1f".join(x)))
+    main = name(lines)
     above = set()
     up = top
     while up is not None:
         above.add(id(up))
         up = up.parent
-    return sorted({_signed(n.digest) for n in _walk(root)
-                   if n.inside and id(n) not in above and n.tag not in ("html", "body", "head")
-                   and not (id(n) in inside and n.tag in PROSE)})
+    found = {(0, main, main, main)}
+    for n in _walk(root):
+        if not n.inside or id(n) in above or n.tag in ("html", "body", "head") or (n.tag in PROSE and top.tag != "#root" and id(n) in span):
+            continue
+        at = span.get(id(n)) if top.tag != "#root" else None
+        around = (name(lines[max(0, at[0] - AROUND):at[0]]), name(lines[at[1]:at[1] + AROUND])) if at else (main, main)
+        found.add((_signed(n.digest), main, *around))
+    return sorted(found)
 
 
 def main_text(page: str | None, template: set[int]) -> str:
@@ -197,7 +247,6 @@ def main_text(page: str | None, template: set[int]) -> str:
     if template:
         digest_subtrees(root)
     top = _main(root)
-    prose = top.tag != "#root"
     out: list[str] = []
     line: list[str] = []
 
@@ -216,7 +265,7 @@ def main_text(page: str | None, template: set[int]) -> str:
         if n is None:
             close()
             continue
-        if n is not top and (is_furniture(n, top) or (template and _signed(n.digest) in template and not (prose and n.tag in PROSE))):
+        if n is not top and (is_furniture(n, top) or (template and _signed(n.digest) in template and not (top.tag != "#root" and n.tag in PROSE))):
             continue
         if n.tag == "br":
             line.append(" ")
@@ -235,46 +284,57 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): digests of subtrees on at least ``MIN_PAGES`` pages and
-    ``MIN_SHARE`` of the pages of their host.  A list is at most the subtrees
-    of a page / MIN_SHARE long."""
+def _page_key():
+    """Two hashes that name a page by its host and html."""
+    return [F.xxhash64("host", "html").alias("k1"), F.xxhash64(F.lit("page"), "html", "host").alias("k2")]
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, k1, k2, digest, main, before, after) of :func:`page_subtrees`,
+    written once; k1, k2 name the page."""
     def run(batches):
         for b in batches:
-            hosts, found = b.column(0), [page_subtrees(x) for x in b.column(1).to_pylist()]
-            # 0 stands for the page itself, to count the host's pages.
-            at = np.repeat(np.arange(len(found)), [len(f) + 1 for f in found])
-            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(at)), pa.array([d for f in found for d in [0, *f]], pa.int64())],
-                                             names=["host", "digest"])
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long")
-    counts = materialize(rows.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n >= " + str(MIN_PAGES)), "subtrees")
+            found = [page_subtrees(x) for x in b.column(3).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            cells = np.array([x for f in found for x in f], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), *(pa.array(cells[:, i]) for i in range(4))],
+                                             names=["host", "k1", "k2", "digest", "main", "before", "after"])
+    keyed = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "html").select("host", *_page_key(), "html")
+    return materialize(keyed.mapInArrow(run, "host string, k1 long, k2 long, digest long, main long, before long, after long"), "subtrees")
+
+
+def site_templates(found: DataFrame) -> DataFrame:
+    """(host, digest) of the subtrees with at least ``MIN_PAGES`` distinct main
+    texts and ``MIN_SHARE`` of those of their host, on most of them between
+    other lines."""
+    counts = materialize(found.groupBy("host", "digest").agg(F.countDistinct("main").alias("n")).where("n >= 2"), "counts")
     whole = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    return (counts.where("digest <> 0").join(whole, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE)
-            .groupBy("host").agg(F.collect_set("digest").alias("template")))
+    often = (counts.where("digest <> 0").join(whole, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= F.col("pages") * MIN_SHARE))
+             .select("host", "digest", "n"))
+    often = broadcast_if_small(materialize(often, "often"), MAX_BROADCAST_ROWS)
+    around = found.select("host", "digest", "before", "after").join(often, ["host", "digest"]).groupBy("host", "digest", "n").agg(
+        F.countDistinct("before").alias("before"), F.countDistinct("after").alias("after"))
+    return around.where("greatest(before, after) * 2 >= n").select("host", "digest")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Null or empty html gives an empty text.  Pages without a host (null url)
-    form one site.  Repeated rows count as pages each and stay.  Other columns
-    are ignored."""
-    templates = broadcast_if_small(materialize(site_templates(pages), "templates"), MAX_BROADCAST_ROWS)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(templates, "host", "left")
+    form one site.  Repeated rows count as one page and all stay.  Other
+    columns are ignored."""
+    found = subtrees(pages)
+    templates = broadcast_if_small(materialize(site_templates(found), "templates"), MAX_BROADCAST_ROWS)
+    hits = found.select("host", "k1", "k2", "digest").join(templates, ["host", "digest"]).groupBy("k1", "k2").agg(
+        F.collect_set("digest").alias("template"))
+    hits = broadcast_if_small(materialize(hits, "page-templates"), MAX_BROADCAST_ROWS)
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    rows = rows.select("page_id", "url", "html", *_page_key()).join(hits, ["k1", "k2"], "left")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        last, known = None, set()
         for b in batches:
-            text = []
-            for page, t in zip(b.column(2).to_pylist(), b.column(3)):
-                if t.is_valid:
-                    key = hash(t.values.to_numpy(zero_copy_only=False).tobytes())
-                    if key != last:
-                        last, known = key, set(t.as_py())
-                    text.append(main_text(page, known))
-                else:
-                    text.append(main_text(page, set()))
+            text = [main_text(page, set(t or ())) for page, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
     return rows.select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
