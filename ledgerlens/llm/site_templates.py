@@ -2,10 +2,11 @@
 
 Every element's subtree is hashed (tag, text and child hashes).  Spark counts
 with how many distinct main texts of its host each hash occurs; subtrees that
-recur with many are that site's template and are deleted, but for
-prose inside the article.  Copies of a page have one main text and count once.  Edited
+recur with many are that site's template and are deleted, prose inside the
+article included.  Copies of a page have one main text and count once.  Edited
 copies have other main texts, but the same lines around a subtree: inside an
 article a template must also stand between other lines on most of its pages.
+An inline element in running text goes with its block.
 
 To supplement this, elements that name themselves as page furniture (nav,
 footer, forms, scripts, adverts, comments and the like) are deleted, and where
@@ -34,7 +35,6 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 SKIP = frozenset("head script style textarea title noscript template iframe svg math nav footer aside form button select dialog menu object canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dd dt td th tr table tbody ul ol dl b strong i em a span code br u s q sub sup small mark".split())
 # Elements whose start ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo(?:tion)?|sponsor(?:ed)?|sidebar|side-bar|menu|nav(?:bar|igation)?|"
@@ -177,6 +177,21 @@ def _in_furniture(n: Node) -> bool:
     return False
 
 
+def _in_running_text(n: Node) -> bool:
+    """Whether an inline element stands in a line that has text beside it."""
+    up = n
+    while up.tag not in BLOCK and up.parent is not None:
+        up = up.parent
+        if any(isinstance(x, str) and x.strip() for x in up.inside):
+            return True
+    return False
+
+
+def _unit(n: Node) -> bool:
+    """Whether an element can be template by itself."""
+    return n.tag in BLOCK or not _in_running_text(n)
+
+
 def _lines(top: Node) -> tuple[list[str], dict[int, tuple[int, int]]]:
     """The lines of the text without furniture, and of each element in it (by
     id) the range of its lines."""
@@ -232,7 +247,7 @@ def page_subtrees(page: str | None) -> list[tuple[int, int, int, int]]:
         up = up.parent
     found = {(0, main, main, main)}
     for n in _walk(root):
-        if not n.inside or id(n) in above or n.tag in ("html", "body", "head") or (n.tag in PROSE and top.tag != "#root" and id(n) in span):
+        if not n.inside or id(n) in above or n.tag in ("html", "body", "head") or not _unit(n):
             continue
         at = span.get(id(n)) if top.tag != "#root" else None
         around = (name(lines[max(0, at[0] - AROUND):at[0]]), name(lines[at[1]:at[1] + AROUND])) if at else (main, main)
@@ -265,7 +280,7 @@ def main_text(page: str | None, template: set[int]) -> str:
         if n is None:
             close()
             continue
-        if n is not top and (is_furniture(n, top) or (template and _signed(n.digest) in template and not (top.tag != "#root" and n.tag in PROSE))):
+        if n is not top and (is_furniture(n, top) or (template and _signed(n.digest) in template and _unit(n))):
             continue
         if n.tag == "br":
             line.append(" ")

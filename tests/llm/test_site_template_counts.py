@@ -13,6 +13,12 @@ def story(i):
     return f"The story number{i} tells what happened in town{i}."
 
 
+def test_recurring_prose_in_articles_is_template(spark):
+    page = "<article><h1>Title {i}</h1><p>{s} It was <b>new</b> then.</p><p>Sign up for the weekly letter.</p><ul><li>One</li><li>Two</li></ul></article>"
+    by = texts(spark, [(i, f"http://a.org/{i}", page.format(i=i, s=story(i))) for i in range(9)])
+    assert by == {i: f"Title {i}\n{story(i)} It was new then." for i in range(9)}
+
+
 def test_copies_keep_their_text(spark):
     inside = "<article><div class=entry><p>All of this text is here.</p></div><p>The end.</p></article>"
     rows = [(i, f"http://a.org/?from={i}", f"<body>{inside}</body>") for i in range(6)]
