@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.common import broadcast_if_small, materialize
 
-MIN_PAGES, MIN_SHARE = 5, 0.2  # a subtree with so many distinct main texts, and this share of its host's, is template
+MIN_PAGES = 5  # a subtree with so many distinct main texts, or with all of a smaller host's (two at least), is template
 AROUND = 3  # lines before and after a subtree in an article that tell edited copies from a template
 MAX_BROADCAST_ROWS = 100_000  # templates (host, digest), and pages with their templates (bounded by page size)
 
@@ -320,11 +320,11 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 def site_templates(found: DataFrame) -> DataFrame:
     """(host, digest) of the subtrees with at least ``MIN_PAGES`` distinct main
-    texts and ``MIN_SHARE`` of those of their host, on most of them between
-    other lines."""
+    texts of their host (all, but two at least, where it has fewer), on most of
+    them between other lines."""
     counts = materialize(found.groupBy("host", "digest").agg(F.countDistinct("main").alias("n")).where("n >= 2"), "counts")
     whole = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    often = (counts.where("digest <> 0").join(whole, "host").where((F.col("n") >= MIN_PAGES) & (F.col("n") >= F.col("pages") * MIN_SHARE))
+    often = (counts.where("digest <> 0").join(whole, "host").where(F.col("n") >= F.least(F.lit(MIN_PAGES), F.col("pages")))
              .select("host", "digest", "n"))
     often = broadcast_if_small(materialize(often, "often"), MAX_BROADCAST_ROWS)
     around = found.select("host", "digest", "before", "after").join(often, ["host", "digest"]).groupBy("host", "digest", "n").agg(

@@ -32,3 +32,11 @@ def test_copies_keep_their_text(spark):
     assert all(by[i] == "All of this text is here.\nThe end." for i in range(6))
     assert all(by[10 + i] == "All of this text is here." and by[20 + i] == "No host at all." for i in range(6))
     assert all(by[30 + i].count("\n") == 23 for i in range(24))
+
+
+def test_hot_and_small_hosts_find_their_templates(spark):
+    rows = [(i, f"http://hot.org/{i}", f"<body><div>{'Section of sports' if i < 8 else 'No section' + str(i)}</div><div>{story(i)}</div></body>") for i in range(200)]
+    rows += [(1000 + i, f"http://small.org/{i}", f"<body><div>Welcome to us</div><div>{story(i)}</div></body>") for i in range(3)]
+    by = texts(spark, rows)
+    assert all(by[i] == story(i) for i in range(8)) and by[9].startswith("No section9")
+    assert all(by[1000 + i] == story(i) for i in range(3))
