@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm.common import configure, fresh_name, materialize, table
-from ledgerlens.llm.decontaminate import contaminated_ids
+from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.mixing import mix_to_targets
 from ledgerlens.llm.token_files import read_token_index, write_token_files
 from ledgerlens.llm.toxicity import THRESHOLD, add_toxicity, fit
@@ -28,24 +28,27 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return add_toxicity(docs, model, score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (10).
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` in a written table with a number each, and the name
+    of its column: ids may be null or repeated, and each row has its own fate."""
+    row = fresh_name(docs, "row_number")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
 
-    The kept rows are named by doc_id; rows that repeat a kept doc_id and text
-    are copies, of which one stays."""
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (10)."""
     configure(spark)
-    kept = materialize(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    hit = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    repeated = materialize(hit.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    again = hit.join(repeated, hit["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return hit.join(repeated, hit["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(again)
+    rows, row = _numbered(docs)
+    kept = materialize(near_duplicates(rows, row=row).where("kept").select(row), "kept")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window (2)."""
     configure(spark)
-    bad = materialize(contaminated_ids(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")), "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    rows, row = _numbered(docs)
+    bad = materialize(contamination(rows, table(spark, sf_dir, "benchmark"), row=row).where("contaminated").select(row), "bad")
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

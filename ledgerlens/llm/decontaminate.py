@@ -59,16 +59,18 @@ class PositionalIndex:
     vocabulary: DataFrame
 
 
-def build_index(docs: DataFrame, test_words: DataFrame) -> PositionalIndex:
+def build_index(docs: DataFrame, test_words: DataFrame, row: str | None = None) -> PositionalIndex:
     """Index the whole ``text`` of every row of ``docs`` (doc_id, text) for the
-    words in ``test_words`` (word)."""
+    words in ``test_words`` (word).  Rows have the numbers of the column
+    ``row``, or are numbered here."""
     vocab = materialize(test_words.select("word").distinct()
                         .withColumn("term_id", F.monotonically_increasing_id() + 1), "vocab")
     # Full lower-casing is the join key (cheap on ASCII); the folded word
     # decides among terms with equal keys.
     keyed = vocab.select(F.lower("word").alias("key"), F.col("word").alias("term"), "term_id").unionByName(
         docs.sparkSession.range(1).select(F.lit(_CLOSE).alias("key"), F.lit(_CLOSE).alias("term"), F.lit(0).cast("long").alias("term_id")))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    number = F.col(row).cast("bigint") if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", number.alias("row"))
     s = _split(rows, "text", F.col("row"), F.col("doc_id"))
     closed = s.withColumn("parts", F.concat("parts", F.array(F.lit(_CLOSE))))
     found = (closed.select("row", "doc_id", "n_words", "lead", F.posexplode("parts").alias("p", "w"))
@@ -148,9 +150,10 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
                                 (F.col("pos") - F.col("begin")).cast("int").alias("off"), "word"), "windows")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, row: str | None = None) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated.
+    contaminated, and the column ``row`` if one is named, which numbers the
+    rows of a written table.
 
     n_hit counts the document's words inside any occurrence of a window;
     n_items the items with occurring windows (items_sha256: their ids sorted
@@ -160,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     columns are ignored.  Empty tables: no rows, or no hits.
     """
     windows = benchmark_windows(benchmark, size)
-    index = build_index(docs, windows)
+    index = build_index(docs, windows, row)
     found = phrase_matches(index, windows.select("phrase", "off", "word"))
     found = materialize(found, "matches")
     # Union of [start, start + size) per document.
@@ -176,9 +179,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     ids = F.coalesce("ids", none)
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
-                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
-
-
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Distinct ids of documents with a benchmark window."""
-    return contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *([F.col("row").alias(row)] if row else []))

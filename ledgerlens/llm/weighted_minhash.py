@@ -144,9 +144,10 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _samples(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, k1, k2, total, bands) of every row: the 128-bit key of its word
-    sequence ((0, 0) without words), its total weight and its band keys."""
+def _samples(docs: DataFrame, idf, row: str | None = None) -> DataFrame:
+    """(doc_id, k1, k2, total, bands) of every row, and its number (num) from
+    the column ``row``, if any: the 128-bit key of its word sequence ((0, 0)
+    without words), its total weight and its band keys."""
     def run(batches):
         table, known = idf.value, {}
         for b in batches:
@@ -168,10 +169,11 @@ def _samples(docs: DataFrame, idf) -> DataFrame:
                     total[lo + i] = known[key][0]
                     bands.append(known[key][1])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(k[0]), pa.array(k[1]), pa.array(total), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "k1", "k2", "total", "bands"])
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, total double, bands array<long>")
+                [b.column(0), pa.array(k[0]), pa.array(k[1]), pa.array(total), pa.array(bands, pa.list_(pa.int64())), *b.columns[2:]],
+                names=["doc_id", "k1", "k2", "total", "bands", *b.schema.names[2:]])
+    num = [F.col(row).cast("bigint").alias("num")] if row else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *num)
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, total double, bands array<long>" + ", num long" * len(num))
 
 
 def _texts_of(docs: DataFrame, pick: DataFrame) -> DataFrame:
@@ -225,8 +227,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, s double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, kept.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, and the column ``row`` if
+    one is named, which numbers the rows of a written table.
 
     class_id is the smallest doc_id among documents linked, directly or
     through others, by equal word sequences or a weighted Jaccard similarity
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(df, n))  # DF_SLOTS floats
-    sampled = materialize(_samples(docs, idf), "samples")
+    sampled = materialize(_samples(docs, idf, row), "samples")
     # Rows of one key have the same words, so the same total and bands.
     reps = materialize(sampled.where("k1 <> 0 or k2 <> 0").groupBy("k1", "k2")
                        .agg(F.min("doc_id").alias("first"), F.first("total").alias("total"), F.first("bands").alias("bands"))
@@ -281,7 +284,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of = materialize(of.select("k1", "k2", "first", "component"), "classes")
     lead = of.groupBy("component").agg(F.min("first").alias("class_id"))
     of = of.join(lead, "component").withColumn("leads", F.col("first").eqNullSafe(F.col("class_id")))
-    return _mark(sampled.select("doc_id", "k1", "k2"), of)
+    marked = _mark(sampled.drop("total", "bands"), of)
+    return marked.withColumnRenamed("num", row) if row else marked
 
 
 def _place(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,7 +378,8 @@ def _pairs(one: DataFrame, two: DataFrame, threshold: float, far: float, which)
 def _mark(keyed: DataFrame, of: DataFrame) -> DataFrame:
     """Class and kept flag for every row.  One row per class leads: the first
     of the rows holding the leading representative's smallest id."""
-    rows = keyed.withColumn("row", F.monotonically_increasing_id())  # over a written table
+    num = [c for c in keyed.columns if c == "num"]
+    rows = keyed.withColumn("row", F.col("num") if num else F.monotonically_increasing_id())  # over a written table
     hit = rows.join(of, ["k1", "k2"], "left")
     lead = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first"))
     # Ties: rows that repeat (component, id) of a leader; only such rows are compared.
@@ -382,4 +387,4 @@ def _mark(keyed: DataFrame, of: DataFrame) -> DataFrame:
             .withColumnRenamed("component", "c"))
     out = hit.join(best, (F.col("row") == F.col("best")) & (F.col("component") == F.col("c")), "left")
     return out.select("doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      (F.col("component").isNull() | F.col("best").isNotNull()).alias("kept"))
+                      (F.col("component").isNull() | F.col("best").isNotNull()).alias("kept"), *num)
