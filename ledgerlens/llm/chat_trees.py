@@ -82,17 +82,13 @@ def format_branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(conv, leaf, rank, formatted, mask): one conversation per chosen path.
 
     Branches of a conversation are ranked by mean score (null: 0), then by
-    leaf; ``best`` keeps that many of each.  Null roles and texts are empty."""
+    leaf; ``best`` keeps that many of each, None all.  Null roles and texts are empty."""
     path = branch_paths(messages)
     rows = path.join(messages.select("conv", "node", "role", "text", "score"), ["conv", "node"])
-    if best is not None:
-        mean = path.join(messages.select("conv", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["conv", "node"]).groupBy(
-            "conv", "leaf").agg(F.avg("score").alias("mean"))
-        rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("mean"), "leaf"))
-        chosen = mean.withColumn("rank", rank).where(F.col("rank") <= best).select("conv", "leaf", "rank")
-        rows = rows.join(chosen, ["conv", "leaf"])
-    else:
-        rows = rows.withColumn("rank", F.lit(None).cast("int"))
+    mean = rows.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("mean"), "leaf"))
+    chosen = mean.withColumn("rank", rank).select("conv", "leaf", "rank")
+    rows = rows.join(chosen if best is None else chosen.where(F.col("rank") <= best), ["conv", "leaf"])
     role = F.coalesce("role", F.lit(""))
     rows = rows.select("conv", "leaf", "rank", "dist", F.concat(F.lit("<|"), escape(role), F.lit("|>")).alias("head"),
                        escape(F.col("text")).alias("body"), (role == "assistant").alias("learn"))
