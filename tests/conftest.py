@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
@@ -18,14 +17,6 @@ def spark():
     s.stop()
 
 
-STD_SCHEMA = ("date TIMESTAMP, description STRING, amount DOUBLE, raw_description STRING, "
-              "source STRING, transaction_id STRING")
-
-
-def ts(s: str) -> datetime:
-    return datetime.fromisoformat(s)
-
-
 @pytest.fixture
 def make_frame(spark):
     def _make(rows, schema):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from moments import ts
 from ledgerlens.functions.text import normalize_description
 from ledgerlens.operators.categorize import categorize_keywords
 from ledgerlens.operators.clean import dedup_exact, dedup_near, deduplicate, normalize_dates
