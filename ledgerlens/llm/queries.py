@@ -154,3 +154,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.quality_lm import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op11_cross_tokens")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerlens.llm.cross_tokens import cross_alignment
+
+    return cross_alignment(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
+                           str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@register("op12_importance")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.importance import importance
+
+    out = importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_OP13 = """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@register("op13_vector_search", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.vector_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
