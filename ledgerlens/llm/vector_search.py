@@ -77,16 +77,16 @@ def best_of_block(queries: np.ndarray, q_rows: np.ndarray, members: np.ndarray,
 
 def _search(scale: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # an empty side has no columns either
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_row", "query_id", "row", "vec_id", "score")})
         right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])  # null ids last
         q, m, s = best_of_block(_integers([v.values.to_numpy() for v in left.column("vector").combine_chunks()], scale),
                                 left.column("row").to_numpy(),
                                 _integers([v.values.to_numpy() for v in right.column("vector").combine_chunks()], scale),
-                                right.column("row").to_numpy(), k) if left.num_rows and right.num_rows else ([], [], [])
-        return pa.table({"query_row": left.column("row").take(pa.array(q, pa.int64())),
-                         "query_id": left.column("vec_id").take(pa.array(q, pa.int64())),
-                         "row": right.column("row").take(pa.array(m, pa.int64())),
-                         "vec_id": right.column("vec_id").take(pa.array(m, pa.int64())),
-                         "score": pa.array(s, pa.int64())})
+                                right.column("row").to_numpy(), k)
+        q, m = pa.array(q, pa.int64()), pa.array(m, pa.int64())
+        return pa.table({"query_row": left.column("row").take(q), "query_id": left.column("vec_id").take(q),
+                         "row": right.column("row").take(m), "vec_id": right.column("vec_id").take(m), "score": pa.array(s, pa.int64())})
     return run
 
 
