@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over a corpus, scored by inverted pair bitmaps.
 
-A text is encoded by a byte-level BPE (A) and a sentencepiece model (B).  Byte
-offsets where tokens of both end cut the two token sequences into groups, and
+A text is encoded by a byte-level BPE (A) and a sentencepiece model (B).  Both
+encode a text as the sequence of its chunks, cut before spaces, so a chunk is
+encoded and aligned once and looked up from then on.  Byte offsets where tokens of both end cut the two token sequences into groups, and
 every A-B pair of token occurrences in a group is a link.
 
 The index is inverted: each pair of ids has, per container of documents, a
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.common import broadcast_if_small, materialize, stretch
+from ledgerlens.llm.textblocks import utf8
 
 CONTAINER = 1 << 13  # documents of a container: positions fit 13 bits, a plain bitmap 1 KB
 ARRAY_MAX = CONTAINER // 16  # up to so many documents a sorted array of 16-bit positions is the smaller form
 BLOCK_BYTES = 1 << 19  # of text encoded at once; a longer text is encoded by itself
 LINK_SLICE = 1 << 21  # links expanded at once
-PIECE_PAIRS = 200_000  # pair counts sent to all tasks; more are joined by shuffle
-_PAIR = 1 << 32  # a pair is A id * 2^32 + B id
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 1 << 24  # distinct chunks a worker keeps aligned; beyond it the cache starts anew
+PAIR_ROWS = 200_000  # pair counts sent to all tasks; more are joined by shuffle
+
+#: Before a space that follows other than white space; spaces at the end stay with what they follow.
+_CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 
 # ---- tokenizers -----------------------------------------------------------
@@ -52,6 +59,7 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(path_a)
@@ -68,28 +76,46 @@ class Tokenizers:
         self.len_b = np.array([len(x) for x in self.bytes_b])
         # An id's text with the mark that follows it: "," inside a run, "|" after A's last, ";" after B's last.
         self.marked = [f"{i}{m}".encode() for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for m in (",", last) for i in range(n)]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each text by A (space+text) and B; None for null and empty
-        texts and where the tokens' bytes are not those of space+text."""
-        some = [i for i, t in enumerate(texts) if t]
-        out: list[tuple[list[int], list[int]] | None] = [None] * len(texts)
-        got_a = self.a.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)
-        got_b = self.b.encode([texts[i] for i in some], num_threads=1)
-        for i, a, b in zip(some, got_a, got_b):
-            ids, whole = a.ids, (" " + texts[i]).encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
-                out[i] = (ids, b)
-        return out
+        # A text is cut where neither tokenizer joins what stands before a space with what follows: the byte-level
+        # splitter starts a piece at white space after other text, and no piece of B has a space after another byte.
+        self.splits = isinstance(self.a.pre_tokenizer, ByteLevel) and self.a.normalizer is None and not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
+
+    def chunks(self, text: str) -> list[str]:
+        """Parts of space+text that are encoded as in the whole; each begins with a space."""
+        return _CUT.split(" " + text) if self.splits else [" " + text]
+
+    def encode(self, chunks: list[str]) -> Encoded:
+        """Ids of each chunk by A and (which adds the space itself) B."""
+        got_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        got_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        size_a, size_b = np.array([len(x) for x in got_a]), np.array([len(x) for x in got_b])
+        a = np.fromiter(chain.from_iterable(got_a), np.int64, int(size_a.sum()))
+        b = np.fromiter(chain.from_iterable(got_b), np.int64, int(size_b.sum()))
+        del got_a, got_b
+        raw, off = utf8(pa.array(chunks, pa.large_string()))
+        same = np.ones(len(chunks), bool)
+        for ids, size, known, length in ((a, size_a, self.bytes_a, self.len_a), (b, size_b, self.bytes_b, self.len_b)):
+            joined = b"".join(map(known.__getitem__, ids.tolist()))
+            end = np.concatenate(([0], np.cumsum(length[ids])))[np.concatenate(([0], np.cumsum(size)))]
+            if joined != raw.tobytes() or (end != off).any():
+                text, view = memoryview(raw), memoryview(joined)
+                same &= np.array([text[off[i]:off[i + 1]] == view[end[i]:end[i + 1]] for i in range(len(chunks))], bool)
+        return Encoded(a, size_a, b, size_b, same)
 
 
-_loaded: dict[tuple[str, str], Tokenizers] = {}
+@dataclass
+class Encoded:
+    """Token sequences of several texts, one after another."""
 
+    a: np.ndarray
+    size_a: np.ndarray
+    b: np.ndarray
+    size_b: np.ndarray
+    same: np.ndarray  # whether the joined bytes of both are the text's
 
-def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
-    if (path_a, path_b) not in _loaded:
-        _loaded[path_a, path_b] = Tokenizers(path_a, path_b)
-    return _loaded[path_a, path_b]
+    def good(self) -> Encoded:
+        ok = self.same
+        return self if ok.all() else Encoded(self.a[np.repeat(ok, self.size_a)], self.size_a[ok], self.b[np.repeat(ok, self.size_b)], self.size_b[ok], ok[ok])
 
 
 # ---- alignment ------------------------------------------------------------
@@ -106,22 +132,21 @@ class Alignment:
     doc_of_group: np.ndarray
 
 
-def align(ids: list[tuple[list[int], list[int]]], len_a: np.ndarray, len_b: np.ndarray) -> Alignment:
+def align(e: Encoded, len_a: np.ndarray, len_b: np.ndarray) -> Alignment:
     """Cut the token sequences of texts, whose joined bytes are equal, where both end a token."""
-    a = np.concatenate([np.array(x, np.int64) for x, _ in ids])
-    b = np.concatenate([np.array(y, np.int64) for _, y in ids])
+    a, b = e.a, e.b
     end_a, end_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
-    cuts = np.intersect1d(end_a, end_b)
-    doc_a = np.repeat(np.arange(len(ids)), [len(x) for x, _ in ids])
+    cuts = np.intersect1d(end_a, end_b, assume_unique=True)  # no token is empty
+    doc_a = np.repeat(np.arange(len(e.size_a)), e.size_a)
     group_a = np.searchsorted(cuts, end_a)
     doc_of_group = np.empty(len(cuts), np.int64)
     doc_of_group[group_a] = doc_a
     return Alignment(a, b, group_a, np.searchsorted(cuts, end_b), doc_a, doc_of_group)
 
 
-def links(al: Alignment) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def links(al: Alignment, size_b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(pair, text, count) of all links, in bounded slices: distinct inside a
-    slice, to be added up over slices."""
+    slice, to be added up over slices.  A pair is A id * ``size_b`` + B id."""
     n_b = np.bincount(al.group_b, minlength=len(al.doc_of_group))
     start_b = np.cumsum(n_b) - n_b
     per_a = n_b[al.group_a]  # links of each A token
@@ -131,13 +156,18 @@ def links(al: Alignment) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         link = np.arange(lo, min(lo + LINK_SLICE, total))
         at = np.searchsorted(after, link, "right")
         b = al.b[start_b[al.group_a[at]] + link - (after[at] - per_a[at])]
-        pair, doc = al.a[at] * _PAIR + b, al.doc_a[at]
-        order = np.lexsort((doc, pair))
-        pair, doc = pair[order], doc[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        yield pair[first], doc[first], np.diff(np.append(first, len(pair)))
+        yield _add_up([(al.a[at] * size_b + b, al.doc_a[at], np.ones(len(b), np.int64))])
+
+
+def _add_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum the counts of equal (pair, place); sorted by both."""
+    pair, place, count = (np.concatenate(x) for x in zip(*parts))
+    span = int(place.max(initial=0)) + 1
+    key = pair * span + place  # a pair is under 2^40, a place in a batch or container under 2^23
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first] // span, key[first] % span, np.add.reduceat(count, first)
 
 
 def group_texts(al: Alignment, marked: list[bytes], n_a: int, n_b: int) -> list[bytes]:
@@ -158,6 +188,97 @@ def group_texts(al: Alignment, marked: list[bytes], n_a: int, n_b: int) -> list[
     return out
 
 
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, *shape: int):
+        self.data, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.n:self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
+class Aligner:
+    """Aligns texts chunk by chunk, each distinct chunk once."""
+
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # place of a chunk in the following
+        self.texts: list[bytes] = []  # its groups
+        self.facts = _Rows(4)  # n_a, n_b, n_groups, n_links; -1 where the bytes differ
+        self.first = _Rows()  # its first row in pairs
+        self.kinds = _Rows()  # its rows there
+        self.pairs = _Rows(2)  # pair, links
+        self.chars = 0
+
+    def learn(self, chunks: list[str]) -> None:
+        found = self.tok.encode(chunks)
+        good = np.flatnonzero(found.same)
+        facts, kinds, texts = np.full((len(chunks), 4), -1), np.zeros(len(chunks), np.int64), [b""] * len(chunks)
+        if len(good):
+            n_a, n_b = len(self.tok.bytes_a), len(self.tok.bytes_b)
+            al = align(found.good(), self.tok.len_a, self.tok.len_b)
+            pair, chunk, count = _add_up(list(links(al, n_b)))
+            order = np.argsort(chunk, kind="stable")
+            self.pairs.add(np.stack([pair[order], count[order]], axis=1))
+            facts[good] = np.stack([found.size_a[good], found.size_b[good], np.bincount(al.doc_of_group),
+                                    np.bincount(chunk, count).astype(np.int64)], axis=1)
+            kinds[good] = np.bincount(chunk)
+            for i, x in zip(good.tolist(), group_texts(al, self.tok.marked, n_a, n_b)):
+                texts[i] = x
+        self.number.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
+        self.first.add(self.pairs.n - int(kinds.sum()) + np.cumsum(kinds) - kinds)
+        self.kinds.add(kinds)
+        self.facts.add(facts)
+        self.texts += texts
+        self.chars += sum(map(len, chunks))
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], tuple[np.ndarray, ...]]:
+        """Of each text (n_a, n_b, n_groups, n_links) and its groups, b"" where
+        it has no tokens; and the links as (pair, text, count)."""
+        if len(self.number) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+            self.forget()
+        split = [self.tok.chunks(t) if t else [] for t in texts]
+        new = set().union(*split).difference(self.number)
+        if new:
+            self.learn(list(new))
+        numbers = [list(map(self.number.__getitem__, c)) for c in split]
+        size = np.array([len(c) for c in split])
+        chunk = np.fromiter(chain.from_iterable(numbers), np.int64, int(size.sum()))
+        row = np.repeat(np.arange(len(texts)), size)
+        good = size > 0
+        good[row[self.facts.data[chunk, 0] < 0]] = False
+        chunk, row = chunk[good[row]], row[good[row]]
+        facts = np.zeros((len(texts), 4), np.int64)
+        np.add.at(facts, row, self.facts.data[chunk])
+        groups = [b";".join(map(self.texts.__getitem__, c)) if ok else b"" for c, ok in zip(numbers, good.tolist())]
+        # Links of a text: those of its distinct chunks, times the chunk's number.
+        key = np.sort(row * len(self.texts) + chunk)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        once, times = key[first], np.diff(np.append(first, len(key)))
+        row, chunk = once // max(1, len(self.texts)), once % max(1, len(self.texts))
+        n = self.kinds.data[chunk]
+        at = np.repeat(self.first.data[chunk] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pairs = self.pairs.data[at]
+        return facts, groups, (pairs[:, 0], np.repeat(row, n), pairs[:, 1] * np.repeat(times, n))
+
+
+_aligners: dict[tuple[str, str], Aligner] = {}
+
+
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One per worker process, so its cache serves all its tasks."""
+    if (path_a, path_b) not in _aligners:
+        _aligners[path_a, path_b] = Aligner(Tokenizers(path_a, path_b))
+    return _aligners[path_a, path_b]
+
+
 # ---- compressed bitmaps ----------------------------------------------------
 
 def _runs(offsets: np.ndarray) -> np.ndarray:
@@ -254,13 +375,13 @@ _POSTING = "a int, b int, n_docs long, docs binary, planes binary"
 _INDEX = f"container long, slot int, {_DOC}, {_POSTING}"
 
 
-def _posting_arrays(pair: np.ndarray, slot: np.ndarray, count: np.ndarray) -> dict[str, pa.Array]:
+def _posting_arrays(pair: np.ndarray, slot: np.ndarray, count: np.ndarray, size_b: int) -> dict[str, pa.Array]:
     """Columns of the postings with entries (pair, slot, count) sorted by pair and slot."""
     new = np.ones(len(pair), bool)
     new[1:] = pair[1:] != pair[:-1]
     first = np.flatnonzero(new)
     offsets = np.append(first, len(pair))
-    return {"a": pa.array(pair[first] // _PAIR, pa.int32()), "b": pa.array(pair[first] % _PAIR, pa.int32()),
+    return {"a": pa.array(pair[first] // size_b, pa.int32()), "b": pa.array(pair[first] % size_b, pa.int32()),
             "n_docs": pa.array(np.diff(offsets), pa.int64()), "docs": pack_bitmaps(slot, offsets), "planes": pack_planes(count, offsets)}
 
 
@@ -276,17 +397,6 @@ def _row_ranges(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def _add_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum the counts of equal (pair, slot); sorted by both."""
-    pair, slot, count = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((slot, pair))
-    pair, slot, count = pair[order], slot[order], count[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (slot[1:] != slot[:-1])
-    first = np.flatnonzero(new)
-    return pair[first], slot[first], np.add.reduceat(count, first) if len(first) else count
-
-
 def _emit(rows: dict[str, pa.Array]) -> pa.RecordBatch:
     types = {"container": pa.int64(), "slot": pa.int32(), "doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(),
              "n_links": pa.int64(), "groups_sha256": pa.string(), "a": pa.int32(), "b": pa.int32(), "n_docs": pa.int64(),
@@ -309,31 +419,21 @@ def _index(path_a: str, path_b: str):
                 yield from index_part(part, container, slot0)
 
     def index_part(part, container, slot0):
-        tok = _tokenizers(path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         texts = part.column(1).to_pylist()
-        n = len(texts)
-        numbers = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
-        digest = [""] * n
-        found = []
+        facts, digest, found = [], [], []
         for lo, hi in _row_ranges(texts):
-            ids = tok.encode(texts[lo:hi])
-            at = np.array([lo + i for i, x in enumerate(ids) if x is not None], np.int64)
-            ids = [x for x in ids if x is not None]
-            if not ids:
-                continue
-            al = align(ids, tok.len_a, tok.len_b)
-            numbers["n_a"][at] = [len(x) for x, _ in ids]
-            numbers["n_b"][at] = [len(y) for _, y in ids]
-            numbers["n_groups"][at] = np.bincount(al.doc_of_group)
-            for i, s in zip(at.tolist(), group_texts(al, tok.marked, len(tok.bytes_a), len(tok.bytes_b))):
-                digest[i] = hashlib.sha256(s).hexdigest()
-            for pair, doc, count in links(al):
-                numbers["n_links"] += np.bincount(at[doc], count, minlength=n).astype(np.int64)
-                found.append((pair, at[doc] + slot0, count))
+            numbers, groups, (pair, row, count) = aligner.align(texts[lo:hi])
+            facts.append(numbers)
+            digest += [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+            if len(pair):
+                found.append(_add_up([(pair, row + lo + slot0, count)]))
+        n = len(texts)
         yield _emit({"container": pa.array(np.full(n, container)), "slot": pa.array(np.arange(slot0, slot0 + n), pa.int32()), "doc_id": part.column(0),
-                     **{k: pa.array(v) for k, v in numbers.items()}, "groups_sha256": pa.array(digest, pa.string())})
+                     **dict(zip(("n_a", "n_b", "n_groups", "n_links"), map(pa.array, np.concatenate(facts).T.copy()))),
+                     "groups_sha256": pa.array(digest, pa.string())})
         if found:
-            rows = _posting_arrays(*_add_up(found))
+            rows = _posting_arrays(*_add_up(found), len(aligner.tok.bytes_b))
             yield _emit({"container": pa.array(np.full(len(rows["a"]), container)), **rows})
     return run
 
@@ -445,7 +545,7 @@ def cross_alignment(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col:
     """
     of_docs, postings = index_links(docs, tokenizer_a, tokenizer_b, id_col, text_col)
     pairs = materialize(pair_table(postings).select("a", "b", F.col("n_docs").alias("pair_docs"), "is_best"), "pair-counts")
-    scored = postings.select("container", "a", "b", "n_docs", "docs", "planes").join(broadcast_if_small(pairs, PIECE_PAIRS), ["a", "b"])
+    scored = postings.select("container", "a", "b", "n_docs", "docs", "planes").join(broadcast_if_small(pairs, PAIR_ROWS), ["a", "b"])
     back = (scored.select("container", "n_docs", "docs", "planes", "pair_docs", "is_best")
             .repartition(stretch(docs.sparkSession), "container").sortWithinPartitions("container")
             .mapInArrow(_return, "container long, slot int, n_best long, count_sum long"))

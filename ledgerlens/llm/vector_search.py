@@ -17,6 +17,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.common import materialize
@@ -76,9 +77,8 @@ def best_of_block(queries: np.ndarray, q_rows: np.ndarray, members: np.ndarray,
 
 
 def _search(scale: int, k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:  # an empty side has no columns either
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_row", "query_id", "row", "vec_id", "score")})
+    def run(block: pa.Table) -> pa.Table:
+        left, right = block.filter(block.column("asking")), block.filter(pc.invert(block.column("asking")))
         right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])  # null ids last
         q, m, s = best_of_block(_integers([v.values.to_numpy() for v in left.column("vector").combine_chunks()], scale),
                                 left.column("row").to_numpy(),
@@ -114,7 +114,9 @@ def top_k(vectors: DataFrame, queries: Column | None = None, k: int = TOP_K, sca
          .withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nm - 1).cast("long")))))
     m = (rows.withColumn("mb", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(nm)))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
-    found = (q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb"))
+    columns = ["qb", "mb", "row", "vec_id", "vector"]
+    both = q.select(*columns, F.lit(True).alias("asking")).unionByName(m.select(*columns, F.lit(False).alias("asking")))
+    found = (both.groupBy("qb", "mb")
              .applyInArrow(_search(scale, k), "query_row long, query_id long, row long, vec_id long, score long"))
     # Each map task passes on its own k best of a query only; the lists then merge.
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")

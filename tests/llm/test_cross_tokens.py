@@ -89,14 +89,48 @@ def test_links_are_the_same_in_small_slices(corpus, paths, monkeypatch):
     from ledgerlens.llm import cross_tokens as c
 
     tok = c.Tokenizers(*paths)
-    ids = [x for x in tok.encode([t for _, t in corpus + ODD]) if x]
-    al = c.align(ids, tok.len_a, tok.len_b)
-    one = c._add_up(list(c.links(al)))
+    al = c.align(tok.encode([" " + t for _, t in corpus + ODD if t]).good(), tok.len_a, tok.len_b)
+    one = c._add_up(list(c.links(al, 32000)))
     monkeypatch.setattr(c, "LINK_SLICE", 97)
-    two = c._add_up(list(c.links(al)))
+    two = c._add_up(list(c.links(al, 32000)))
     assert all((x == y).all() for x, y in zip(one, two))
 
 
+def test_chunks_are_encoded_as_in_the_whole(paths):
+    """Random strings of letters, marks, digits and every kind of white space."""
+    import random
+
+    from ledgerlens.llm import cross_tokens as c
+
+    tok, rng = c.Tokenizers(*paths), random.Random(4)
+    assert tok.splits
+    letters = ["a", "B", "the", "'s", "'ll", ".", ",", "!!", "7", "2024", "é", "日本", "🙂", "▁", "<s>", "_", "\u0301", "\x1c", "\x85"]
+    space = [" ", " ", " ", "  ", "   ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u200b", "\x0b"]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.6 else space) for _ in range(rng.randint(1, 40))) for _ in range(8000)]
+    whole = tok.encode([" " + t for t in texts])
+    at_a, at_b = np.cumsum(whole.size_a) - whole.size_a, np.cumsum(whole.size_b) - whole.size_b
+    for i, t in enumerate(texts):
+        parts = tok.encode(tok.chunks(t))
+        assert parts.same.all() == whole.same[i], repr(t)
+        if whole.same[i]:
+            assert parts.a.tolist() == whole.a[at_a[i]:at_a[i] + whole.size_a[i]].tolist(), repr(t)
+            assert parts.b.tolist() == whole.b[at_b[i]:at_b[i] + whole.size_b[i]].tolist(), repr(t)
+    assert 0 < whole.same.sum() < len(texts)
+
+
+def test_cache_starts_anew(corpus, paths, monkeypatch):
+    from ledgerlens.llm import cross_tokens as c
+
+    texts = [t for _, t in corpus + ODD]
+    one, two = c.Aligner(c.Tokenizers(*paths)), c.Aligner(c.Tokenizers(*paths))
+    want = [one.align([t]) for t in texts]
+    monkeypatch.setattr(c, "CACHE_CHUNKS", 50)
+    for t, (facts, groups, links) in zip(texts, want):
+        f, g, k = two.align([t])
+        assert (f == facts).all() and g == groups
+        assert sorted(zip(*(x.tolist() for x in k))) == sorted(zip(*(x.tolist() for x in links)))
+
+
 def test_bitmaps_and_planes_round_trip():
     from ledgerlens.llm import cross_tokens as c
 
