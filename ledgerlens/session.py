@@ -21,6 +21,9 @@ BASE_CONF = {
     # batch of long texts stays small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    # Shuffle files go when the statement that made them ends, not when the
+    # driver happens to collect garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
