@@ -8,6 +8,9 @@ columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm.common import configure, fresh_name, materialize, table
@@ -16,13 +19,31 @@ from ledgerlens.llm.mixing import mix_to_targets
 from ledgerlens.llm.token_files import read_token_index, write_token_files
 from ledgerlens.llm.toxicity import THRESHOLD, add_toxicity, fit
 from ledgerlens.llm.weighted_minhash import near_duplicates
+from ledgerlens.plans.materialize import drop_tables, recorded, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
+_behind: list[str] = []  # tables that the last stage's result is read from
+
+
+def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """Tables behind the stage before go once its result is written, which is
+    when ``docs`` no longer reads them."""
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        files = docs.inputFiles()
+        done = [p for p in _behind if not any(p in f for f in files)]
+        _behind[:] = [p for p in _behind if p not in done]
+        drop_tables(spark, done)
+        with recorded(_behind):
+            return fn(spark, docs, sf_dir)
+    return run
 
+
+@_stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores below the threshold (7)."""
-    configure(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     score = fresh_name(docs, "toxicity")
     return add_toxicity(docs, model, score).where(F.col(score) < THRESHOLD).select(*docs.columns)
@@ -35,25 +56,28 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (10)."""
-    configure(spark)
     rows, row = _numbered(docs)
-    kept = materialize(near_duplicates(rows, row=row).where("kept").select(row), "kept")
+    with scratch(spark):
+        kept = materialize(near_duplicates(rows, row=row).where("kept").select(row), "kept", keep=True)
     return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
+@_stage
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window (2)."""
-    configure(spark)
     rows, row = _numbered(docs)
-    bad = materialize(contamination(rows, table(spark, sf_dir, "benchmark"), row=row).where("contaminated").select(row), "bad")
+    with scratch(spark):
+        found = contamination(rows, table(spark, sf_dir, "benchmark"), row=row)
+        bad = materialize(found.where("contaminated").select(row), "bad", keep=True)
     return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its fitted rate asks for (9)."""
-    configure(spark)
     prefix = fresh_name(docs, "mix")
     mixed = mix_to_targets(docs, table(spark, sf_dir, "labels"), prefix=prefix)
     copies = F.col(f"{prefix}_copies")
@@ -61,11 +85,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where(copies > 0).withColumn(f"{prefix}_copy", times).select(*docs.columns)
 
 
+@_stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mixed corpus and their index, read back (4)."""
     import public_tokenizers
 
-    configure(spark)
     return read_token_index(spark, write_token_files(docs, str(public_tokenizers.path(TOKENIZER))))
 
 
