@@ -35,7 +35,7 @@ MIN_LENGTH = 200
 ANCHOR = 48
 SPAN = MIN_LENGTH - ANCHOR + 1  # anchor positions in a window
 BLOCK_BYTES = 1 << 20  # of segments indexed at once
-GROUP_BYTES = 1 << 22  # a larger group is dealt again
+GROUP_BYTES = BLOCK_BYTES  # a larger group is dealt again
 WIDTHS = (40, 10, 3, 1)  # offset ranges of the successive dealings
 MAX_ANCHORS = 6_000_000  # repeated anchors sent to the tasks as 8-byte hashes; more join by shuffle
 MAX_BROADCAST_ROWS = 200_000
@@ -46,7 +46,8 @@ _U = np.uint64
 def segments(data: np.ndarray, off: np.ndarray):
     """Segments of a block of texts: (row, first, windows, anchor, hash): byte
     position (in the block) of the first window, number of windows, position
-    and hash of the anchor."""
+    and hash of the anchor.  A position has 30 bits, so a text is under 1 GiB
+    (a string in Spark is under 2 GiB)."""
     e = np.zeros(0, np.int64)
     n = len(data)
     if n < MIN_LENGTH:
@@ -95,20 +96,21 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     padded[:n] = text
     key = np.zeros(n, _U)
     for j in range(8):
-        key = (key << _U(8)) | padded[j:n + j].astype(_U)
+        key <<= _U(8)
+        key |= padded[j:n + j]
     done = 8
+    rank = np.empty(n, np.int32)  # a block has under 2^31 bytes
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         s = key[order]
-        new = np.ones(n, np.int64)
+        new = np.ones(n, np.int32)
         new[1:] = s[1:] != s[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        del s
+        rank[order] = np.cumsum(new, dtype=np.int32)
         if done >= depth or rank[order[-1]] == n:
             return order
-        after = np.zeros(n, np.int64)
-        after[:max(0, n - done)] = rank[done:]
-        key = (rank * (n + 1) + after).astype(_U)
+        key = rank.astype(_U) * _U(n + 1)
+        key[:max(0, n - done)] += rank[done:].astype(_U)
         done *= 2
 
 
@@ -125,19 +127,19 @@ def common_prefix_cuts(text: np.ndarray, order: np.ndarray, length: int) -> np.n
     n = len(text)
     bwt = text[order - 1]  # order 0 takes the last byte, a separator
     front = text[order]
-    jump = np.empty(n, np.int64)  # rank of the suffix one byte longer
-    jump[np.argsort(bwt, kind="stable")] = np.arange(n)
+    jump = np.empty(n, np.int32)  # rank of the suffix one byte longer
+    jump[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     cut = np.zeros(n + 1, bool)
     cut[0] = cut[n] = True
     lo, hi = np.array([0]), np.array([n])
-    owner = np.zeros(n, np.int64)
+    owner = np.zeros(n, np.int32)
     for _ in range(length):
         size = hi - lo
         total = int(size.sum())
         if not total:
             break
-        iv = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + lo[iv]
+        iv = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        at = np.arange(total, dtype=np.int32) + (lo - (np.cumsum(size) - size)).astype(np.int32)[iv]
         real = bwt[at] != 0  # windows hold no separator
         to, iv = jump[at[real]], iv[real]
         if total * 8 > n:  # order by rank: by a table when many, else by sorting
@@ -163,12 +165,10 @@ def common_prefix_cuts(text: np.ndarray, order: np.ndarray, length: int) -> np.n
 
 def repeated_windows(segs: list[bytes], n_windows: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
     """Per segment, which of its windows start more than once, counting copies."""
-    flat = np.frombuffer(b"".join(segs), np.uint8)
     lengths = np.array([len(s) for s in segs])
     begin = np.cumsum(lengths + 1) - lengths - 1
-    text = np.zeros(int(lengths.sum()) + len(segs), np.uint8)
-    where = np.arange(len(flat)) + np.repeat(np.arange(len(segs)), lengths)
-    text[where] = np.where(flat == 0, 255, flat)  # 0 parts segments; 255 never occurs in UTF-8
+    # 0 parts segments; 255 never occurs in UTF-8
+    text = np.frombuffer(b"".join(s.replace(b"\0", b"\xff") + b"\0" for s in segs), np.uint8)
     order = suffix_order(text, MIN_LENGTH)
     cut = common_prefix_cuts(text, order, MIN_LENGTH)
     weight = np.zeros(len(text), np.int64)
@@ -198,11 +198,11 @@ _RANGES = "array<struct<a:int,b:int>>"
 
 def _index(batches):
     """Rows (key, c1, c2, n, windows, seg) ordered by key -> (c1, c2, ranges)."""
-    held, size, last = [], 0, None
+    held: list[tuple] = []  # whole groups
+    group: list[tuple] = []  # the group being read
+    size = group_size = 0
 
     def flush():
-        if not held:
-            return None
         got = repeated_windows([h[4] for h in held], np.array([h[3] for h in held]), np.array([h[2] for h in held]))
         ranges = [[{"a": a, "b": b} for a, b in covered(g)] for g in got]
         out = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
@@ -211,17 +211,23 @@ def _index(batches):
         held.clear()
         return out
 
+    last = None
     for batch in batches:
-        for key, c1, c2, n, w, seg in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= BLOCK_BYTES and key != last:
-                yield flush()
-                size = 0
-            held.append((c1, c2, n, w, seg))
-            size += len(seg)
-            last = key
-    out = flush()
-    if out is not None:
-        yield out
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != last:
+                if held and size + group_size > BLOCK_BYTES:  # the group does not fit
+                    yield flush()
+                    size = 0
+                held += group
+                size += group_size
+                group, group_size, last = [], 0, key
+            group.append(row)
+            group_size += len(row[4])
+    if held and size + group_size > BLOCK_BYTES:
+        yield flush()
+    held += group
+    if held:
+        yield flush()
 
 
 def _deal(width: int):
