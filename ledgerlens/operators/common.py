@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import day_number
+from ledgerlens.plans.materialize import materialize
 
 Keys = Sequence[str]
 
@@ -85,6 +86,23 @@ def top_k(df: DataFrame, keys: Keys, order: Sequence[Column], k: int, salt_col:
     return out if rank_col else out.drop(name)
 
 
+def global_position(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
+    """0-based position of every row in a total ``order``, without one task
+    that sees all rows: range partitions are sorted and numbered, and each
+    adds the rows of the partitions before it (one count per partition)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Partition * 2^33 + position in it; written once, so both reads see one numbering.
+    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_ll_place", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_ll_place", 33).alias("_ll_part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_ll_n"))
+    before = F.coalesce(F.sum("_ll_n").over(Window.orderBy("_ll_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_ll_part", before.alias("_ll_before"))  # one row per partition
+    inside = F.col("_ll_place") - F.shiftleft(F.col("_ll_part"), 33)
+    return (placed.withColumn("_ll_part", part).join(F.broadcast(sizes), "_ll_part")
+            .withColumn(out, F.col("_ll_before") + inside).drop("_ll_place", "_ll_part", "_ll_before"))
+
+
 def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "quantile",
                    accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolation quantile per key (numpy/``quantile_cont``

@@ -1,4 +1,4 @@
-"""Embedding queries: seed centroids and nearest-centroid categories."""
+"""Embedding queries: seed centroids, nearest-centroid categories, clusters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import round_half_up
 from ledgerlens.operators.categorize import categorize_embeddings, seed_centroids
+from ledgerlens.operators.cluster import cluster_embeddings
 from ledgerlens.plans import oracle as o
 from ledgerlens.plans.catalog import register
 from ledgerlens.sources.ledgers import table
@@ -40,4 +41,23 @@ def q_nearest(spark, d):
                       round_half_up(F.col("category_confidence"), 6).alias("category_confidence"))
 
 
+#: The tables' vectors lie about 1.1 from their nearest neighbours; this cut
+#: gives some clusters and much noise.
+CLUSTER_EPS = 1.05
+
+_CLUSTERS = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b
+         WHERE a.vec_id <> b.vec_id AND sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) <= {CLUSTER_EPS}),
+reach(x, y) AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON r.y = n.x),
+c AS (SELECT x, least(x, min(y)) AS first FROM reach GROUP BY x),
+k AS (SELECT first, row_number() OVER (ORDER BY first) - 1 AS cluster_id FROM (SELECT DISTINCT first FROM c))
+SELECT v.vec_id, CAST(coalesce(k.cluster_id, -1) AS INTEGER) AS cluster_id
+FROM v LEFT JOIN c ON v.vec_id = c.x LEFT JOIN k ON c.first = k.first"""
+
+
+@register("description_clusters", _CLUSTERS)
+def q_clusters(spark, d):
+    return cluster_embeddings(table(spark, d, "embeddings"), eps=CLUSTER_EPS)
+
+
 from ledgerlens.plans import catalog_models  # noqa: E402,F401
