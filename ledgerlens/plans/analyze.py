@@ -32,19 +32,19 @@ def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: in
           audit=None) -> DataFrame:
     """ids -> clean descriptions -> de-duplicate -> date features.
 
-    Descriptions are cleaned on the raw scan (before the id shuffle) so the
-    distinct-string check reads one pruned column of the source.  The
-    category is a pure function of the clean description, so it can be
-    computed in the same dimension."""
+    Descriptions are cleaned after the id shuffle: the shuffle carries the raw
+    text only, and the rules run on its partitions however few files the scan
+    has.  The category is a pure function of the clean description and is
+    computed in the same projection."""
     obs = (lambda df, stage: audit.observe(df, stage)) if audit is not None else (lambda df, stage: df)
     if period_days is not None:
         # The period filter comes first, as in the source pipeline; it is a
         # plain predicate on the scan's date column, so it is pushed down.
         ledger = filter_period(ledger, period_days, as_of)
     d = obs(ledger, "parse")
+    d = with_ledger_ids(d, keys)
     d = obs(normalize_descriptions(d, src="raw_description", with_category=with_category),
             "normalize_descriptions")
-    d = with_ledger_ids(d, keys)
     # ids were numbered per account just above: no two rows of an account
     # share one, so the exact pass is skipped (it stays for unioned loads).
     d = obs(deduplicate(d, near_dup_window_days, keys, ids_unique=True), "deduplicate")
