@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # Money is summed as DECIMAL so results do not depend on partition order
@@ -45,13 +45,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def money_sum(c: Column | str) -> Column:
-    """Exact sum of money values, returned as DOUBLE."""
-    return F.sum(_col(c).cast(MONEY)).cast("double")
-
-
-def money_abs_sum(c: Column | str) -> Column:
-    return F.sum(F.abs(_col(c)).cast(MONEY)).cast("double")
+def exact_sum(c: Column, where: Column | None = None, over: WindowSpec | None = None, as_type: str = MONEY) -> Column:
+    """Sum of money values as DOUBLE, 0 for no rows: exact for amounts that fit
+    ``as_type``; larger ones (and sums beyond it) are added as doubles, so no
+    amount fails a job."""
+    def run(agg: Column) -> Column:
+        return agg if over is None else agg.over(over)
+    if where is not None:
+        c = F.when(where, c)
+    fits = c.try_cast(as_type)
+    small = F.coalesce(run(F.try_sum(fits)).cast("double"), run(F.sum(F.when(fits.isNotNull(), c))), F.lit(0.0))
+    return small + F.coalesce(run(F.sum(F.when(fits.isNull(), c))), F.lit(0.0))
 
 
 def combine_debit_credit(debit: Column, credit: Column) -> Column:
@@ -61,4 +65,4 @@ def combine_debit_credit(debit: Column, credit: Column) -> Column:
 
 def round_half_up(c: Column, digits: int) -> Column:
     """Round through DECIMAL so the result is the same in every SQL engine."""
-    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+    return F.coalesce(F.round(c.try_cast("decimal(38,10)"), digits).cast("double"), c)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import MICROS_PER_DAY, micros
-from ledgerlens.functions.money import MOMENT
+from ledgerlens.functions.money import MOMENT, exact_sum, round_half_up
 from ledgerlens.functions.rules import DAY_NAMES, OTHER_CATEGORY
 from ledgerlens.operators.common import Keys, exact_quantile, expenses, join_on_keys, prev_in_order, top_k
 
@@ -53,13 +53,16 @@ def zscore_scores(feats: DataFrame, keys: Keys = ()) -> DataFrame:
     """|x - mean| / (population std + 1e-9) of |amount| per key.
 
     Mean and variance come from exact DECIMAL sums, so every engine and every
-    partitioning yields bit-identical scores.
+    partitioning yields bit-identical scores; amounts of 1e12 and more are
+    added as doubles.
     """
-    x = F.col("amount_abs").cast(MOMENT)
+    x = F.col("amount_abs")
+    fits = x.try_cast(MOMENT)  # its square is exact in 38 digits
+    square = F.coalesce(F.try_sum(fits * fits).cast("double"), F.sum(F.when(fits.isNotNull(), x * x)), F.lit(0.0))
     g = feats.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_ll_n"),
-        F.sum(x).cast("double").alias("_ll_s1"),
-        F.sum(x * x).cast("double").alias("_ll_s2"),
+        exact_sum(x, as_type=MOMENT).alias("_ll_s1"),
+        (square + F.coalesce(F.sum(F.when(fits.isNull(), x * x)), F.lit(0.0))).alias("_ll_s2"),
     )
     n = F.col("_ll_n").cast("double")
     g = (g.withColumn("_ll_mean", F.col("_ll_s1") / n)
@@ -82,7 +85,7 @@ def _reason(amount_abs, merchant, median, weekend):
     ratio = F.try_divide(amount_abs, median)
     return (F.when(amount_abs > median * 5,
                    F.format_string("$%.2f at %s is %.1fx the median transaction", amount_abs, merchant,
-                                   F.round(ratio.cast("decimal(38,10)"), 1).cast("double")))
+                                   round_half_up(ratio, 1)))
             .when(F.coalesce(weekend, F.lit(False)),
                   F.format_string("Unusually large weekend purchase: $%.2f at %s", amount_abs, merchant))
             .otherwise(F.format_string("$%.2f at %s is an outlier for this period", amount_abs, merchant)))
@@ -158,5 +161,5 @@ def extract_anomalies(scored: DataFrame, keys: Keys = (), limit: int = 5) -> Dat
                 salt_col="transaction_id", rank_col="rank")
     return top.select(*keys, "rank", F.date_format("date", "yyyy-MM-dd").alias("date"),
                       F.coalesce(F.col("description"), F.lit("")).alias("description"), "amount",
-                      F.round(F.col("anomaly_score").cast("decimal(38,10)"), 3).cast("double").alias("score"),
+                      round_half_up(F.col("anomaly_score"), 3).alias("score"),
                       F.coalesce(F.col("anomaly_reason"), F.lit("")).alias("reason"))

@@ -70,13 +70,13 @@ def dedup_near(df: DataFrame, keys: Keys = (), window_days: int = 2, id_col: str
     group = [*keys, "description", "amount"]
     rows = F.struct(*[F.col(c) for c in cols])
     # NULL-date rows are always kept: each becomes its own group (keyed by its
-    # id) with a NULL day, which sorts before every real day in the lag.
+    # id) and its own window.
     undated = F.when(F.col("date").isNull(), F.col(id_col))
     first_of_day = (
         df.groupBy(*group, day_number(F.col("date")).alias("_ll_day"), undated.alias("_ll_undated"))
         .agg(F.min_by(rows, F.struct("date", id_col)).alias("_ll_row"), F.max("date").alias("_ll_last"))
     )
-    prev = F.lag("_ll_last").over(Window.partitionBy(*group).orderBy("_ll_day", "_ll_undated"))
+    prev = F.lag("_ll_last").over(Window.partitionBy(*group, "_ll_undated").orderBy("_ll_day"))
     limit = window_days * MICROS_PER_DAY
     return (first_of_day.withColumn("_ll_prev", prev)
             .where(F.col("_ll_prev").isNull() | F.col("_ll_row.date").isNull()

@@ -41,26 +41,33 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inne
 
 
 def prev_in_order(df: DataFrame, keys: Keys, ts: str, tiebreak: str, out: str) -> DataFrame:
-    """``lag(ts)`` over (keys) ordered by (ts, tiebreak), split by UTC day.
-
-    A plain ``lag`` over ``partitionBy(keys)`` sends a whole account to one
-    task.  Instead: lag inside (keys, day) — at most one day of one account per
-    task — and, for the first row of a day, take the last timestamp of the
-    previous non-empty day from a per-(keys, day) summary whose window has one
-    row per calendar day.  NULL timestamps sort last and get NULL.
+    """``lag(ts)`` over (keys) ordered by (ts, tiebreak), without a window over rows.
+
+    Rows after the first of a moment have that moment before them.  The first
+    one, which has the least ``tiebreak`` (unique per key), takes the key's
+    previous moment, found among the distinct moments: an aggregate with
+    map-side combine, so any number of rows of one moment or day is no skew.
+    Distinct moments are ordered inside (keys, UTC day); a day's first moment
+    takes the last one of the previous day that has any.  NULL timestamps get
+    NULL.
     """
-    day = "_ll_day"
-    d = df.withColumn(day, day_number(F.col(ts)))
-    within = Window.partitionBy(*keys, day).orderBy(F.col(ts).asc_nulls_last(), F.col(tiebreak))
-    d = d.withColumn("_ll_prev_in_day", F.lag(ts).over(within))
-    days = (d.where(F.col(day).isNotNull()).groupBy(*keys, day).agg(F.max(ts).alias("_ll_last"))
-            .withColumn("_ll_prev_day_last",
-                        F.lag("_ll_last").over(Window.partitionBy(*keys).orderBy(day)))
+    day, first, before = "_ll_day", "_ll_first", "_ll_before"
+    moments = (df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.min(tiebreak).alias(first))
+               .withColumn(day, day_number(F.col(ts))))
+    moments = moments.withColumn(before, F.lag(ts).over(Window.partitionBy(*keys, day).orderBy(ts)))
+    days = moments.groupBy(*keys, day).agg(F.max(ts).alias("_ll_last"))
+    days = (days.withColumn("_ll_day_before", F.lag("_ll_last").over(Window.partitionBy(*keys).orderBy(day)))
             .drop("_ll_last"))
-    joined = d.join(days, [*keys, day], "left")
-    return (joined.withColumn(out, F.when(F.col(ts).isNotNull(),
-                                          F.coalesce("_ll_prev_in_day", "_ll_prev_day_last")))
-            .drop(day, "_ll_prev_in_day", "_ll_prev_day_last"))
+    moments = (moments.join(days, [*keys, day]).withColumn(before, F.coalesce(before, "_ll_day_before"))
+               .select(*keys, ts, first, before))
+    joined = df.join(moments, [*keys, ts], "left")
+    return (joined.withColumn(out, F.when(F.col(tiebreak) == F.col(first), F.col(before)).when(F.col(first).isNotNull(), F.col(ts)))
+            .select(*df.columns, out))
+
+
+def optional_columns(df: DataFrame, **types: str) -> DataFrame:
+    """Add the named columns as NULL where ``df`` lacks them."""
+    return df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in df.columns))
 
 
 def top_k(df: DataFrame, keys: Keys, order: Sequence[Column], k: int, salt_col: str | None = None,

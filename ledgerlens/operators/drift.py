@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import micros
-from ledgerlens.functions.money import MONEY, round_half_up
+from ledgerlens.functions.money import exact_sum, round_half_up
 from ledgerlens.functions.rules import SUBSCRIPTIONS
-from ledgerlens.operators.common import Keys, expenses, join_on_keys
+from ledgerlens.operators.common import Keys, expenses, join_on_keys, optional_columns
 
 
 def _check(threshold: float) -> None:
@@ -17,8 +17,10 @@ def _check(threshold: float) -> None:
 
 
 def category_totals(df: DataFrame, keys: Keys = ()) -> DataFrame:
+    """|sum| of expenses per category; none without a category column."""
+    df = optional_columns(df, category="string")
     return (expenses(df).where(F.col("category").isNotNull()).groupBy(*keys, "category")
-            .agg(F.abs(F.sum(F.col("amount").cast(MONEY))).cast("double").alias("total")))
+            .agg(F.abs(exact_sum(F.col("amount"))).alias("total")))
 
 
 def category_drift(cur: DataFrame, prev: DataFrame, keys: Keys = (), threshold: float = 0.20) -> DataFrame:
@@ -79,10 +81,8 @@ def spending_velocity(df: DataFrame, keys: Keys = ()) -> DataFrame:
                                   F.max(micros(F.col("date"))).alias("_ll_hi"))
     j = join_on_keys(e, bounds, keys)
     first = F.lit(2) * micros(F.col("date")) <= F.col("_ll_lo") + F.col("_ll_hi")
-    absamt = F.abs("amount").cast(MONEY)
     g = j.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(first, absamt)), F.lit(0).cast(MONEY)).cast("double").alias("first_half"),
-        F.coalesce(F.sum(F.when(~first, absamt)), F.lit(0).cast(MONEY)).cast("double").alias("second_half"),
+        exact_sum(F.abs("amount"), first).alias("first_half"), exact_sum(F.abs("amount"), ~first).alias("second_half"),
     )
     ratio = F.when(F.col("first_half") > 0, F.try_divide(F.col("second_half"), F.col("first_half"))).otherwise(F.lit(1.0))
     trend = (F.when(F.col("second_half") == 0, F.lit("stable"))

@@ -6,19 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dates import month_label, week_label
-from ledgerlens.functions.money import MONEY, round_half_up
+from ledgerlens.functions.dates import day_number, month_label, week_label
+from ledgerlens.functions.money import exact_sum, round_half_up
 from ledgerlens.functions.rules import FOOD_DINING, SEVERITY_ORDER, SUBSCRIPTIONS
-from ledgerlens.operators.common import Keys, expenses, prev_in_order
+from ledgerlens.operators.common import Keys, expenses, prev_in_order, optional_columns
 from ledgerlens.functions.dates import MICROS_PER_DAY, micros
 
-def _is_exp():
-    return F.col("amount") < 0
-
+#: Columns a detector may do without; where they are missing it finds nothing.
+OPTIONAL = {"category": "string", "hour": "int", "is_weekend": "boolean"}
 
 
-def _abs_sum(c):
-    return F.sum(F.abs(c).cast(MONEY)).cast("double")
+def _is_exp():
+    return F.col("amount") < 0
 
 
 def _pct0(x):
@@ -37,8 +36,7 @@ def _late_aggs():
         (F.min("hour") != F.max("hour")).alias("_ll_hours"),
         F.count_if(food).alias("total_food_transactions"),
         F.count_if(late).alias("late_night_transaction_count"),
-        F.coalesce(F.sum(F.when(late, F.abs("amount").cast(MONEY))), F.lit(0).cast(MONEY))
-        .cast("double").alias("late_night_total"),
+        exact_sum(F.abs("amount"), late).alias("late_night_total"),
     ]
 
 
@@ -55,19 +53,14 @@ def _late_finish(g: DataFrame, keys: Keys) -> DataFrame:
 def late_night_spending(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Share of food_dining expense rows at hour >= 22 or < 4 is >= 15 %,
     provided the ledger has more than one distinct hour (time of day known)."""
-    if not {"hour", "category"} <= set(df.columns):
-        return _empty_late(df, keys)
+    df = optional_columns(df, **OPTIONAL)
     return _late_finish(df.groupBy(*keys).agg(*_late_aggs()), keys)
 
 
-def _empty_late(df, keys):
-    return df.limit(0).select(*keys, F.lit("LATE_NIGHT_SPENDING").alias("type"))
-
-
 def _subs_aggs():
     sub = _is_exp() & (F.col("category") == SUBSCRIPTIONS)
     return [F.sort_array(F.collect_set(F.when(sub, F.col("description")))).alias("subscriptions"),
-            F.sum(F.when(sub, F.abs("amount").cast(MONEY))).cast("double").alias("total_spend")]
+            exact_sum(F.abs("amount"), sub).alias("total_spend")]
 
 
 def _subs_finish(g: DataFrame, keys: Keys, max_subscriptions: int = 5) -> DataFrame:
@@ -82,15 +75,16 @@ def _subs_finish(g: DataFrame, keys: Keys, max_subscriptions: int = 5) -> DataFr
 
 def subscription_creep(df: DataFrame, keys: Keys = (), max_subscriptions: int = 5) -> DataFrame:
     """More than ``max_subscriptions`` distinct subscription merchants."""
+    df = optional_columns(df, **OPTIONAL)
     return _subs_finish(df.groupBy(*keys).agg(*_subs_aggs()), keys, max_subscriptions)
 
 
 def _weekend_aggs():
     e = _is_exp()
     wk = F.col("is_weekend")
-    return [F.sum(F.when(e & wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ws"),
+    return [exact_sum(F.abs("amount"), e & wk).alias("_ll_ws"),
             F.count_if(e & wk).alias("_ll_wn"),
-            F.sum(F.when(e & ~wk, F.abs("amount").cast(MONEY))).cast("double").alias("_ll_ds"),
+            exact_sum(F.abs("amount"), e & ~wk).alias("_ll_ds"),
             F.count_if(e & ~wk).alias("_ll_dn")]
 
 
@@ -114,18 +108,20 @@ def _weekend_finish(g: DataFrame, keys: Keys, threshold: float = 1.3) -> DataFra
 
 def weekend_splurge(df: DataFrame, keys: Keys = (), threshold: float = 1.3) -> DataFrame:
     """Mean |amount| per weekend expense vs per weekday expense."""
+    df = optional_columns(df, **OPTIONAL)
     return _weekend_finish(df.groupBy(*keys).agg(*_weekend_aggs()), keys, threshold)
 
 
 def merchant_dominance(df: DataFrame, keys: Keys = (), share: float = 0.25) -> DataFrame:
     """Merchants holding more than ``share`` of their category's spend."""
+    df = optional_columns(df, **OPTIONAL)
     m = (expenses(df).where(F.col("category").isNotNull())
          .groupBy(*keys, "category", "description")
-         .agg(F.sum(F.col("amount").cast(MONEY)).alias("_ll_m")))
+         .agg(exact_sum(F.col("amount")).alias("_ll_m")))
     # One row per (key, category, merchant): the category window is small.
     w = Window.partitionBy(*keys, "category")
-    m = (m.withColumn("_ll_cat", F.abs(F.sum("_ll_m").over(w)).cast("double"))
-          .withColumn("amount", F.abs("_ll_m").cast("double")))
+    m = (m.withColumn("_ll_cat", F.abs(exact_sum(F.col("_ll_m"), over=w)))
+          .withColumn("amount", F.abs("_ll_m")))
     pct = F.try_divide(F.col("amount"), F.col("_ll_cat"))
     return (m.where((F.col("_ll_cat") != 0) & (pct > share))
             .select(*keys, F.lit("SINGLE_MERCHANT_DOMINANCE").alias("type"),
@@ -140,13 +136,13 @@ def merchant_dominance(df: DataFrame, keys: Keys = (), share: float = 0.25) -> D
 def anomalous_week(df: DataFrame, keys: Keys = (), factor: float = 1.5) -> DataFrame:
     """The top week (earliest on ties) when it is >= factor x the weekly mean."""
     weeks = (expenses(df).groupBy(*keys, week_label(F.col("date")).alias("week"))
-             .agg(F.sum(F.col("amount").cast(MONEY)).alias("_ll_w")))
+             .agg(exact_sum(F.col("amount")).alias("_ll_w")))
     # max week with earliest label on ties: order by (total desc, week asc)
-    best = F.min_by(F.struct(F.abs("_ll_w").cast("double").alias("v"), F.col("week").alias("w")),
+    best = F.min_by(F.struct(F.abs("_ll_w").alias("v"), F.col("week").alias("w")),
                     F.struct((-F.abs("_ll_w")).alias("nv"), F.col("week").alias("w")))
     g = weeks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_ll_n"),
-        F.abs(F.sum("_ll_w")).cast("double").alias("_ll_tot"),
+        F.abs(exact_sum(F.col("_ll_w"))).alias("_ll_tot"),
         best.alias("_ll_best"),
     )
     avg = F.try_divide(F.col("_ll_tot"), F.col("_ll_n"))
@@ -177,7 +173,7 @@ def income_irregularity(df: DataFrame, keys: Keys = (), min_deposits: int = 3,
     deviation of at least ``min_std_days``.  Gap moments use exact integer sums,
     so the threshold test does not depend on summation order."""
     if "category" not in df.columns:
-        return df.limit(0).select(*keys, F.lit("INCOME_IRREGULARITY").alias("type"))
+        df = df.limit(0)
     g = income_gaps(df, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("income_events"),
         F.count("gap_days").alias("_ll_m"),
@@ -200,20 +196,34 @@ def income_irregularity(df: DataFrame, keys: Keys = (), min_deposits: int = 3,
 
 
 def income_deposits(df: DataFrame, keys: Keys = ()) -> DataFrame:
-    """The deposit amounts behind an income finding, in date order, as rows
-    (a list per account would put a whole account into one value)."""
+    """The deposits behind an income finding with their position (0, 1, ...) in
+    date order, as rows: a list per account would put a whole account into one
+    value, and a window over it into one task.
+
+    Positions come from the account's days: deposits before the day, plus the
+    place inside the day.
+    """
     flagged = income_irregularity(df, keys).select(*keys)
     inc = df.where(F.col("amount") > 0).select(*keys, "date", "transaction_id", "amount")
-    return inc.join(flagged, list(keys), "left_semi") if keys else inc
+    one = F.lit(0).alias("_ll_one")  # with no keys the finding is one row or none
+    inc = inc.join(flagged, list(keys), "left_semi") if keys else inc.select("*", one).join(flagged.select(one), "_ll_one", "left_semi").drop("_ll_one")
+    inc = inc.withColumn("_ll_day", day_number(F.col("date")))
+    days = inc.groupBy(*keys, "_ll_day").agg(F.count(F.lit(1)).alias("_ll_n"))
+    upto = F.sum("_ll_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_ll_day")))
+    days = days.select(*keys, "_ll_day", (upto - F.col("_ll_n")).alias("_ll_before"))
+    on = [inc[k].eqNullSafe(days[k]) for k in [*keys, "_ll_day"]]
+    placed = inc.join(days, on).select(*[inc[c] for c in inc.columns], "_ll_before")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_ll_day").orderBy("date", "transaction_id")) - 1
+    return placed.withColumn("position", (F.col("_ll_before") + inside).cast("long")).drop("_ll_day", "_ll_before")
 
 
 def recurring_forgotten(df: DataFrame, keys: Keys = (), min_months: int = 2) -> DataFrame:
     """Non-subscription expenses with the same (merchant, amount) in at least
     ``min_months`` distinct calendar months.  Two partial aggregates instead of
     a distinct-count: (group, month) first, then count months per group."""
-    if "category" not in df.columns:
-        return df.limit(0).select(*keys, F.lit("RECURRING_FORGOTTEN").alias("type"))
-    e = df.where(_is_exp() & ~F.col("category").eqNullSafe(SUBSCRIPTIONS))
+    if "category" not in df.columns:  # without categories nothing is known to be no subscription
+        df = df.limit(0)
+    e = optional_columns(df, **OPTIONAL).where(_is_exp() & ~F.col("category").eqNullSafe(SUBSCRIPTIONS))
     months = e.groupBy(*keys, "description", "amount", month_label(F.col("date")).alias("_ll_month")).agg(
         F.count(F.lit(1)).alias("_ll_c"))
     g = months.groupBy(*keys, "description", "amount").agg(F.count(F.lit(1)).alias("months_seen"))
@@ -237,16 +247,12 @@ def detect_patterns(df: DataFrame, keys: Keys = ()) -> DataFrame:
     severity rank (critical < warning < info) for presentation."""
     # Late-night, subscription and weekend detectors are per-key scalars:
     # one aggregate pass feeds all three instead of three scans and shuffles.
-    has_time = {"hour", "category"} <= set(df.columns)
-    aggs = (_late_aggs() if has_time else []) + _subs_aggs() + _weekend_aggs()
-    g = df.groupBy(*keys).agg(*aggs)
-    parts = [_late_finish(g, keys) if has_time else _empty_late(df, keys), _subs_finish(g, keys),
+    g = optional_columns(df, **OPTIONAL).groupBy(*keys).agg(*_late_aggs(), *_subs_aggs(), *_weekend_aggs())
+    parts = [_late_finish(g, keys), _subs_finish(g, keys),
              _weekend_finish(g, keys), merchant_dominance(df, keys), anomalous_week(df, keys),
              income_irregularity(df, keys), recurring_forgotten(df, keys)]
     out = None
     for i, p in enumerate(parts):
-        if "headline" not in p.columns:
-            continue
         p = _as_pattern(p, keys, i)
         out = p if out is None else out.unionByName(p)
     rank = None

@@ -232,6 +232,25 @@ SELECT account_id, category, total, count, total / count AS avg,
   total / CAST(SUM(CAST(total AS DECIMAL(18,2))) OVER (PARTITION BY account_id) AS DOUBLE) * 100.0 AS pct_of_spend FROM c""")(
     lambda spark, d: st.spend_share(enriched_events(spark, d), KEYS))
 
+_MONEY_SUM = "CAST(abs(SUM(CAST(amount AS DECIMAL(18,2)))) AS DOUBLE)"
+_FACETS = f"""fr AS (
+  SELECT account_id, 'category' AS facet, category AS name, {_MONEY_SUM} AS total, COUNT(*) AS count FROM e
+  WHERE amount < 0 AND category IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT account_id, 'week', {o.week_label()}, {_MONEY_SUM}, COUNT(*) FROM e WHERE amount < 0 AND date IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT account_id, 'merchant', description, {_MONEY_SUM}, COUNT(*) FROM e WHERE amount < 0 GROUP BY ALL),
+fk AS (SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY account_id, facet ORDER BY total DESC, name) AS INTEGER) AS rank FROM fr)
+       WHERE facet <> 'merchant' OR rank <= 20)"""
+
+register("stats_facets", f"WITH {E}, {_FACETS} SELECT account_id, facet, name, total, count, total / count AS avg, rank FROM fk")(
+    lambda spark, d: st.stats_facets(enriched_events(spark, d), KEYS))
+
+register("share_of_spend", f"""WITH {E}, {_FACETS},
+sp AS (SELECT account_id, {_MONEY_SUM} AS spend FROM e WHERE amount < 0 GROUP BY ALL),
+s AS (SELECT account_id, facet, name, total FROM fk WHERE facet <> 'week'
+      UNION ALL SELECT account_id, 'outflow', name, total FROM fk WHERE facet = 'category' AND name = 'subscriptions')
+SELECT account_id, facet, name, total, total / spend * 100.0 AS pct_of_spend FROM s JOIN sp USING (account_id)""")(
+    lambda spark, d: st.share_of_spend(enriched_events(spark, d, once=True), KEYS))
+
 register("weekly_spikes", f"""WITH {E},
 w AS (SELECT account_id, {o.week_label()} AS week, CAST(SUM(CAST(abs(amount) AS DECIMAL(18,2))) AS DOUBLE) AS total
       FROM e WHERE amount < 0 GROUP BY ALL),

@@ -126,6 +126,10 @@ register("anomalous_week", f"WITH {EV}, {week_sql('e').removeprefix('WITH ')}")(
     lambda s, d: pt.anomalous_week(enriched_events(s, d), KEYS))
 register("income_irregularity", f"WITH {OR}, {income_sql('e').removeprefix('WITH ')}")(
     lambda s, d: pt.income_irregularity(enriched_orders(s, d, once=True), KEYS))
+register("income_deposits", f"""WITH {OR}, i AS ({income_sql('e')})
+SELECT e.account_id, ROW_NUMBER() OVER (PARTITION BY e.account_id ORDER BY e.date, e.transaction_id) - 1 AS position, e.date, e.amount
+FROM e JOIN i ON e.account_id = i.account_id WHERE e.amount > 0""")(
+    lambda s, d: pt.income_deposits(enriched_orders(s, d, once=True), KEYS).select("account_id", "position", "date", "amount"))
 register("recurring_forgotten", f"WITH {OR} {recurring_sql('e')}")(
     lambda s, d: pt.recurring_forgotten(enriched_orders(s, d), KEYS))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.rules import LOW_SIGNAL_PHRASES
-from ledgerlens.operators.narrative import migrate_narratives, parse_narratives, quality_guard
+from ledgerlens.operators.narrative import guard_insights, migrate_narratives, parse_narratives, quality_guard
 from ledgerlens.plans import oracle as o
 from ledgerlens.plans.catalog import KEYS, enriched_orders, register
 from ledgerlens.sources import store as sto
@@ -151,6 +151,23 @@ def q_prev(spark, d):
     return sto.previous_period(lo, runs, current, KEYS).select("account_id", "run_id", "row_id", "date", "amount")
 
 
+@register("previous_period_starts", f"""WITH {_RUNS},
+st AS (SELECT DISTINCT account_id, TIMESTAMP '1995-01-01 00:00:00' AS current_start FROM lo
+       UNION ALL SELECT DISTINCT account_id, TIMESTAMP '1998-01-01 00:00:00' FROM lo WHERE account_id % 3 = 0),
+prev AS (SELECT st.account_id, current_start, run_id, period_start, period_end FROM st JOIN runs
+           ON st.account_id = runs.account_id AND period_end < current_start
+         QUALIFY ROW_NUMBER() OVER (PARTITION BY st.account_id, current_start ORDER BY period_end DESC, run_id DESC) = 1)
+SELECT t.account_id, current_start, prev.run_id, t.row_id, t.amount FROM lo t JOIN prev
+  ON t.account_id = prev.account_id AND t.date BETWEEN prev.period_start AND prev.period_end""")
+def q_prev_starts(spark, d):
+    """Two starts for a third of the accounts, one for the others."""
+    lo = ledger_orders(spark, d)
+    accounts = lo.select("account_id").distinct()
+    starts = (accounts.withColumn("current_start", F.to_timestamp(F.lit("1995-01-01 00:00:00")))
+              .unionByName(accounts.where("account_id % 3 = 0").withColumn("current_start", F.to_timestamp(F.lit("1998-01-01 00:00:00")))))
+    return sto.previous_period(lo, _runs(spark, d), starts, KEYS).select("account_id", "current_start", "run_id", "row_id", "amount")
+
+
 @register("table_counts", f"""WITH {OR}, {_MERGE}, {_RUNS}
 SELECT 'transactions' AS table_name, COUNT(*) AS n FROM e
 UNION ALL SELECT 'analysis_runs', COUNT(*) FROM runs
@@ -235,4 +252,18 @@ def q_migrate(spark, d):
                                         "generated_at", "newer_than_supported")
 
 
+@register("narrative_insights", f"""WITH {_NJ},
+i AS (SELECT nj.conv_id, nj.turn, unnest(from_json(json_extract(nj.narrative_json, '$.insights'), '[{{"headline":"VARCHAR","detail":"VARCHAR"}}]')) AS x
+      FROM nj JOIN p ON nj.conv_id = p.conv_id AND nj.turn = p.turn WHERE p.valid AND p.n_insights > 0)
+SELECT conv_id, turn, x.headline AS headline, x.detail AS detail, {_phr_sql(EXTRA_PHRASES).replace('(t, ', "(lower(coalesce(x.headline, '') || ' ' || coalesce(x.detail, '')), ")} AS suppressed
+FROM i""")
+def q_insights(spark, d):
+    """Every insight of the valid narratives, kept or suppressed."""
+    p = migrate_narratives(parse_narratives(_narr_json(spark, d)).where("valid"))
+    g = guard_insights(p, phrases=EXTRA_PHRASES)
+    parts = [g.select("conv_id", "turn", F.explode(c).alias("x"), F.lit(s).alias("suppressed"))
+             for c, s in (("insights", False), ("suppressed_insights", True))]
+    return parts[0].unionByName(parts[1]).select("conv_id", "turn", "x.headline", "x.detail", "suppressed")
+
+
 from ledgerlens.plans import catalog_parse  # noqa: E402,F401

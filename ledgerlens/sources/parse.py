@@ -77,10 +77,21 @@ def with_transaction_id(df: DataFrame, date_text: str = "date_text", raw: str =
 
 
 def _finalise(df: DataFrame, source: str, keep: Sequence[str]) -> DataFrame:
-    out = with_transaction_id(df.withColumn("source", F.lit(source)),
-                              file_cols=[FILE_COL], order_cols=[c for c in ("_ll_line",) if c in df.columns])
-    return out.select(*keep, F.col("date_parsed").alias("date"), "description", "amount",
-                      "raw_description", "source", "transaction_id")
+    """Standard columns with ids.  Lines that agree in every output column
+    collapse to one row with their number (map-side, so a line that fills a
+    third of a file is no skew), and the numbers unfold to occurrences.  Lines
+    of one id text may still differ in the amount beyond its four digits; their
+    occurrences follow each other by amount."""
+    line = [*keep, "date_text", "raw_description", "_ll_amount_key"]
+    rest = ["date_parsed", "description", "amount"]
+    rows = df.withColumn("_ll_amount_key", F.coalesce(F.format_string("%.4f", F.col("amount")), F.lit("nan")))
+    counted = rows.groupBy(*line, *rest).agg(F.count(F.lit(1)).alias("_ll_n"))
+    upto = F.sum("_ll_n").over(Window.partitionBy(*line).orderBy("amount"))  # collapsed rows only
+    occ = F.explode(F.sequence(F.col("_ll_upto") - F.col("_ll_n"), F.col("_ll_upto") - 1))
+    d = counted.withColumn("_ll_upto", upto).withColumn("_ll_occ", occ)
+    return d.select(*keep, F.col("date_parsed").alias("date"), "description", "amount", "raw_description",
+                    F.lit(source).alias("source"),
+                    transaction_id(F.col("date_text"), F.col("raw_description"), F.col("amount"), F.col("_ll_occ")).alias("transaction_id"))
 
 
 def _desc(c: Column) -> Column:
@@ -89,7 +100,7 @@ def _desc(c: Column) -> Column:
 
 def parse_chase(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
     """Chase: date text inferred, signed Amount with ``$``/``,`` stripped."""
-    d = raw.select(*keep, *[c for c in ("_ll_line",) if c in raw.columns],
+    d = raw.select(*keep,
                    F.col("`Transaction Date`").alias("date_text"),
                    _desc(F.col("Description")).alias("description"),
                    parse_amount(F.col("Amount")).alias("amount"))
@@ -100,7 +111,7 @@ def parse_chase(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
 def parse_bofa(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
     """BofA: month/day/year, one or two digits; the id uses the parsed date's text form."""
     parsed = F.try_to_timestamp(F.trim(F.col("Date")), F.lit("M/d/yyyy"))
-    d = raw.select(*keep, *[c for c in ("_ll_line",) if c in raw.columns],
+    d = raw.select(*keep,
                    parsed.alias("date_parsed"),
                    _desc(F.col("Description")).alias("description"),
                    parse_amount(F.col("Amount")).alias("amount"))
@@ -115,7 +126,7 @@ def parse_plaid(raw: DataFrame, keep: Sequence[str] = (FILE_COL,)) -> DataFrame:
     r = raw
     if "pending" in cols:
         r = r.where(~F.lower(F.col(f"`{cols['pending']}`")).eqNullSafe("true"))
-    d = r.select(*keep, *[c for c in ("_ll_line",) if c in raw.columns],
+    d = r.select(*keep,
                  F.col(f"`{cols['date']}`").alias("date_text"),
                  _desc(F.col(f"`{cols['name']}`")).alias("description"),
                  (-parse_number(F.col(f"`{cols['amount']}`"))).alias("amount"))
@@ -155,7 +166,7 @@ def parse_generic(raw: DataFrame, mapping: ColumnMapping | None = None,
     else:
         amount = combine_debit_credit(parse_amount(F.col(f"`{m.debit}`"), generic=True),
                                       parse_amount(F.col(f"`{m.credit}`"), generic=True))
-    d = raw.select(*keep, *[c for c in ("_ll_line",) if c in raw.columns],
+    d = raw.select(*keep,
                    F.col(f"`{m.date}`").alias("date_text"),
                    _desc(F.col(f"`{m.description}`")).alias("description"),
                    amount.alias("amount"))

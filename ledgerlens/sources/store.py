@@ -77,14 +77,16 @@ def run_rows(df: DataFrame, keys: Keys = (), period=None, source_file: str | Non
              narrative: DataFrame | None = None) -> DataFrame:
     """One analysis-run row per key: period bounds and row count.
 
-    ``run_id`` is the first 12 hex digits of a hash of (keys, period), so a
-    re-run of the same job yields the same id (random ids would change on a
-    task retry)."""
+    ``run_id`` is the first 12 hex digits of a hash of the keys and the period
+    (its label, or else its first and last date), so a re-run of the same job
+    yields the same id and another period another one (random ids would change
+    on a task retry)."""
     grp = [*keys] + ([period.alias("_ll_period")] if period is not None else [])
     g = df.groupBy(*grp).agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"),
                              F.count(F.lit(1)).alias("transaction_count"))
-    ident = [F.col(k).cast("string") for k in keys] + ([F.col("_ll_period").cast("string")] if period is not None else [])
-    g = g.withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", *ident) if ident else F.lit("run"), 256), 1, 12))
+    span = ["_ll_period"] if period is not None else ["period_start", "period_end"]
+    ident = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, *span]]
+    g = g.withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", *ident), 256), 1, 12))
     g = (g.withColumn("created_at", F.col("period_end") + F.expr("INTERVAL 1 DAY"))
           .withColumn("source_file", F.lit(source_file).cast("string")))
     if narrative is not None:
@@ -95,19 +97,25 @@ def run_rows(df: DataFrame, keys: Keys = (), period=None, source_file: str | Non
 
 
 def previous_period(tx: DataFrame, runs: DataFrame, current: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Transactions of the latest run that ended strictly before each key's
-    current period start (as-of join), selected by date range.
-
-    ``current`` holds (keys, current_start); of several starts of a key the
-    earliest counts.  Runs that end together rank by run_id.  The as-of step reduces runs to
-    one row per key with ``max_by``; the range step is an equi-join on keys
-    against that one-row-per-key side plus a BETWEEN filter."""
+    """Transactions of the latest run that ended strictly before a period's
+    start (as-of join), selected by date range, with ``current_start``.
+
+    ``current`` holds (keys, current_start); every start of a key is answered
+    for itself, repeated ones once.  Runs that end together rank by run_id.
+    Runs and starts are laid in one order of time per key, a start before the
+    runs that end at its moment, and each start takes the last run before it
+    (a window over runs and starts only).  The range step is an equi-join on
+    keys plus a BETWEEN filter."""
     from ledgerlens.operators.common import join_on_keys
-    cand = join_on_keys(runs, current.groupBy(*keys).agg(F.min("current_start").alias("current_start")), keys)
-    latest = (cand.where(F.col("period_end") < F.col("current_start"))
-              .groupBy(*keys)
-              .agg(F.max_by(F.struct("run_id", "period_start", "period_end"), F.struct("period_end", "run_id")).alias("_ll_r"))
-              .select(*keys, "_ll_r.*"))
+    run = F.struct("run_id", "period_start", "period_end")
+    ends = runs.where(F.col("period_end").isNotNull()).select(*keys, F.col("period_end").alias("_ll_at"), F.lit(1).alias("_ll_kind"), "run_id",
+                                                              run.alias("_ll_r"), F.lit(None).cast("timestamp").alias("current_start"))
+    starts = (current.where(F.col("current_start").isNotNull()).select(*keys, "current_start").distinct()
+              .select(*keys, F.col("current_start").alias("_ll_at"), F.lit(0).alias("_ll_kind"), F.lit(None).cast("string").alias("run_id"),
+                      F.lit(None).cast(ends.schema["_ll_r"].dataType).alias("_ll_r"), "current_start"))
+    before = F.last("_ll_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_ll_at", "_ll_kind", "run_id"))
+    latest = (ends.unionByName(starts).withColumn("_ll_r", before).where((F.col("_ll_kind") == 0) & F.col("_ll_r").isNotNull())
+              .select(*keys, "current_start", "_ll_r.*"))
     j = join_on_keys(tx, latest, keys)
     return j.where(F.col("date").between(F.col("period_start"), F.col("period_end")))
 

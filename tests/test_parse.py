@@ -195,3 +195,27 @@ def test_registered_layout_with_unknown_names_is_scanned(spark):
         assert rejects.count() == 0 and tx.collect()[0]["amount"] == -7.0
     finally:
         ps.FORMATS.remove(spec)
+
+
+def test_identical_lines_unfold_to_their_occurrences(spark):
+    """A line that fills most of a file, and amounts that agree in four digits only."""
+    from ledgerlens.functions.ids import transaction_id
+
+    lines = [("f", "2024-01-01", "Coffee", "-4.5")] * 500 + [("f", "2024-01-01", "Coffee", "-4.50")] * 3
+    lines += [("f", "2024-01-01", "Coffee", "-4.50001")] * 2 + [("g", "2024-01-01", "Coffee", "-4.5"), ("f", None, None, "x"), ("f", None, None, None)]
+    raw = spark.createDataFrame(lines, "file_path string, Date string, Description string, Amount string").repartition(4)
+    got = ps.parse_generic(raw)
+    assert got.count() == len(lines)
+    f = got.where("file_path = 'f' and description = 'Coffee'")
+    assert f.select("transaction_id").distinct().count() == 505
+    want = spark.range(505).select(transaction_id(F.lit("2024-01-01"), F.lit("Coffee"), F.lit(-4.5), F.col("id")).alias("transaction_id"))
+    assert f.select("transaction_id").exceptAll(want).count() == 0
+    assert got.where("amount is null").select("transaction_id").distinct().count() == 2
+    assert ps.parse_generic(raw.limit(0)).count() == 0
+
+
+def test_parsing_scans_once(spark, tmp_path):
+    raw = spark.createDataFrame([("f", "2024-01-01", "Coffee", "-4.5")], "file_path string, Date string, Description string, Amount string")
+    raw.write.parquet(str(tmp_path / "raw"))
+    plan = ps.parse_generic(spark.read.parquet(str(tmp_path / "raw")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

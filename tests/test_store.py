@@ -75,3 +75,40 @@ def test_quality_guard(spark):
     df = spark.createDataFrame([("You spent a lot", "on food"), ("Rent is 62% of outflow", "$1,200 at Main St")],
                                "headline STRING, detail STRING")
     assert [r["suppressed"] for r in quality_guard(df).collect()] == [True, False]
+
+
+def test_previous_period_answers_every_start(spark):
+    from ledgerlens.sources.store import previous_period
+
+    runs = spark.createDataFrame([(1, "a", "2024-01-01", "2024-01-31"), (1, "b", "2024-02-01", "2024-02-29"), (1, "c", "2024-02-01", "2024-02-29"),
+                                  (2, "d", "2024-01-01", "2024-01-31")], "k int, run_id string, s string, e string")
+    runs = runs.selectExpr("k", "run_id", "to_timestamp(s) as period_start", "to_timestamp(e) as period_end")
+    tx = spark.createDataFrame([(1, "2024-01-05"), (1, "2024-02-05"), (2, "2024-01-05"), (3, "2024-01-05")], "k int, d string").selectExpr("k", "to_timestamp(d) as date")
+    cur = spark.createDataFrame([(1, "2024-02-01"), (1, "2024-02-29"), (1, "2024-03-01"), (1, "2024-03-01"), (2, "2024-01-31"), (2, "2024-06-01"), (3, "2024-06-01"),
+                                 (1, None)], "k int, d string").selectExpr("k", "to_timestamp(d) as current_start")
+    got = sorted((r.k, str(r.current_start)[:10], r.run_id, str(r.date)[:10]) for r in previous_period(tx, runs, cur, ["k"]).collect())
+    assert got == [(1, "2024-02-01", "a", "2024-01-05"), (1, "2024-02-29", "a", "2024-01-05"),  # a run that ends at the start is not before it
+                   (1, "2024-03-01", "c", "2024-02-05"), (2, "2024-06-01", "d", "2024-01-05")]
+    assert previous_period(tx, runs.limit(0), cur, ["k"]).count() == 0
+
+
+def test_run_ids_differ_by_period(spark):
+    from ledgerlens.sources.store import run_rows
+
+    df = spark.createDataFrame([(1, "2024-01-05"), (1, "2024-02-05")], "k int, d string").selectExpr("k", "to_timestamp(d) as date")
+    jan, feb = (run_rows(df.where(f"month(date) = {m}"), ["k"]).first().run_id for m in (1, 2))
+    assert jan != feb and jan == run_rows(df.where("month(date) = 1"), ["k"]).first().run_id
+
+
+def test_insights_are_data(spark):
+    from ledgerlens.operators.narrative import guard_insights, migrate_narratives, parse_narratives
+
+    docs = [(1, '{"schema_version": 1, "insights": [{"headline": "Big", "detail": "low hum"}, {"headline": "x", "detail": null}, 5]}'),
+            (2, '{"insights": "text"}'), (3, '{"schema_version": 2, "insights": []}'), (4, "no json"), (5, None), (6, "{}")]
+    df = migrate_narratives(parse_narratives(spark.createDataFrame(docs, "id int, narrative_json string")))
+    got = {r.id: r for r in guard_insights(df, phrases=("LOW hum",)).collect()}
+    pairs = lambda x: None if x is None else [tuple(i) if i is not None else None for i in x]
+    assert pairs(got[1].suppressed_insights) == [("Big", "low hum")]
+    assert pairs(got[1].insights) == [("x", None), (None, None)]
+    assert pairs(got[2].insights) == [] == pairs(got[3].insights) and pairs(got[6].insights) == []
+    assert got[4].valid is False and got[4].insights is not None
