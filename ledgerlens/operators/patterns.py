@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dates import day_number, month_label, week_label
+from ledgerlens.functions.dates import MICROS_PER_DAY, day_number, micros, month_label, week_label
 from ledgerlens.functions.money import exact_sum, round_half_up
 from ledgerlens.functions.rules import FOOD_DINING, SEVERITY_ORDER, SUBSCRIPTIONS
 from ledgerlens.operators.common import Keys, expenses, prev_in_order, optional_columns
-from ledgerlens.functions.dates import MICROS_PER_DAY, micros
 
 #: Columns a detector may do without; where they are missing it finds nothing.
 OPTIONAL = {"category": "string", "hour": "int", "is_weekend": "boolean"}
@@ -207,12 +206,11 @@ def income_deposits(df: DataFrame, keys: Keys = ()) -> DataFrame:
     inc = df.where(F.col("amount") > 0).select(*keys, "date", "transaction_id", "amount")
     one = F.lit(0).alias("_ll_one")  # with no keys the finding is one row or none
     inc = inc.join(flagged, list(keys), "left_semi") if keys else inc.select("*", one).join(flagged.select(one), "_ll_one", "left_semi").drop("_ll_one")
-    inc = inc.withColumn("_ll_day", day_number(F.col("date")))
+    inc = inc.withColumn("_ll_day", F.coalesce(day_number(F.col("date")).cast("long"), F.lit(1 << 62)))  # undated last
     days = inc.groupBy(*keys, "_ll_day").agg(F.count(F.lit(1)).alias("_ll_n"))
-    upto = F.sum("_ll_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_ll_day")))
+    upto = F.sum("_ll_n").over(Window.partitionBy(*keys).orderBy("_ll_day"))
     days = days.select(*keys, "_ll_day", (upto - F.col("_ll_n")).alias("_ll_before"))
-    on = [inc[k].eqNullSafe(days[k]) for k in [*keys, "_ll_day"]]
-    placed = inc.join(days, on).select(*[inc[c] for c in inc.columns], "_ll_before")
+    placed = inc.join(days, [*keys, "_ll_day"])
     inside = F.row_number().over(Window.partitionBy(*keys, "_ll_day").orderBy("date", "transaction_id")) - 1
     return placed.withColumn("position", (F.col("_ll_before") + inside).cast("long")).drop("_ll_day", "_ll_before")
 
