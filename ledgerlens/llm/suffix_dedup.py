@@ -101,7 +101,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     done = 8
     rank = np.empty(n, np.int32)  # a block has under 2^31 bytes
     while True:
-        order = np.argsort(key, kind="stable").astype(np.int32)
+        order = np.argsort(key).astype(np.int32)  # the order among equals does not matter
         s = key[order]
         new = np.ones(n, np.int32)
         new[1:] = s[1:] != s[:-1]
