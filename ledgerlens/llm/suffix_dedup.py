@@ -80,13 +80,10 @@ def segments(data: np.ndarray, off: np.ndarray):
     return row[cut], pos[cut], np.diff(np.append(cut, len(a))), a[cut], h[a[cut]]
 
 
-def _row_key(doc_id, data: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(f"{doc_id}|".encode() + data, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _content(seg: bytes, off: int) -> tuple[int, int]:
-    return _row_key(off, seg)
+    """128 bits of a segment and its anchor's offset."""
+    d = hashlib.blake2b(b"%d|" % off + seg, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -245,7 +242,7 @@ def _deal(width: int):
                     core = seg[off - low:off - (low + width - 1) + MIN_LENGTH]
                     piece = seg[start:start + count - 1 + MIN_LENGTH]
                     d1, d2 = _content(piece, off - start)
-                    for k, v in zip(out, (c1, c2, start, _row_key(low, core)[0], d1, d2, n, off - start, count, piece)):
+                    for k, v in zip(out, (c1, c2, start, _content(core, low)[0], d1, d2, n, off - start, count, piece)):
                         out[k].append(v)
                     start += count
             types = dict(c1=pa.int64(), c2=pa.int64(), base=pa.int32(), key=pa.int64(), d1=pa.int64(), d2=pa.int64(), n=pa.int64(),
@@ -289,18 +286,16 @@ def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     names = ["key", "c1", "c2", "k1", "k2", "first", "off", "windows"]
     schema = "key long, c1 long, c2 long, k1 long, k2 long, first int, off int, windows int"
 
-    def rows(ids, column, keep):
+    def rows(k1, k2, column, keep):
         for lo, hi, data, off in blocks(column):
             row, pos, w, a, h = segments(data, off)
             ok = keep(lo, row, h)
             row, pos, w, a, h = row[ok], pos[ok], w[ok], a[ok], h[ok]
             raw = data.tobytes()
-            keys = {r: _row_key(ids[lo + r], raw[off[r]:off[r + 1]]) for r in np.unique(row).tolist()}
             c = [_content(raw[p:p + n - 1 + MIN_LENGTH], x - p) for p, n, x in zip(pos.tolist(), w.tolist(), a.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.astype(np.int64)), pa.array([x[0] for x in c], pa.int64()), pa.array([x[1] for x in c], pa.int64()),
-                 pa.array([keys[r][0] for r in row.tolist()], pa.int64()), pa.array([keys[r][1] for r in row.tolist()], pa.int64()),
-                 pa.array(pos - off[row], pa.int32()), pa.array(a - pos, pa.int32()), pa.array(w, pa.int32())], names=names)
+                 pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array(pos - off[row], pa.int32()), pa.array(a - pos, pa.int32()), pa.array(w, pa.int32())], names=names)
 
     if repeated.count() <= MAX_ANCHORS:
         table = np.sort(repeated.toArrow().column(0).to_numpy())
@@ -315,42 +310,32 @@ def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 x = h.astype(np.int64)
                 return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
             for b in batches:
-                yield from rows(b.column(0).to_pylist(), b.column(1), keep)
-        return docs.mapInArrow(run, schema)
+                yield from rows(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), keep)
+        return docs.select("k1", "k2", "text").mapInArrow(run, schema)
 
     # Beyond the bound: anchors of each text that are repeated, by joins.
     def anchors(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo, hi, data, off in blocks(b.column(1)):
+            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for lo, hi, data, off in blocks(b.column(2)):
                 row, _, _, _, h = segments(data, off)
-                raw = data.tobytes()
-                keys = {r: _row_key(ids[lo + r], raw[off[r]:off[r + 1]]) for r in np.unique(row).tolist()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.int64)), pa.array([keys[r][0] for r in row.tolist()], pa.int64()),
-                     pa.array([keys[r][1] for r in row.tolist()], pa.int64())], names=["key", "k1", "k2"])
-
-    def named(batches):
-        for b in batches:
-            keys = [_row_key(i, (t or "").encode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                                             names=["doc_id", "text", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(k1[lo + row]), pa.array(k2[lo + row])],
+                                                 names=["key", "k1", "k2"])
 
     def run_listed(batches):
         for b in batches:
-            listed = [np.unique(x.values.to_numpy()) for x in b.column(2)]
+            listed = [np.unique(x.values.to_numpy()) for x in b.column(3)]
 
             def keep(lo, row, h):
                 x, ok = h.astype(np.int64), np.zeros(len(h), bool)
                 for r in np.unique(row).tolist():
                     ok[row == r] = np.isin(x[row == r], listed[lo + r])
                 return ok
-            yield from rows(b.column(0).to_pylist(), b.column(1), keep)
+            yield from rows(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), keep)
 
-    lists = (docs.mapInArrow(anchors, "key long, k1 long, k2 long").distinct().join(repeated, "key", "left_semi")
+    lists = (docs.select("k1", "k2", "text").mapInArrow(anchors, "key long, k1 long, k2 long").distinct().join(repeated, "key", "left_semi")
              .groupBy("k1", "k2").agg(F.collect_list("key").alias("keys")))  # bounded by the text
-    texts = docs.mapInArrow(named, "doc_id long, text string, k1 long, k2 long").join(lists, ["k1", "k2"])
-    return texts.select("doc_id", "text", "keys").mapInArrow(run_listed, schema)
+    return docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "keys").mapInArrow(run_listed, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -361,8 +346,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bytes lose nothing.  Rows that repeat an id and a text are copies of each
     other.  Null ids take part.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # A row is named by 128 bits of its id and text, taken in the JVM: no task needs a second Python worker for them.
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("k2"))
 
     def anchors(batches):
         for b in batches:
@@ -387,30 +373,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return _cut(docs, lists)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            ids, k1, k2 = b.column(0).to_pylist(), [], []
-            for lo, hi, data, off in blocks(b.column(1)):
-                raw = data.tobytes()
-                for i in range(hi - lo):
-                    x = _row_key(ids[lo + i], raw[off[i]:off[i + 1]])
-                    k1.append(x[0])
-                    k2.append(x[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "text", "k1", "k2"])
-    return docs.mapInArrow(run, "doc_id long, text string, k1 long, k2 long")
-
-
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted distinct segments, each from one place."""
     lists = materialize(wanted.select("key", "c1", "c2", "n", "off", "windows", "at.k1", "at.k2", "at.first").groupBy("k1", "k2")
                         .agg(F.collect_list(F.struct("key", "c1", "c2", "n", "off", "windows", "first")).alias("want")), "wanted")
-    texts = _keyed(docs).join(broadcast_if_small(lists, MAX_BROADCAST_ROWS), ["k1", "k2"]).select("k1", "k2", "text", "want")
+    texts = docs.join(broadcast_if_small(lists, MAX_BROADCAST_ROWS), ["k1", "k2"]).select("text", "want")
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in ("key", "c1", "c2", "n", "off", "windows", "seg")}
-            for text, want in zip(b.column(2), b.column(3).to_pylist()):
+            for text, want in zip(b.column(0), b.column(1).to_pylist()):
                 raw = memoryview(text.as_buffer())
                 for w in want:
                     for k in ("key", "c1", "c2", "n", "off", "windows"):
@@ -425,7 +397,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """Remove the listed spans from each row's bytes."""
-    texts = _keyed(docs).join(broadcast_if_small(lists, MAX_BROADCAST_ROWS), ["k1", "k2"], "left")
+    texts = docs.join(broadcast_if_small(lists, MAX_BROADCAST_ROWS), ["k1", "k2"], "left")
 
     def run(batches):
         for b in batches:
