@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlens.llm.common import ensure_checkpoint_dir, materialize, stretch
 
 END_ID = 2
-CACHE_CHUNKS = 450_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
+CACHE_CHUNKS = 300_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -165,6 +165,7 @@ def _put(folder: str, name: str, write) -> None:
 
 def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         end = np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
         lengths: list[np.ndarray] = []
