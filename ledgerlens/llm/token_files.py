@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlens.llm.common import ensure_checkpoint_dir, materialize, stretch
 
 END_ID = 2
-CACHE_CHUNKS = 300_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
+CACHE_CHUNKS = 450_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -66,9 +66,10 @@ class ChunkEncoder:
 
     _MARKS = ".,;:!?*%$#&|"
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, cache: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.model = self.tok.model
@@ -123,9 +124,9 @@ class ChunkEncoder:
             self.chunks.update(zip((c for c, _ in rest), self._whole([t for _, t in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.chunks) > self.cache:
             self.chunks = {}
-        if len(self.words) > CACHE_CHUNKS:
+        if len(self.words) > self.cache:
             self.words = {}
         split = [t.split(" ") for t in texts]
         for s in split:
@@ -140,14 +141,14 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+_encoders: dict[tuple[str, str, int], ChunkEncoder] = {}
 
 
-def _encoder(path: str, dtype: str) -> ChunkEncoder:
+def _encoder(path: str, dtype: str, cache: int) -> ChunkEncoder:
     """One encoder per worker process, so its caches serve all its tasks."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = ChunkEncoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, cache) not in _encoders:
+        _encoders[path, dtype, cache] = ChunkEncoder(path, dtype, cache)
+    return _encoders[path, dtype, cache]
 
 
 def _put(folder: str, name: str, write) -> None:
@@ -163,7 +164,7 @@ def _put(folder: str, name: str, write) -> None:
         fs.move(tmp, final)
 
 
-def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str):
+def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         end = np.array([end_id], dtype=dtype).tobytes()
@@ -174,7 +175,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str):
 
         def tokens(out):
             for b in batches:
-                enc = _encoder(tokenizer, dtype)
+                enc = _encoder(tokenizer, dtype, cache)
                 texts = b.column(1).fill_null("").to_pylist()
                 for lo in range(0, len(texts), 128):
                     got = enc.encode(texts[lo:lo + 128])
@@ -198,11 +199,12 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID,
-                      id_col: str = "doc_id", text_col: str = "text") -> str:
+                      id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_CHUNKS) -> str:
     """Encode ``text_col`` of all rows in ascending ``id_col`` order into binary
     files; returns the folder.
 
-    ``tokenizer`` is the path of a tokenizers file, present on every worker.
+    ``tokenizer`` is the path of a tokenizers file, present on every worker;
+    ``cache`` bounds the distinct chunks a worker keeps encoded.
     Null or empty text: only the end id.  Null ids come first; rows of one id
     are ordered by text, repeated rows stay.  An empty table gives a manifest
     without shards.  Other columns are ignored.
@@ -218,7 +220,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     shards = (rows.repartitionByRange(stretch(spark), *order).sortWithinPartitions(*order, "text")
-              .mapInArrow(_write_shard(folder, tokenizer, end_id, dtype), "shard long, n_docs long, n_ids long"))
+              .mapInArrow(_write_shard(folder, tokenizer, end_id, dtype, cache), "shard long, n_docs long, n_ids long"))
     # One row per shard: bounded by the number of partitions.
     found = sorted(materialize(shards, "shards").collect())
     base_ids = 0
