@@ -22,6 +22,7 @@ from ledgerlens.llm.weighted_minhash import near_duplicates
 from ledgerlens.plans.materialize import drop_tables, recorded, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
+CACHE_CHUNKS = 100_000  # the workers also hold what the other stages need
 
 _behind: list[str] = []  # tables that the last stage's result is read from
 
@@ -90,7 +91,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of the mixed corpus and their index, read back (4)."""
     import public_tokenizers
 
-    return read_token_index(spark, write_token_files(docs, str(public_tokenizers.path(TOKENIZER))))
+    return read_token_index(spark, write_token_files(docs, str(public_tokenizers.path(TOKENIZER)), cache=CACHE_CHUNKS))
 
 
 STAGES = [
