@@ -61,7 +61,9 @@ class ChunkEncoder:
     with a line feed, so a chunk of letters and marks, or two of them with one
     line feed between, is looked up word by word, and a new word goes straight
     to the tokenizer's model.  Any other chunk is encoded as a whole, and a
-    text with other white space next to a space is encoded whole.
+    text with other white space next to a space, or with a string of the
+    tokenizer's added tokens (which the library turns into their ids), is
+    encoded whole.
     """
 
     _MARKS = ".,;:!?*%$#&|"
@@ -71,7 +73,7 @@ class ChunkEncoder:
 
         self.cache = cache
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.letters = _byte_letters()
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
@@ -128,14 +130,15 @@ class ChunkEncoder:
             self.chunks = {}
         if len(self.words) > self.cache:
             self.words = {}
-        split = [t.split(" ") for t in texts]
+        plain = [not any(a in t for a in self.added) for t in texts]
+        split = [t.split(" ") if p else [""] for t, p in zip(texts, plain)]
         for s in split:
             s[0] = " " + s[0]
         self._learn(set().union(*split) - self.chunks.keys())
         get, out = self.chunks.__getitem__, []
-        for t, s in zip(texts, split):
+        for t, s, p in zip(texts, split, plain):
             try:
-                out.append(b"".join(map(get, s)))
+                out.append(b"".join(map(get, s)) if p else self._whole([t])[0])
             except TypeError:  # a chunk that must not be encoded by itself
                 out.append(self._whole([t])[0] if t else b"")
         return out

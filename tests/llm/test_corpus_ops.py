@@ -115,8 +115,8 @@ def test_token_files_round_trip(spark, docs, corpus, tmp_path):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    odd = [(900, "a  b"), (901, " lead"), (902, "it's x\n\ny"), (903, "a\n b <|endoftext|> c,d.\nE"), (904, "日本 語。x")]
+    odd = [(900, "a  b"), (901, " lead"), (902, "it's x\n\ny"), (903, "a\n b <|endoftext|> c,d.\nE"), (904, "日本 語。x"),
+           (905, "x<|endoftext|>y"), (906, "<|endoftext|>"), (907, "a, <|endoftext|>  <|endoftext|> b"), (908, "<|endoftext <|endoftext|")]
     all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     rows = sorted([*corpus, *odd], key=lambda r: (r[0] is not None, r[0] or 0))
     got = read_token_index(spark, write_token_files(all_docs, path, str(tmp_path / "t"))).collect()
