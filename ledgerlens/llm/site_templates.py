@@ -2,11 +2,13 @@
 
 Every element's subtree is hashed (tag, text and child hashes).  Spark counts
 with how many distinct main texts of its host each hash occurs; subtrees that
-recur with many are that site's template and are deleted, prose inside the
-article included.  Copies of a page have one main text and count once.  Edited
-copies have other main texts, but the same lines around a subtree: inside an
-article a template must also stand between other lines on most of its pages.
-An inline element in running text goes with its block.
+recur with many are that site's template and are deleted.  A single line of an
+article is prose that may recur by itself, so it goes only where the same
+subtree also recurs outside articles of that host, or stands in the articles
+of a documented share of it.  Copies of a page have one main text and count
+once.  Edited copies have other main texts, but the same lines around a
+subtree: inside an article a template must also stand between other lines on
+most of its pages.  An inline element in running text goes with its block.
 
 To supplement this, elements that name themselves as page furniture (nav,
 footer, forms, scripts, adverts, comments and the like) are deleted, and where
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.llm.common import broadcast_if_small, materialize
 
 MIN_PAGES = 5  # a subtree with so many distinct main texts, or with all of a smaller host's (two at least), is template
+LINE_SHARE = 0.5  # a line of articles is template only in that share of its host's main texts, MIN_PAGES at least
 AROUND = 3  # lines before and after a subtree in an article that tell edited copies from a template
 MAX_BROADCAST_ROWS = 100_000  # templates (host, digest), and pages with their templates (bounded by page size)
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-SKIP = frozenset("head script style textarea title noscript template iframe svg math nav footer aside form button select dialog menu object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+SKIP = frozenset("head script style textarea title noscript template iframe svg nav footer aside form button select dialog menu audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 # Elements whose start ends an open element of these names.
@@ -224,12 +227,13 @@ def _lines(top: Node) -> tuple[list[str], dict[int, tuple[int, int]]]:
     return lines, span
 
 
-def page_subtrees(page: str | None) -> list[tuple[int, int, int, int]]:
-    """Distinct (digest, main, before, after) of the subtrees that could be
-    template: all with content, but for the page itself and its article.  main
-    names the page's main text; before and after the lines around a subtree in
-    the article (main for others).  Digest 0 stands for the page.  A page
-    without main text has none."""
+def page_subtrees(page: str | None) -> list[tuple[int, int, int, int, int]]:
+    """Distinct (digest, main, before, after, line) of the subtrees that could
+    be template: all with content, but for the page itself and its article.
+    main names the page's main text; before and after the lines around a
+    subtree in the article (main for others); line is 1 for a subtree that is
+    no more than one line of an article.  Digest 0 stands for the page.  A
+    page without main text has none."""
     from xxhash import xxh64_intdigest
 
     root = parse(page or "")
@@ -245,13 +249,13 @@ def page_subtrees(page: str | None) -> list[tuple[int, int, int, int]]:
     while up is not None:
         above.add(id(up))
         up = up.parent
-    found = {(0, main, main, main)}
+    found = {(0, main, main, main, 0)}
     for n in _walk(root):
         if not n.inside or id(n) in above or n.tag in ("html", "body", "head") or not _unit(n):
             continue
         at = span.get(id(n)) if top.tag != "#root" else None
         around = (name(lines[max(0, at[0] - AROUND):at[0]]), name(lines[at[1]:at[1] + AROUND])) if at else (main, main)
-        found.add((_signed(n.digest), main, *around))
+        found.add((_signed(n.digest), main, *around, int(at is not None and at[1] - at[0] <= 1)))
     return sorted(found)
 
 
@@ -305,31 +309,33 @@ def _page_key():
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, k1, k2, digest, main, before, after) of :func:`page_subtrees`,
-    written once; k1, k2 name the page."""
+    """(host, k1, k2, digest, main, before, after, line) of
+    :func:`page_subtrees`, written once; k1, k2 name the page."""
     def run(batches):
         for b in batches:
             found = [page_subtrees(x) for x in b.column(3).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            cells = np.array([x for f in found for x in f], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), *(pa.array(cells[:, i]) for i in range(4))],
-                                             names=["host", "k1", "k2", "digest", "main", "before", "after"])
+            cells = np.array([x for f in found for x in f], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), *(pa.array(cells[:, i]) for i in range(5))],
+                                             names=["host", "k1", "k2", "digest", "main", "before", "after", "line"])
     keyed = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "html").select("host", *_page_key(), "html")
-    return materialize(keyed.mapInArrow(run, "host string, k1 long, k2 long, digest long, main long, before long, after long"), "subtrees")
+    return materialize(keyed.mapInArrow(run, "host string, k1 long, k2 long, digest long, main long, before long, after long, line long"), "subtrees")
 
 
 def site_templates(found: DataFrame) -> DataFrame:
     """(host, digest) of the subtrees with at least ``MIN_PAGES`` distinct main
     texts of their host (all, but two at least, where it has fewer), on most of
-    them between other lines."""
-    counts = materialize(found.groupBy("host", "digest").agg(F.countDistinct("main").alias("n")).where("n >= 2"), "counts")
+    them between other lines; lines of articles and other subtrees are counted
+    apart, and a line needs ``LINE_SHARE`` of the host too."""
+    counts = materialize(found.groupBy("host", "digest", "line").agg(F.countDistinct("main").alias("n")).where("n >= 2"), "counts")
     whole = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    often = (counts.where("digest <> 0").join(whole, "host").where(F.col("n") >= F.least(F.lit(MIN_PAGES), F.col("pages")))
-             .select("host", "digest", "n"))
+    enough = F.when(F.col("line") == 0, F.least(F.lit(MIN_PAGES), F.col("pages"))).otherwise(
+        F.greatest(F.lit(MIN_PAGES), F.col("pages") * LINE_SHARE))
+    often = counts.where("digest <> 0").join(whole, "host").where(F.col("n") >= enough).select("host", "digest", "line", "n")
     often = broadcast_if_small(materialize(often, "often"), MAX_BROADCAST_ROWS)
-    around = found.select("host", "digest", "before", "after").join(often, ["host", "digest"]).groupBy("host", "digest", "n").agg(
-        F.countDistinct("before").alias("before"), F.countDistinct("after").alias("after"))
-    return around.where("greatest(before, after) * 2 >= n").select("host", "digest")
+    around = found.select("host", "digest", "line", "before", "after").join(often, ["host", "digest", "line"]).groupBy(
+        "host", "digest", "line", "n").agg(F.countDistinct("before").alias("before"), F.countDistinct("after").alias("after"))
+    return around.where("greatest(before, after) * 2 >= n").select("host", "digest").distinct()
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
