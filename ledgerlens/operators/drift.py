@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import micros
 from ledgerlens.functions.money import exact_sum, round_half_up
-from ledgerlens.functions.rules import SUBSCRIPTIONS
-from ledgerlens.operators.common import Keys, expenses, join_on_keys, optional_columns
+from ledgerlens.functions.rules import DRIFT_HINTS, SUBSCRIPTIONS
+from ledgerlens.operators.common import Keys, expenses, join_on_keys, optional_columns, top_k
 
 
 def _check(threshold: float) -> None:
@@ -70,9 +70,26 @@ def merchant_drift(cur: DataFrame, prev: DataFrame, keys: Keys = ()) -> DataFram
 def subscription_drift(cur: DataFrame, prev: DataFrame, keys: Keys = ()) -> DataFrame:
     """Subscription merchants that appeared ('new') or disappeared ('cancelled')."""
     sub = F.col("category") == SUBSCRIPTIONS
+    cur, prev = (optional_columns(x, category="string") for x in (cur, prev))
     return _set_drift(cur.where(sub), prev.where(sub), keys, "new", "cancelled")
 
 
+def drift_hints(cur: DataFrame, prev: DataFrame, keys: Keys = (), merchants: int = 5) -> DataFrame:
+    """(keys, kind, hint): one hint naming the first ``merchants`` new merchants
+    by name, and one for each new or cancelled subscription (a row each, so no
+    list grows with the ledger).  Null names give none; category hints come
+    from :func:`category_drift`."""
+    new = merchant_drift(cur, prev, keys).where("change = 'new' AND merchant IS NOT NULL")
+    named = (top_k(new, keys, [F.col("merchant")], merchants, salt_col="merchant").groupBy(*keys)
+             .agg(F.array_join(F.sort_array(F.collect_list("merchant")), ", ").alias("_ll_names"))
+             .where("_ll_names <> ''")
+             .select(*keys, F.lit("merchants").alias("kind"), F.concat(F.lit(DRIFT_HINTS["merchants"]), "_ll_names").alias("hint")))
+    subs = subscription_drift(cur, prev, keys).where("merchant IS NOT NULL")
+    text = F.when(F.col("change") == "new", DRIFT_HINTS["new"]).otherwise(DRIFT_HINTS["cancelled"])
+    return named.unionByName(subs.select(*keys, F.concat(F.col("change"), F.lit("_subscription")).alias("kind"),
+                                         F.concat(text, F.col("merchant")).alias("hint")))
+
+
 def spending_velocity(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Second-half vs first-half expense total around the midpoint of the
     expense dates; rows at the midpoint belong to the first half."""

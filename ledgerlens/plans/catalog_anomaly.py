@@ -158,6 +158,22 @@ register("merchant_drift", _set_sql("", "new", "dropped"))(_merchant_drift_q)
 register("subscription_drift", _set_sql("AND category = 'subscriptions'", "new", "cancelled"))(_sub_drift_q)
 
 
+def _hints_q(spark, d):
+    cur, prev = _periods(spark, d)
+    return dr.drift_hints(cur, prev, KEYS)
+
+
+_NEW_SQL, _SUB_SQL = (_set_sql(*x).split(f"WITH {OR},")[1] for x in
+                      (("", "new", "dropped"), ("AND category = 'subscriptions'", "new", "cancelled")))
+register("drift_hints", f"""WITH {OR}, m AS (WITH {_NEW_SQL}), s AS (WITH {_SUB_SQL}),
+f AS (SELECT * FROM m WHERE change = 'new' QUALIFY ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY merchant) <= 5)
+SELECT account_id, 'merchants' AS kind, 'New merchants this period: ' || string_agg(merchant, ', ' ORDER BY merchant) AS hint
+FROM f GROUP BY account_id
+UNION ALL
+SELECT account_id, change || '_subscription' AS kind,
+  CASE WHEN change = 'new' THEN 'New subscriptions: ' ELSE 'Cancelled subscriptions: ' END || merchant AS hint FROM s""")(_hints_q)
+
+
 def _velocity_q(spark, d):
     cur, _ = _periods(spark, d)
     return dr.spending_velocity(cur, KEYS)
