@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlens.plans.materialize import materialize
 from ledgerlens.session import configure, ensure_checkpoint_dir
 
 __all__ = ["broadcast_if_small", "connected_components", "configure", "ensure_checkpoint_dir", "fresh_name", "materialize",
-           "star_forest", "stretch", "table", "with_fields"]
+           "release_memory", "star_forest", "stretch", "table", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +74,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def release_memory() -> None:
+    """Give memory that a worker's task no longer uses back to the machine, so
+    idle workers hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A star forest with the components of the links (a, b)."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import materialize, with_fields
+from ledgerlens.llm.common import materialize, release_memory, with_fields
 from ledgerlens.llm.textblocks import blocks, mix, words
 
 FEATURES = 2048
@@ -101,6 +101,7 @@ def add_posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, prefi
                 post[lo:hi] = z / z.sum(1, keepdims=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(list(post), pa.list_(pa.float64()))],
                                              names=[*batch.schema.names, n_col, p_col])
+        release_memory()
 
     return keep.mapInArrow(run, with_fields(keep, (n_col, "long"), (p_col, "array<double>")))
 

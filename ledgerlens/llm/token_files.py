@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.common import ensure_checkpoint_dir, materialize, stretch
+from ledgerlens.llm.common import ensure_checkpoint_dir, materialize, release_memory, stretch
 
 END_ID = 2
 CACHE_CHUNKS = 450_000  # distinct chunks, and words, a worker keeps encoded; beyond it a cache starts anew
@@ -148,7 +148,7 @@ _encoders: dict[tuple[str, str, int], ChunkEncoder] = {}
 
 
 def _encoder(path: str, dtype: str, cache: int) -> ChunkEncoder:
-    """One encoder per worker process, so its caches serve all its tasks."""
+    """One encoder per worker process, so its caches serve the tasks that follow."""
     if (path, dtype, cache) not in _encoders:
         _encoders[path, dtype, cache] = ChunkEncoder(path, dtype, cache)
     return _encoders[path, dtype, cache]
@@ -167,7 +167,7 @@ def _put(folder: str, name: str, write) -> None:
         fs.move(tmp, final)
 
 
-def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str, cache: int):
+def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str, cache: int, keep_encoder: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         end = np.array([end_id], dtype=dtype).tobytes()
@@ -189,6 +189,9 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str, cache: in
                                       ids.is_valid().to_numpy(zero_copy_only=False).astype("<i8")], axis=1))
 
         _put(folder, f"{name}.tokens", tokens)
+        if not keep_encoder:
+            _encoders.clear()
+            release_memory()
         n = np.concatenate(lengths) if lengths else np.zeros(0, np.uint64)
         if not len(n):
             return
@@ -202,12 +205,15 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, dtype: str, cache: in
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID,
-                      id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_CHUNKS) -> str:
+                      id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_CHUNKS,
+                      keep_encoder: bool = True) -> str:
     """Encode ``text_col`` of all rows in ascending ``id_col`` order into binary
     files; returns the folder.
 
     ``tokenizer`` is the path of a tokenizers file, present on every worker;
-    ``cache`` bounds the distinct chunks a worker keeps encoded.
+    ``cache`` bounds the distinct chunks a worker keeps encoded.  Workers keep
+    tokenizer and cache for their next task; without ``keep_encoder`` each task
+    gives them back, for jobs whose other stages need the memory.
     Null or empty text: only the end id.  Null ids come first; rows of one id
     are ordered by text, repeated rows stay.  An empty table gives a manifest
     without shards.  Other columns are ignored.
@@ -223,7 +229,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     shards = (rows.repartitionByRange(stretch(spark), *order).sortWithinPartitions(*order, "text")
-              .mapInArrow(_write_shard(folder, tokenizer, end_id, dtype, cache), "shard long, n_docs long, n_ids long"))
+              .mapInArrow(_write_shard(folder, tokenizer, end_id, dtype, cache, keep_encoder), "shard long, n_docs long, n_ids long"))
     # One row per shard: bounded by the number of partitions.
     found = sorted(materialize(shards, "shards").collect())
     base_ids = 0

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import with_fields
+from ledgerlens.llm.common import release_memory, with_fields
 from ledgerlens.llm.textblocks import blocks, mix
 
 NGRAMS = (3, 4, 5)
@@ -196,5 +196,6 @@ def add_toxicity(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFr
         for b in batches:
             s = score_texts(b.column(b.schema.get_field_index("text")), m)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, out])
+        release_memory()
 
     return keep.mapInArrow(run, with_fields(keep, (out, "double")))
