@@ -91,7 +91,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of the mixed corpus and their index, read back (4)."""
     import public_tokenizers
 
-    return read_token_index(spark, write_token_files(docs, str(public_tokenizers.path(TOKENIZER)), cache=CACHE_CHUNKS))
+    folder = write_token_files(docs, str(public_tokenizers.path(TOKENIZER)), cache=CACHE_CHUNKS, keep_encoder=False)
+    return read_token_index(spark, folder)
 
 
 STAGES = [
