@@ -1,28 +1,30 @@
 """Persistent tables on Parquet: transactions, analysis runs, merchants.
 
 The table logic is pure DataFrame operators (anti join, additive full-outer
-merge, as-of lookup); :class:`LedgerStore` only adds reads and writes.
-Tables are written as new versions and swapped by a pointer file, so a job
-never overwrites the path it reads and a lost executor only re-runs tasks.
+merge, as-of lookup); :class:`LedgerStore` only adds reads and writes: appends
+and replaced partitions, never a whole table.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import MONEY
 from ledgerlens.functions.text import normalized_name
 from ledgerlens.operators.common import Keys
+from ledgerlens.plans.materialize import materialize, scratch
 
-TRANSACTION_COLUMNS = ("transaction_id", "date", "description", "raw_description", "amount", "source",
-                       "category", "category_confidence", "cluster_id", "anomaly_score", "is_anomaly",
-                       "is_weekend", "day_of_week", "run_id")
+TRANSACTION_TYPES = {"transaction_id": "string", "date": "timestamp", "description": "string", "raw_description": "string",
+                     "amount": "double", "source": "string", "category": "string", "category_confidence": "double",
+                     "cluster_id": "int", "anomaly_score": "double", "is_anomaly": "boolean", "is_weekend": "boolean",
+                     "day_of_week": "string", "run_id": "string"}
+TRANSACTION_COLUMNS = tuple(TRANSACTION_TYPES)
 READ_COLUMNS = ("transaction_id", "date", "description", "raw_description", "amount", "source",
                 "category", "category_confidence", "anomaly_score", "is_anomaly")
 
@@ -32,9 +34,11 @@ READ_COLUMNS = ("transaction_id", "date", "description", "raw_description", "amo
 # ---------------------------------------------------------------------------
 
 def insert_new(batch: DataFrame, existing: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Rows of ``batch`` whose (keys, transaction_id) is not stored yet."""
-    on = [*keys, "transaction_id"]
-    return batch.join(existing.select(*on), on, "left_anti")
+    """Rows of ``batch`` whose (keys, transaction_id) is not stored yet; null
+    keys are equal."""
+    names = [*keys, "transaction_id"]
+    known = existing.select(*(F.col(c).alias(f"_ll_{c}") for c in names))
+    return batch.join(known, [F.col(c).eqNullSafe(F.col(f"_ll_{c}")) for c in names], "left_anti")
 
 
 def to_transaction_rows(df: DataFrame, run_id, keys: Keys = ()) -> DataFrame:
@@ -52,6 +56,17 @@ def to_transaction_rows(df: DataFrame, run_id, keys: Keys = ()) -> DataFrame:
     return df.select(*keys, *cols)
 
 
+def in_months_of(tx: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the month-partitioned ``tx`` between the first and the last month
+    of ``batch`` (and the undated ones, if it has any): two numbers and a flag
+    come to the driver, and the scan reads those partitions only."""
+    month = F.year("date") * 100 + F.month("date")
+    lo, hi, undated = batch.agg(F.min(month), F.max(month), F.count_if(F.col("date").isNull()) > 0).first()
+    at = F.col("year") * 100 + F.col("month")
+    inside = F.lit(False) if lo is None else at.between(lo, hi)
+    return tx.where(inside | at.isNull() if undated else inside)
+
+
 def read_range(tx: DataFrame, start=None, end=None) -> DataFrame:
     """Stored transactions with start <= date <= end (either bound optional).
 
@@ -122,11 +137,12 @@ def previous_period(tx: DataFrame, runs: DataFrame, current: DataFrame, keys: Ke
 
 def merchant_delta(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Expense summary per merchant of one batch: total, count, first/last seen
-    and the category of its earliest categorised row."""
+    and the category of its earliest categorised row.  An amount of 1e20 or
+    more counts, but no money column holds it, so it is not in the total."""
     e = df.where(F.col("amount") < 0).withColumn("normalized_name", normalized_name(F.col("description")))
     has_cat = "category" in df.columns
     aggs = [F.min("description").alias("name"),
-            F.sum(F.abs("amount").cast(MONEY)).alias("total_spent"),
+            F.try_sum(F.abs("amount").try_cast(MONEY)).alias("total_spent"),
             F.count(F.lit(1)).alias("transaction_count"),
             F.min("date").alias("first_seen"), F.max("date").alias("last_seen")]
     if has_cat:
@@ -167,6 +183,16 @@ def merge_merchants(base: DataFrame, delta: DataFrame, keys: Keys = ()) -> DataF
     )
 
 
+def fold_merchants(deltas: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Merchants from the batch summaries of all loads, as :func:`merge_merchants`
+    applied in the order of loads gives them: totals and counts add, last_seen
+    is the last load's, name, category and first_seen are the first one's."""
+    at = F.struct("loaded_at", "load")
+    return deltas.groupBy(*keys, "normalized_name").agg(
+        *(F.min_by(c, at).alias(c) for c in ("name", "category", "first_seen")), F.max_by("last_seen", at).alias("last_seen"),
+        F.try_sum("total_spent").try_cast(MONEY).alias("total_spent"), F.sum("transaction_count").alias("transaction_count"))
+
+
 def top_merchants_table(merchants: DataFrame, keys: Keys = (), limit: int = 50) -> DataFrame:
     """Merchants by lifetime spend, ``limit`` per key (ties: name)."""
     if limit < 1:
@@ -212,57 +238,57 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 class LedgerStore:
-    """Versioned Parquet tables under ``root`` (shared storage on a cluster)."""
+    """Plain Parquet tables under ``root`` (a folder that driver and executors
+    share), written by Spark alone.
+
+    * ``transactions``: appended, partitioned by year and month.  A batch is
+      compared with the months it touches only: an id holds the date, so equal
+      ids lie in one month.
+    * ``analysis_runs``: appended, one row per run_id.
+    * ``merchants``: one partition of batch summaries per load, folded when the
+      table is read.  A load that is written again replaces its own partition.
+
+    A repeated or resumed save therefore adds nothing; no table is rewritten.
+    """
 
     TABLES = ("transactions", "analysis_runs", "merchants")
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ()):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
 
-    # -- versions ---------------------------------------------------------
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_CURRENT"
-
-    def _current(self, table: str) -> str | None:
-        p = self._pointer(table)
-        if not os.path.exists(p):
-            return None
-        with open(p) as fh:
-            v = fh.read().strip()
-        return f"{self.root}/{table}/{v}" if v else None
-
-    def _publish(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        version = "v-" + uuid.uuid4().hex[:12]
-        path = f"{self.root}/{table}/{version}"
-        w = df.write.mode("errorifexists")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-        os.makedirs(f"{self.root}/{table}", exist_ok=True)
-        tmp = self._pointer(table) + ".tmp"
-        with open(tmp, "w") as fh:
-            fh.write(version)
-        os.replace(tmp, self._pointer(table))
+    def _path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def _stored(self, table: str) -> DataFrame | None:
+        """The table's rows as written, None before the first write."""
+        try:
+            return self.spark.read.parquet(self._path(table))
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
     def read(self, table: str) -> DataFrame | None:
-        cur = self._current(table)
-        return self.spark.read.parquet(cur) if cur else None
+        rows = self._stored(table)
+        return fold_merchants(rows, self.keys) if rows is not None and table == "merchants" else rows
 
     # -- transactions -----------------------------------------------------
-    def save_transactions(self, df: DataFrame, run_id: str) -> int:
-        """Append rows whose id is new; returns the number appended."""
+    def save_transactions(self, df: DataFrame, run_id: str | Column, load: str | None = None) -> int:
+        """Append rows whose id is new, one per id, marked with the name of the
+        ``load``; returns the number appended."""
         rows = to_transaction_rows(df, run_id, self.keys)
-        existing = self.read("transactions")
-        new = insert_new(rows, existing, self.keys) if existing is not None else rows
-        new = new.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
-        # Cut lineage in the shared checkpoint folder: the count and the write
-        # must see the same rows even though the anti join reads the table.
-        new = new.checkpoint(eager=True)
-        n = new.count()
-        if n == 0:
-            return 0
-        merged = new if existing is None else existing.unionByName(new)
-        self._publish("transactions", merged, ("year", "month"))
+        rows = rows.select(*self.keys, *(F.col(c).cast(t) for c, t in TRANSACTION_TYPES.items()))
+        with scratch(self.spark):
+            # Written first: the bounds, the count and the append must see the same rows.
+            rows = materialize(rows.dropDuplicates([*self.keys, "transaction_id"]), "batch")
+            existing = self._stored("transactions")
+            if existing is not None:
+                rows = materialize(insert_new(rows, in_months_of(existing, rows), self.keys), "new")
+            n = rows.count()
+            if n:
+                (rows.withColumn("load", F.lit(load).cast("string"))
+                 .withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+                 .write.mode("append").partitionBy("year", "month").parquet(self._path("transactions")))
         return n
 
     def get_transactions(self, start=None, end=None) -> DataFrame:
@@ -271,10 +297,23 @@ class LedgerStore:
             return self.spark.createDataFrame([], "transaction_id STRING, date TIMESTAMP")
         return read_range(tx, start, end).select(*self.keys, *READ_COLUMNS)
 
+    def transactions_of(self, load: str, batch: DataFrame) -> DataFrame:
+        """Rows that the named load has stored, in the months of ``batch``."""
+        return in_months_of(self.read("transactions"), batch).where(F.col("load") == load)
+
     # -- runs -------------------------------------------------------------
-    def save_runs(self, runs: DataFrame) -> None:
-        existing = self.read("analysis_runs")
-        self._publish("analysis_runs", runs if existing is None else existing.unionByName(runs))
+    def save_runs(self, runs: DataFrame) -> int:
+        """Append runs whose run_id is not stored yet; returns their number."""
+        existing = self._stored("analysis_runs")
+        new = runs.dropDuplicates(["run_id"])
+        if existing is not None:
+            new = new.join(existing.select("run_id"), "run_id", "left_anti").select(*runs.columns)
+        with scratch(self.spark):
+            new = materialize(new, "runs")
+            n = new.count()
+            if n:
+                new.write.mode("append").parquet(self._path("analysis_runs"))
+        return n
 
     def get_previous_period(self, current: DataFrame) -> DataFrame:
         return previous_period(self.read("transactions"), self.read("analysis_runs"), current, self.keys)
@@ -286,17 +325,25 @@ class LedgerStore:
         return run_detail(self.read("analysis_runs"), run_id)
 
     # -- merchants --------------------------------------------------------
-    def upsert_merchants(self, df: DataFrame) -> None:
-        delta = merchant_delta(df, self.keys)
-        base = self.read("merchants")
-        if base is None:
-            merged = merge_merchants(delta.limit(0), delta, self.keys)
-        else:
-            merged = merge_merchants(base, delta, self.keys)
-        self._publish("merchants", merged)
+    def upsert_merchants(self, df: DataFrame, load: str | None = None) -> None:
+        """Add a batch to the merchants.  ``load`` names the batch: the same
+        name again replaces what it added before and keeps its place in the
+        order of loads.  Without a name every call adds."""
+        load = f"load-{load or uuid.uuid4().hex}"  # never read back as a number
+        stored = self._stored("merchants")
+        first = None if stored is None else stored.where(F.col("load") == load).agg(F.min("loaded_at")).first()[0]
+        delta = (merchant_delta(df, self.keys)
+                 .withColumn("loaded_at", F.current_timestamp() if first is None else F.lit(first))
+                 .withColumn("load", F.lit(load)))
+        # Only the partitions in the batch, this load's, are replaced.
+        (delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load")
+         .parquet(self._path("merchants")))
 
     def get_merchants(self, limit: int = 50) -> DataFrame:
-        return top_merchants_table(self.read("merchants"), self.keys, limit)
+        merchants = self.read("merchants")
+        if merchants is None:
+            return self.spark.createDataFrame([], f"normalized_name STRING, name STRING, total_spent {MONEY}, transaction_count BIGINT")
+        return top_merchants_table(merchants, self.keys, limit)
 
     def db_stats(self) -> DataFrame:
         tables = {t: self.read(t) for t in self.TABLES}
