@@ -1,8 +1,7 @@
 """Transaction CSV directories: header job, encoding check, layout-wise scan.
 
-1. List files without reading them (``binaryFile`` with the content column
-   pruned) and read each file's first line and encoding in a ``mapInPandas``
-   task per file batch (distributed; files are streamed, never held whole).
+1. One text scan, split like any other, gives each file's first line, encoding
+   and rows; the result (a row per file) is written once.
 2. Detect the layout per file (``headers``), split rejects.
 3. Read each (layout, header, encoding) group with one CSV scan, all columns
    STRING, keep the file path, parse to the standard schema, union.
@@ -10,99 +9,46 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.plans.materialize import materialize
 from ledgerlens.sources import headers as hd
 from ledgerlens.sources import parse as ps
 
-HEADER_SCHEMA = "file_path STRING, path STRING, header STRING, encoding STRING"
-_CHUNK = 1 << 20
-
-
-def _open(path: str):
-    """Open a file Spark listed: ``file:`` paths locally, other schemes
-    (s3, hdfs, gs, ...) through the matching Arrow filesystem."""
-    import pyarrow.fs as pafs
-    if path.startswith("file:"):
-        local = "/" + path[len("file:"):].lstrip("/")
-        return pafs.LocalFileSystem().open_input_stream(local)
-    if "://" in path:
-        fs, p = pafs.FileSystem.from_uri(path)
-        return fs.open_input_stream(p)
-    return pafs.LocalFileSystem().open_input_stream(path)
-
-
-def _sniff(path: str) -> tuple[str, str]:
-    """First line that is not blank (BOM dropped) and the encoding that decodes the whole file:
-    UTF-8 when every byte decodes, else ISO-8859-1 (which always decodes)."""
-    dec = codecs.getincrementaldecoder("utf-8")()
-    first = bytearray()
-    have_first = False
-    ok = True
-    with _open(path) as fh:
-        while True:
-            chunk = fh.read(_CHUNK)
-            if not chunk:
-                break
-            if not have_first:
-                lines = (bytes(first) + chunk).split(b"\n")
-                kept = next((i for i, ln in enumerate(lines) if ln.lstrip(codecs.BOM_UTF8).strip()), len(lines) - 1)
-                first = bytearray(lines[kept])
-                have_first = kept < len(lines) - 1
-            if ok:
-                try:
-                    dec.decode(chunk)
-                except UnicodeDecodeError:
-                    ok = False
-        if ok:
-            try:
-                dec.decode(b"", final=True)
-            except UnicodeDecodeError:
-                ok = False
-    enc = "UTF-8" if ok else "ISO-8859-1"
-    line = bytes(first).rstrip(b"\r")
-    if line.startswith(codecs.BOM_UTF8):
-        line = line[len(codecs.BOM_UTF8):]
-    return line.decode("utf-8" if ok else "latin-1"), enc
-
-
-def _sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(f, p, *_sniff(p)) for f, p in zip(b["file_path"], b["path"])]
-        yield pd.DataFrame(rows, columns=["file_path", "path", "header", "encoding"])
+_FILLED = r"[^\s\x{FEFF}]"  # a line with more than white space and a byte-order mark
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(file_path, path, header, encoding) for every file under ``path``.
+    """(file_path, path, header, encoding, n_rows) for every file under ``path``.
+
+    One text scan whose splits share the work on a large file; per file it gives
+    the first line that is not blank, the lines after it that are not, and
+    whether every line is valid UTF-8 (else the file is read as ISO-8859-1,
+    which decodes any byte).  A file of blank lines has an empty header and no
+    rows; files of no bytes are left out, as by all of Spark's readers.
 
     ``file_path`` is the name every scan's ``_metadata`` gives (blanks escaped)
-    and joins the steps; ``path`` opens the file."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file_path"), "path"))
-    return files.mapInPandas(_sniff_batches, HEADER_SCHEMA)
-
-
-def row_counts(spark: SparkSession, headers: DataFrame, path: str | None = None, glob: str = "*.csv") -> DataFrame:
-    """Data rows per file (lines minus the header, blank lines ignored), from
-    one distributed text scan of the directory."""
-    if path is None:
-        paths = [r["path"] for r in headers.select("path").collect()]
-        if not paths:
-            return headers.withColumn("n_rows", F.lit(0).cast("long"))
-        reader = spark.read.text(paths)
-    else:
-        reader = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path))
-    lines = (reader.select(F.col("_metadata.file_path").alias("file_path"), "value")
-             .where(F.length(F.regexp_replace("value", r"^\s+|\s+$", "")) > 0)
-             .groupBy("file_path").agg((F.count(F.lit(1)) - 1).alias("n_rows")))
-    return headers.join(lines, "file_path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+    and joins the steps; ``path``, from the listing, opens the file."""
+    def reader(fmt):
+        return spark.read.format(fmt).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    files = reader("binaryFile").select(F.col("_metadata.file_path").alias("file_path"), "path")
+    lines = reader("text").select(
+        F.col("_metadata.file_path").alias("file_path"), F.is_valid_utf8("value").alias("valid"),
+        F.col("value").rlike(_FILLED).alias("filled"), F.col("value").cast("binary").alias("line"),
+        # A split's lines come in order, in one partition.
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    found = lines.groupBy("file_path").agg(
+        F.bool_and("valid").alias("utf8"), F.count_if("filled").alias("n"),
+        F.min_by("line", F.when(F.col("filled"), F.col("at"))).alias("line"))
+    header = F.regexp_replace(F.when(F.col("utf8"), F.decode("line", "UTF-8")).otherwise(F.decode("line", "ISO-8859-1")), r"^\x{FEFF}", "")
+    return (files.join(found, "file_path")
+            .select("file_path", "path", F.coalesce(header, F.lit("")).alias("header"),
+                    F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
+                    F.greatest(F.col("n") - 1, F.lit(0)).cast("long").alias("n_rows")))
 
 
 def _names(header: str) -> list[str]:
@@ -119,7 +65,7 @@ def _last_named(names: list[str]) -> list[tuple[int, str]]:
 
 def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read a directory of bank exports -> (standard transactions, rejects)."""
-    heads = hd.map_columns(hd.detect_formats(row_counts(spark, read_headers(spark, path), path)))
+    heads = materialize(hd.map_columns(hd.detect_formats(read_headers(spark, path))), "headers")
     rejects = hd.reject_report(heads)
     # A registered layout may use column names the generic mapping rejects.
     plugged = [r["header"] for r in heads.select("header").distinct().collect()
