@@ -111,7 +111,7 @@ def global_position(df: DataFrame, order: Sequence[Column | str], out: str) -> D
 
 
 def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "quantile",
-                   accuracy: int = 10_000) -> DataFrame:
+                   accuracy: int = 10_000, buckets: int = 4096) -> DataFrame:
     """Exact linear-interpolation quantile per key (numpy/``quantile_cont``
     semantics) without holding a key's values in one aggregation buffer.
 
@@ -121,8 +121,11 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
        it (largest below, smallest above); rows inside are reduced to
        (value, count) — at most about 6·n/accuracy distinct values per key,
        ties included.
-    3. A running count over those values finds the order statistics at ranks
-       floor((n-1)q) and ceil((n-1)q), which are interpolated.  With b the
+    3. Those values fall into ``buckets`` equal parts of the bracket; a running
+       count over the parts finds the one or two that hold the ranks
+       floor((n-1)q) and ceil((n-1)q), and a running count over the values of
+       these alone the order statistics, which are interpolated.  So no window
+       holds all of a key's values.  With b the
        bracket's lower rank, floor((n-1)q) >= b-1, and likewise above, so a
        rank outside the bracket is always one of the two neighbours.
     """
@@ -148,22 +151,35 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
     below = j.groupBy(*kk).agg(F.count_if(under).alias("_ll_below"), F.count_if(~over).alias("_ll_upto"),
                                F.max(F.when(under, F.col("_ll_x"))).alias("_ll_left"),
                                F.min(F.when(over, F.col("_ll_x"))).alias("_ll_right"))
+    # Order-preserving buckets of equal width across the bracket.
+    value, low, high = (F.col(c).cast("double") for c in ("_ll_x", "_ll_lo", "_ll_hi"))
+    share = F.try_divide(value - low, high - low) * buckets
+    finite = (high - low > 0) & (high - low < float("inf"))  # else one bucket
+    bucket = F.when(finite, F.least(F.floor(share), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int").alias("_ll_bucket")
     inside = (j.where(~under & ~over)
-              .groupBy(*kk, "_ll_x").agg(F.count(F.lit(1)).alias("_ll_c")))
-    w = Window.partitionBy(*kk).orderBy("_ll_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (inside.withColumn("_ll_end", F.sum("_ll_c").over(w))
-              .join(below, kk).join(bounds.select(*kk, "_ll_n"), kk)
-              .withColumn("_ll_end", F.col("_ll_end") + F.col("_ll_below"))   # ranks < _ll_end
-              .withColumn("_ll_start", F.col("_ll_end") - F.col("_ll_c")))
+              .groupBy(*kk, bucket, "_ll_x").agg(F.count(F.lit(1)).alias("_ll_c")))
     pos = (F.col("_ll_n") - 1) * F.lit(q)
     r_lo = F.floor(pos)
     r_hi = F.ceil(pos)
-    hit_lo = (F.col("_ll_start") <= r_lo) & (r_lo < F.col("_ll_end"))
-    hit_hi = (F.col("_ll_start") <= r_hi) & (r_hi < F.col("_ll_end"))
-    picked = ranked.groupBy(*kk).agg(
-        F.max(F.when(hit_lo, F.col("_ll_x"))).alias("_ll_vlo"),
-        F.max(F.when(hit_hi, F.col("_ll_x"))).alias("_ll_vhi"),
-        *[F.max(c).alias(c) for c in ("_ll_n", "_ll_below", "_ll_upto", "_ll_left", "_ll_right")])
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_ll_start") <= rank) & (rank < F.col("_ll_end"))
+    known = below.join(bounds.select(*kk, "_ll_n"), kk)
+
+    def running(part: Sequence[str], order: str) -> Column:
+        return F.sum("_ll_c").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # At most ``buckets`` rows per key, of which one or two hold a rank.
+    hit = (inside.groupBy(*kk, "_ll_bucket").agg(F.sum("_ll_c").alias("_ll_c"))
+           .withColumn("_ll_end", running(kk, "_ll_bucket")).join(known.select(*kk, "_ll_n", "_ll_below"), kk)
+           .withColumn("_ll_end", F.col("_ll_end") + F.col("_ll_below"))   # ranks < _ll_end
+           .withColumn("_ll_start", F.col("_ll_end") - F.col("_ll_c"))
+           .where(holds(r_lo) | holds(r_hi)).select(*kk, "_ll_bucket", "_ll_n", F.col("_ll_start").alias("_ll_first")))
+    ranked = (inside.join(hit, [*kk, "_ll_bucket"])
+              .withColumn("_ll_end", running([*kk, "_ll_bucket"], "_ll_x") + F.col("_ll_first"))
+              .withColumn("_ll_start", F.col("_ll_end") - F.col("_ll_c")))
+    found = ranked.groupBy(*kk).agg(F.max(F.when(holds(r_lo), F.col("_ll_x"))).alias("_ll_vlo"),
+                                    F.max(F.when(holds(r_hi), F.col("_ll_x"))).alias("_ll_vhi"))
+    picked = known.join(found, kk, "left")
     for v, r in (("_ll_vlo", r_lo), ("_ll_vhi", r_hi)):
         picked = picked.withColumn(v, F.when(r < F.col("_ll_below"), F.col("_ll_left"))
                                    .when(r >= F.col("_ll_upto"), F.col("_ll_right")).otherwise(F.col(v)))
