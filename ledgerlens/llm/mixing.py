@@ -25,7 +25,7 @@ from ledgerlens.llm.textblocks import blocks, mix, words
 FEATURES = 2048
 SAMPLE_PER_DOMAIN = 400
 TRAIN_STEPS = 150
-MAX_ITERATIONS, TOLERANCE = 120, 1e-4
+MAX_ITERATIONS, TOLERANCE = 120, 1e-4  # rounds, share of a domain's target; a fit that ends short of its targets says by how much
 
 
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = SAMPLE
     rows = (docs.where("doc_id is not null").join(lab, F.col("doc_id") == F.col("id"))
             .select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("q"), "quality")).alias("domain"),
                     F.xxhash64("doc_id").alias("at")))
-    rows = rows.dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id", "at").agg(F.min("domain").alias("domain"))  # an id of several languages has one domain
     # The hash is uniform, so its lowest 4 * per_domain / n share of a domain holds
     # the per_domain lowest rows: only those are ranked, however large the domain.
     share = rows.groupBy("domain").agg((F.lit(4.0 * per_domain) / F.count(F.lit(1))).alias("share"))
@@ -123,9 +123,12 @@ def replay(p: np.ndarray, residuals: np.ndarray, scale: np.ndarray, step: float)
     return x, y
 
 
-def fit_rates(scored: DataFrame, targets: np.ndarray, prefix: str = "mix") -> tuple[np.ndarray, np.ndarray, float]:
-    """Weighted residual history, scale and step of the fit; with :func:`replay` they
-    give every row's rate."""
+def fit_rates(scored: DataFrame, targets: np.ndarray, prefix: str = "mix") -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Weighted residual history, scale and step of the fit, which with :func:`replay`
+    give every row's rate, and the largest share by which a domain misses its target.
+
+    Rounds go on until every domain is within ``TOLERANCE`` of its target, at
+    most ``MAX_ITERATIONS``: targets that few rows can meet are approached only."""
     k = len(targets)
     total = float(targets.sum())
     scale = np.where(targets > 0, targets, total)
@@ -158,12 +161,12 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, prefix: str = "mix") -> tu
     weight = np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k))
     step = 1.0
     residuals: list[np.ndarray] = []
-    for _ in range(MAX_ITERATIONS):
+    while True:
         r = sums(residuals, step) - want
-        if np.abs(r).max() < TOLERANCE:
+        if np.abs(r).max() < TOLERANCE or len(residuals) == MAX_ITERATIONS:
             break
         residuals.append(weight @ r)
-    return np.array(residuals).reshape(-1, k), scale, step
+    return np.array(residuals).reshape(-1, k), scale, step, float(np.abs(r).max())
 
 
 def default_targets(names: list[str], tokens: np.ndarray, low_quality: float = 0.05, power: float = 0.7,
@@ -185,8 +188,12 @@ def default_targets(names: list[str], tokens: np.ndarray, low_quality: float = 0
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets=default_targets, prefix: str = "mix") -> DataFrame:
-    """``docs`` with mix_tokens, mix_domains, mix_rate and mix_copies (``prefix``
-    names another beginning; columns of these names are replaced).
+    """``docs`` with mix_tokens, mix_domains, mix_rate, mix_copies and
+    mix_residual (``prefix`` names another beginning; columns of these names are
+    replaced).
+
+    mix_residual, the same in every row, is the largest share by which the fit
+    misses a domain's target: below ``TOLERANCE`` where the targets can be met.
 
     mix_copies is the integer part of the rate plus one with the probability
     of the fraction, drawn by hash of doc_id and text.  Documents without
@@ -202,15 +209,16 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets=default_targets,
         weights, bias = np.zeros((FEATURES, 1)), np.zeros(1)
     k = len(bias)
     scored = materialize(add_posteriors(docs, weights, bias, prefix), "posteriors")
-    n_col, p_col, r_col, c_col = (f"{prefix}_{x}" for x in ("tokens", "domains", "rate", "copies"))
+    n_col, p_col, r_col, c_col, e_col = (f"{prefix}_{x}" for x in ("tokens", "domains", "rate", "copies", "residual"))
     tokens = np.zeros(k)
     for r in (scored.select(F.posexplode(p_col).alias("i", "p"), F.col(n_col).alias("n")).groupBy("i")
               .agg(F.sum(F.col("p") * F.col("n")).alias("t")).collect()):
         tokens[r["i"]] = r["t"]
     want = targets(names, tokens) if names else tokens
-    hist, scale, step = fit_rates(scored, np.asarray(want), prefix) if tokens.sum() > 0 else (np.zeros((0, k)), np.ones(k), 0.0)
+    hist, scale, step, missed = (fit_rates(scored, np.asarray(want), prefix) if tokens.sum() > 0
+                                 else (np.zeros((0, k)), np.ones(k), 0.0, 0.0))
     shared = spark.sparkContext.broadcast((hist, scale, step))
-    base = scored.drop(r_col, c_col)
+    base = scored.drop(r_col, c_col, e_col)
 
     def run(batches):
         h, s, st = shared.value
@@ -221,4 +229,5 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets=default_targets,
     rated = base.mapInArrow(run, with_fields(base, (r_col, "double")))
     draw = (F.xxhash64(F.lit("mix"), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
     floor = F.floor(r_col)
-    return rated.withColumn(c_col, (floor + (draw < F.col(r_col) - floor).cast("int")).cast("long"))
+    return (rated.withColumn(c_col, (floor + (draw < F.col(r_col) - floor).cast("int")).cast("long"))
+            .withColumn(e_col, F.lit(missed)))

@@ -82,7 +82,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.mixing import mix_to_targets
 
     out = mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "mix_tokens", "mix_domains", "mix_rate", "mix_copies")
+    return out.select("doc_id", "mix_tokens", "mix_domains", "mix_rate", "mix_copies", "mix_residual")
 
 
 @register("op10_weighted_minhash")
