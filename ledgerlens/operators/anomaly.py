@@ -109,6 +109,8 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
         scored = zscore_scores(feats, keys)
     elif method == "iforest":
         from ledgerlens.operators.iforest import iforest_scores
+        # The features feed the counts, the forests and the join back: written once, and only the columns the scores need.
+        feats = materialize(feats.select(*keys, "transaction_id", *FEATURES), "iforest-features")
         # Python-computed scores: written once before normalising.
         scored = minmax_normalise(materialize(iforest_scores(feats, keys, forest=forest), "iforest-scores"), keys)
     else:

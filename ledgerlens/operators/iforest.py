@@ -1,10 +1,12 @@
 """Isolation-forest scores (Liu, Ting & Zhou, ICDM 2008) on Spark.
 
 Per key: each tree is grown on a hash-selected sample of about
-``sample_size`` expense rows (bounded group per task), trees are built with
-``applyInPandas`` per (key, tree), and rows are scored by co-grouping row
-buckets with the key's forest — a key with many rows is split over several
-buckets, each carrying a copy of that key's forest (≤ trees·(2·sample-1)
+``sample_size`` expense rows.  A key of at most ``ROWS_PER_BUCKET`` rows is one
+bounded group: its rows are shuffled once, each with the list of its trees, and
+its forest is grown and applied in the same call, so neither the trees' samples
+nor the nodes are shuffled (a small key has about 200 nodes per row).  For a
+larger key the samples make one group and rows are scored by co-grouping row
+buckets with the key's forest, each bucket carrying a copy (≤ trees·(2·sample-1)
 nodes), so no task holds a whole account.
 """
 
@@ -41,68 +43,43 @@ def grow_forest(x: np.ndarray, tree_of_row: np.ndarray, rng: np.random.Generator
     no usable feature or at ``max_depth`` are leaves.  Returns one row per
     node with global node ids (children point at global ids)."""
     trees = np.unique(tree_of_row)
-    n_feat = x.shape[1]
     node_of_row = np.searchsorted(trees, tree_of_row)          # roots are 0..T-1
-    tree_col = list(trees)
-    depth_col = [0] * len(trees)
-    size_col = list(np.bincount(node_of_row, minlength=len(trees)))
-    feat_col = [-1] * len(trees)
-    thr_col = [0.0] * len(trees)
-    left_col = [-1] * len(trees)
-    right_col = [-1] * len(trees)
+    tree, size = trees, np.bincount(node_of_row, minlength=len(trees))
+    level, thr = np.zeros(len(trees), dtype=int), np.zeros(len(trees))
+    feat, left, right = (np.full(len(trees), -1) for _ in range(3))
     open_nodes = np.arange(len(trees))
     for depth in range(max_depth):
-        if open_nodes.size == 0:
-            break
-        mask = np.isin(node_of_row, open_nodes)
-        rows = np.flatnonzero(mask)
+        rows = np.flatnonzero(np.isin(node_of_row, open_nodes))
         if rows.size == 0:
             break
-        nodes, inv = np.unique(node_of_row[rows], return_inverse=True)
-        frame = pd.DataFrame(x[rows], columns=range(n_feat))
-        frame["_n"] = inv
-        g = frame.groupby("_n")
-        lo = g.min().to_numpy()
-        hi = g.max().to_numpy()
-        size = np.bincount(inv, minlength=len(nodes))
-        usable = (hi > lo) & (size[:, None] > 1)
-        can = usable.any(axis=1)
+        rows = rows[np.argsort(node_of_row[rows], kind="stable")]
+        nodes, first, inv, n = np.unique(node_of_row[rows], return_index=True, return_inverse=True, return_counts=True)
+        lo, hi = np.fmin.reduceat(x[rows], first), np.fmax.reduceat(x[rows], first)
+        usable = (hi > lo) & (n[:, None] > 1)
         u = np.where(usable, rng.random(usable.shape), -1.0)
         f = u.argmax(axis=1)
-        t = lo[np.arange(len(nodes)), f] + rng.random(len(nodes)) * (hi[np.arange(len(nodes)), f] - lo[np.arange(len(nodes)), f])
-        split = np.flatnonzero(can)
-        next_open = []
-        base = len(tree_col)
-        for j, k in enumerate(split):
-            nid = nodes[k]
-            feat_col[nid] = int(f[k])
-            thr_col[nid] = float(t[k])
-            left_col[nid] = base + 2 * j
-            right_col[nid] = base + 2 * j + 1
+        at = np.arange(len(nodes))
+        t = lo[at, f] + rng.random(len(nodes)) * (hi[at, f] - lo[at, f])
+        split = np.flatnonzero(usable.any(axis=1))
+        base, new = len(tree), 2 * split.size
         # route rows of split nodes to children
         pos = np.full(len(nodes), -1)
         pos[split] = np.arange(split.size)
-        r_pos = pos[inv]
-        moving = r_pos >= 0
+        moving = pos[inv] >= 0
         mr = rows[moving]
         go_left = x[mr, f[inv[moving]]] < t[inv[moving]]
-        child = base + 2 * r_pos[moving] + np.where(go_left, 0, 1)
+        child = base + 2 * pos[inv][moving] + np.where(go_left, 0, 1)
         node_of_row[mr] = child
-        child_sizes = np.bincount(child - base, minlength=2 * split.size) if split.size else np.array([], int)
-        for j, k in enumerate(split):
-            for side in (0, 1):
-                tree_col.append(tree_col[nodes[k]])
-                depth_col.append(depth + 1)
-                size_col.append(int(child_sizes[2 * j + side]))
-                feat_col.append(-1)
-                thr_col.append(0.0)
-                left_col.append(-1)
-                right_col.append(-1)
-                next_open.append(base + 2 * j + side)
-        open_nodes = np.array(next_open, dtype=int)
-    return pd.DataFrame({"tree_id": np.asarray(tree_col, dtype=np.int32), "node": np.arange(len(tree_col)),
-                         "feature": feat_col, "threshold": thr_col, "left": left_col, "right": right_col,
-                         "size": size_col, "depth": depth_col})
+        parent = nodes[split]
+        feat[parent], thr[parent] = f[split], t[split]
+        left[parent], right[parent] = base + 2 * np.arange(split.size), base + 2 * np.arange(split.size) + 1
+        tree, level = np.concatenate([tree, np.repeat(tree[parent], 2)]), np.concatenate([level, np.full(new, depth + 1)])
+        size = np.concatenate([size, np.bincount(child - base, minlength=new)])
+        thr = np.concatenate([thr, np.zeros(new)])
+        feat, left, right = (np.concatenate([c, np.full(new, -1)]) for c in (feat, left, right))
+        open_nodes = base + np.arange(new)
+    return pd.DataFrame({"tree_id": tree.astype(np.int32), "node": np.arange(len(tree)), "feature": feat, "threshold": thr,
+                         "left": left, "right": right, "size": size, "depth": level})
 
 
 def _build_fn(keys: Sequence[str], sample_size: int, seed: int):
@@ -162,23 +139,42 @@ def _score_fn(keys: Sequence[str]):
     return score
 
 
+def _grow_and_score_fn(keys: Sequence[str], n_trees: int, sample_size: int, seed: int):
+    """Grow the forest of one small key and score its rows.  ``picks`` holds
+    the trees of a row, null for all of them."""
+    build, score = _build_fn(keys, sample_size, seed), _score_fn(keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        trees = [np.arange(n_trees) if p is None else p for p in pdf["picks"]]
+        sample = pdf.iloc[np.repeat(np.arange(len(pdf)), [len(t) for t in trees])].drop(columns="picks")
+        sample = sample.assign(tree_id=np.concatenate(trees).astype(np.int32))
+        return score(pdf, sample if sample.empty else build(sample))
+
+    return run
+
+
 def iforest_scores(feats: DataFrame, keys: Keys = (), n_trees: int = 100, sample_size: int = 256,
                    seed: int = 42, forest: DataFrame | None = None) -> DataFrame:
     """``feats`` (from ``anomaly_features``) + ``raw_score`` = 2^(-E[h]/c(psi))."""
     keys = list(keys)
-    kcols = keys or []
     work = feats if keys else feats.withColumn("_ll_all", F.lit(0))
-    kk = kcols or ["_ll_all"]
+    kk = keys or ["_ll_all"]
     counts = work.groupBy(*kk).agg(F.count(F.lit(1)).alias("_ll_n"))
-    w = work.join(counts, kk)
+    w = work.join(counts, kk).select(*kk, "_ll_n", "transaction_id", *FEATURES)
+    kschema = ", ".join(f"{k} {dict(work.dtypes)[k]}" for k in kk)
+    out_schema = kschema + ", transaction_id STRING, raw_score DOUBLE"
+    small, scored = F.col("_ll_n") <= ROWS_PER_BUCKET, None
     if forest is None:
         rate = F.least(F.lit(1.0), F.lit(float(sample_size)) / F.col("_ll_n"))
         # All 53 bits a double holds, so the rate may be as low as any key needs.
         u = lambda t: (F.shiftrightunsigned(F.xxhash64(F.col("transaction_id"), t, F.lit(seed)), 11)
                        / F.lit(2.0 ** 53))
         picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < rate)
+        few = w.where(small).select(*kk, "transaction_id", *FEATURES, F.when(rate < 1.0, picks).alias("picks"))
+        scored = few.groupBy(*kk).applyInPandas(_grow_and_score_fn(kk, n_trees, sample_size, seed), out_schema)
+        w, counts = w.where(~small), counts.where(~small)
         sample = w.select(*kk, *FEATURES, F.explode(picks).alias("tree_id"))
-        node_schema = ", ".join([f"{k} {dict(work.dtypes)[k]}" for k in kk]) + \
+        node_schema = kschema + \
             ", tree_id INT, node BIGINT, feature BIGINT, threshold DOUBLE, left BIGINT, right BIGINT, " \
             "size BIGINT, depth BIGINT, psi BIGINT"
         forest = sample.groupBy(*kk).applyInPandas(_build_fn(kk, sample_size, seed), node_schema)
@@ -187,8 +183,7 @@ def iforest_scores(feats: DataFrame, keys: Keys = (), n_trees: int = 100, sample
         .select(*kk, "_ll_b", "transaction_id", *FEATURES)
     per_key_b = counts.select(*kk, F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_ll_b"))
     nodes = forest.join(per_key_b, kk)
-    out_schema = ", ".join([f"{k} {dict(work.dtypes)[k]}" for k in kk]) + ", transaction_id STRING, raw_score DOUBLE"
-    scored = (rows.groupBy(*kk, "_ll_b").cogroup(nodes.groupBy(*kk, "_ll_b"))
-              .applyInPandas(_score_fn(kk), out_schema))
-    res = feats.join(scored.drop("_ll_all") if not keys else scored, [*keys, "transaction_id"])
-    return res
+    many = (rows.groupBy(*kk, "_ll_b").cogroup(nodes.groupBy(*kk, "_ll_b"))
+            .applyInPandas(_score_fn(kk), out_schema))
+    scored = many if scored is None else scored.unionByName(many)
+    return feats.join(scored.drop("_ll_all") if not keys else scored, [*keys, "transaction_id"])
