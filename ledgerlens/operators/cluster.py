@@ -9,8 +9,10 @@ to a distance ``eps`` (the minimum spanning forest of the eps-graph) and
   has its home at the nearest one and is copied to every pivot at most 2 eps
   farther away, so a member meets all its neighbours in its own home cell (two
   points within eps differ by at most eps in their distance to any pivot).  A
-  cell is split again while that halves the comparisons; cells that no pivots
-  can split are compared in blocks of bounded size.
+  cell is split again while that halves the comparisons (counted before any
+  copy is made); cells that no pivots can split are compared in blocks of
+  bounded size, each pair of blocks once.  A row goes to at most about
+  2 BLOCKS pairs, so what is shuffled grows with the rows, not their square.
 * **Forests instead of edges.**  A block sends the minimum spanning forest of
   its edges only; the forest of all edges is the forest of the blocks' forests.
 * **Borůvka rounds.**  Every component takes its least outgoing edge, hooked
@@ -31,7 +33,9 @@ from ledgerlens.plans.materialize import materialize
 CELL = 2048  # members of a cell that is not split
 PIVOTS = 24
 GAIN = 0.5  # a split must leave at most this share of the comparisons
-QUERY_BLOCK, MEMBER_BLOCK = 1024, 4096
+QUERY_BLOCK, MEMBER_BLOCK = 1024, 4096  # vectors compared at a time
+BLOCKS, LARGEST_BLOCK = 48, 32_768  # a cell makes at most BLOCKS blocks of each kind, until they hold LARGEST_BLOCK rows
+BROADCAST_SIZES = 500_000  # (cell, nq, nm) rows sent to all tasks
 BROADCAST_CELLS = 500  # pivot sets (PIVOTS vectors each) sent to all tasks; more are joined by shuffle
 _SLACK = 1e-9
 
@@ -63,33 +67,55 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
                 break
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([v.values.to_numpy(zero_copy_only=False) for v in column])
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(lists))) != 1:
+        raise ValueError("vectors must have one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _compare(eps: float):
+def _compare(eps: float, query_block: int, member_block: int):
+    """The forest of the edges between the asking rows and the others, or
+    among the asking rows where a block meets itself."""
+    def near(p, u, q, v, above):
+        # u.v - (|u|^2 + |v|^2)/2 = -d^2/2 by one product, a little slack for its rounding; d itself is taken plainly.
+        half = (1 - 1e-6) / 2
+        left = np.column_stack([u, -half * (u * u).sum(1), np.ones(len(u))])
+        right = np.column_stack([v, np.ones(len(v)), -half * (v * v).sum(1)])
+        i, j = np.nonzero(left @ right.T >= -(eps * eps + 1e-6) / 2)
+        keep = (p[i] != q[j]) & (j > i + above)
+        i, j = i[keep], j[keep]
+        d = np.concatenate([np.zeros(0), *(np.sqrt(((u[i[s:s + 50_000]] - v[j[s:s + 50_000]]) ** 2).sum(1)) for s in range(0, len(i), 50_000))])
+        i, j, d = i[d <= eps], j[d <= eps], d[d <= eps]
+        return np.minimum(p[i], q[j]), np.maximum(p[i], q[j]), d
+
+    def forest(parts):
+        a, b, d = (np.concatenate(c) for c in zip(*parts))
+        keep = spanning_forest(a, b, d) if len(a) else np.zeros(0, np.int64)
+        return a[keep], b[keep], d[keep]
+
     def run(block: pa.Table) -> pa.Table:
-        left, right = block.filter(block.column("asking")), block.filter(pc.invert(block.column("asking")))
-        a = b = np.zeros(0, np.int64)
-        d = np.zeros(0)
+        itself = block.column("qb")[0].as_py() == block.column("mb")[0].as_py()
+        left = block.filter(block.column("asking"))
+        right = left if itself else block.filter(pc.invert(block.column("asking")))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             p, q = left.column("p").to_numpy(), right.column("p").to_numpy()
             u, v = _matrix(left.column("v")), _matrix(right.column("v"))
-            square = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :]
-            i, j = np.nonzero(square - 2 * (u @ v.T) <= eps * eps + 1e-6 * (1 + square))
-            i, j = i[p[i] != q[j]], j[p[i] != q[j]]
-            far = [np.sqrt(((u[i[s:s + 50_000]] - v[j[s:s + 50_000]]) ** 2).sum(1)) for s in range(0, len(i), 50_000)]
-            d = np.concatenate([d, *far])
-            i, j, d = i[d <= eps], j[d <= eps], d[d <= eps]
-            a, b = np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
-            keep = spanning_forest(a, b, d) if len(a) else np.zeros(0, np.int64)
-            a, b, d = a[keep], b[keep], d[keep]
+            for s in range(0, len(p), query_block):
+                for t in range(s if itself else 0, len(q), member_block):
+                    e, m = s + query_block, t + member_block
+                    parts.append(near(p[s:e], u[s:e], q[t:m], v[t:m], s - t if itself else -len(p)))
+                    if sum(len(x[0]) for x in parts) > 500_000:  # bounded memory
+                        parts = [forest(parts)]
+        a, b, d = forest(parts)
         return pa.table({"a": a, "b": b, "d": d})
     return run
 
 
-def _deal(eps: float):
-    """Rows (cell, p, v, home, pivots) -> (parent, cell, p, v, home): one row per cell the member enters."""
+def _deal(eps: float, count: bool = False):
+    """Rows (cell, p, v, home, pivots) -> (parent, pivot, p, v, home): one row
+    per cell the member enters; or only their numbers (parent, pivot, members, homes)."""
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -101,6 +127,11 @@ def _deal(eps: float):
                 near = d.argmin(axis=1)
                 i, j = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * eps + _SLACK)
                 home = rows.column("home").to_numpy()[i] & (j == near[i])
+                if count:
+                    members, homes = (np.bincount(j[x], minlength=len(pivots)) for x in (slice(None), home))
+                    yield pa.RecordBatch.from_pydict({"parent": pa.array(np.full(len(pivots), cell)), "pivot": pa.array(range(len(pivots)), pa.int64()),
+                                                      "members": pa.array(members), "homes": pa.array(homes)})
+                    continue
                 take = rows.take(pa.array(i))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(i), cell)), pa.array(j, pa.int64()), take.column("p").combine_chunks(),
@@ -127,27 +158,34 @@ def _cells(points: DataFrame, eps: float) -> list[DataFrame]:
         pivots = (members.withColumn("r", rank).where(F.col("r") <= PIVOTS)  # each task passes on PIVOTS rows of a cell at most
                   .groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("pivots")))
         with_pivots = members.join(F.broadcast(pivots) if n_large <= BROADCAST_CELLS else pivots, "cell")
-        dealt = with_pivots.select(*cols, "pivots").mapInArrow(_deal(eps), "parent long, pivot long, p long, v array<double>, home boolean")
-        dealt = materialize(dealt.withColumn("cell", F.xxhash64("parent", "pivot", F.lit(level))), "dealt")
-        cost = (dealt.groupBy("parent", "cell").agg((F.count("*").cast("double") * F.count_if("home")).alias("pairs"))
+        asked = with_pivots.select(*cols, "pivots")
+        cost = (asked.mapInArrow(_deal(eps, count=True), "parent long, pivot long, members long, homes long")
+                .groupBy("parent", "pivot").agg((F.sum("members").cast("double") * F.sum("homes")).alias("pairs"))
                 .groupBy("parent").agg(F.sum("pairs").alias("pairs")))
         worth = (large.join(cost, large.cell == cost.parent)
                  .where(F.col("pairs") <= GAIN * F.col("members") * F.col("homes")).select("cell"))
         worth = materialize(worth, "split-cells")
         out.append(members.join(worth, "cell", "left_anti").select(*cols))
-        todo = dealt.join(worth.withColumnRenamed("cell", "parent"), "parent", "left_semi").select(*cols)
+        dealt = asked.join(worth, "cell", "left_semi").mapInArrow(_deal(eps), "parent long, pivot long, p long, v array<double>, home boolean")
+        todo = materialize(dealt.withColumn("cell", F.xxhash64("parent", "pivot", F.lit(level))).select(*cols), "dealt")
 
 
 def _edges(points: DataFrame, eps: float) -> DataFrame:
     """(a, b, d): forests of the cells' blocks, a < b, d <= eps."""
     cells = _cells(points, eps)
     cells = materialize(cells[0] if len(cells) == 1 else _union(cells), "cells")
-    size = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / QUERY_BLOCK).alias("nq"), F.ceil(F.count("*") / MEMBER_BLOCK).alias("nm"))
-    cells = cells.join(size, "cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = cells.where("home").select("cell", F.pmod(F.xxhash64("p"), F.col("nq")).alias("qb"), every("nm").alias("mb"), "p", "v", F.lit(True).alias("asking"))
-    m = cells.select("cell", every("nq").alias("qb"), F.pmod(F.xxhash64("p", F.lit(1)), F.col("nm")).alias("mb"), "p", "v", F.lit(False).alias("asking"))
-    found = q.unionByName(m).groupBy("cell", "qb", "mb").applyInArrow(_compare(eps), "a long, b long, d double")
+    count = lambda n: F.greatest(F.least(F.ceil(n / MEMBER_BLOCK), F.lit(BLOCKS)), F.ceil(n / LARGEST_BLOCK))
+    size = cells.groupBy("cell").agg(count(F.count_if("home")).alias("nq"), count(F.count_if(~F.col("home"))).alias("nm")).where("nq > 0")
+    size = materialize(size, "cell-sizes")
+    # Home blocks are 0 .. nq-1, the others nq .. nq+nm-1; a home block meets itself and each other block once.
+    block = F.when(F.col("home"), F.pmod(F.xxhash64("p"), F.col("nq"))).otherwise(F.col("nq") + F.pmod(F.xxhash64("p"), F.col("nm")))
+    met = F.sequence(F.lit(0).cast("long"), F.col("nq") + F.when(F.col("home"), F.col("nm")).otherwise(0) - 1)
+    sized = cells.join(F.broadcast(size) if size.count() <= BROADCAST_SIZES else size, "cell")
+    rows = sized.select("cell", block.alias("block"), F.explode(met).alias("met"), "p", "v")
+    rows = rows.select("cell", F.least("block", "met").alias("qb"), F.greatest("block", "met").alias("mb"), "p", "v",
+                       (F.col("block") <= F.col("met")).alias("asking"))
+    # Dealt by block: rows that a join has placed by cell would count as grouped, and a cell's blocks all be one task's.
+    found = rows.repartition("cell", "qb", "mb").groupBy("cell", "qb", "mb").applyInArrow(_compare(eps, QUERY_BLOCK, MEMBER_BLOCK), "a long, b long, d double")
     return materialize(found.groupBy("a", "b").agg(F.min("d").alias("d")), "cell-forests")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,30 @@ def test_spanning_forest_joins_every_component():
             parent[find(i)] = find(j)
             total += e
     assert d[keep].sum() == total
+
+
+def test_blocks_meet_once_and_rows_are_not_copied_to_every_block(spark, monkeypatch):
+    """The pairs of blocks a row enters are bounded, however many rows a cell has."""
+    rows = blobs(300, 300, 1.0, seed=4)  # one cell that no pivots split
+    monkeypatch.setattr(c, "CELL", 20)
+    monkeypatch.setattr(c, "MEMBER_BLOCK", 8)
+    monkeypatch.setattr(c, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(c, "BLOCKS", 5)
+    assert got(c.cluster_embeddings(frame(spark, rows), eps=1.5)) == brute(rows, 1.5)
+
+
+def test_the_blocks_of_one_cell_are_several_tasks(spark, monkeypatch):
+    """One cell's blocks are dealt over the tasks, also where its sizes are joined by shuffle."""
+    from pyspark import TaskContext
+    monkeypatch.setattr(c, "MEMBER_BLOCK", 20)
+    monkeypatch.setattr(c, "BROADCAST_SIZES", 0)
+    monkeypatch.setattr(c, "_compare", lambda *_: lambda block: pa.table({"a": [TaskContext.get().partitionId()], "b": [block.num_rows], "d": [0.0]}))
+    was = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(was, ("-1", "false")):
+            spark.conf.set(k, v)
+        points = frame(spark, blobs(200, 200, 1.0)).select(F.col("vec_id").alias("p"), F.col("embedding").alias("v"))
+        assert c._edges(points, 0.5).select("a").distinct().count() > 1
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
