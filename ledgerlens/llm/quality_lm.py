@@ -144,6 +144,24 @@ def probabilities(model, grams: DataFrame) -> DataFrame:
     return p.select("gram", F.log("p").alias("logp"))
 
 
+def first_places(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Of sorted hashes: where the first with each leading bits stands (one or
+    two hashes a slot), and the shift that leaves these bits."""
+    bits = max(1, len(keys).bit_length() - 1)
+    shift = _U(64 - bits)
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << shift).astype(np.int32), shift
+
+
+def places(keys: np.ndarray, first: np.ndarray, shift: np.uint64, h: np.ndarray) -> np.ndarray:
+    """Position in ``keys`` of each of ``h``, which are all among them."""
+    at = first[h >> shift]
+    miss = np.flatnonzero(keys[at] != h)
+    while len(miss):
+        at[miss] += 1
+        miss = miss[keys[at[miss]] != h[miss]]
+    return at
+
+
 def score(docs: DataFrame, table: DataFrame) -> DataFrame:
     """``docs`` (with column text) plus lm_chars and lm_logp."""
     spark = docs.sparkSession
@@ -154,17 +172,17 @@ def score(docs: DataFrame, table: DataFrame) -> DataFrame:
         got = table.toArrow()
         h = hash_grams(got.column("gram").to_pylist())
         order = np.argsort(h)
-        shared = spark.sparkContext.broadcast((h[order], got.column("logp").to_numpy()[order].astype(np.float32)))
+        shared = spark.sparkContext.broadcast((h[order], got.column("logp").to_numpy()[order].astype(np.float32), *first_places(h[order])))
 
         def run(batches):
-            keys, logp = shared.value
+            keys, logp, first, shift = shared.value
             for b in batches:
                 n, total = np.zeros(len(b), np.int64), np.zeros(len(b))
                 for lo, hi, data, off in blocks(b.column(b.schema.get_field_index("text")), 1 << 21):
                     _, row, _, h = _grams(_plain(data), off)
                     if len(row):
                         n[lo:hi] = np.bincount(row, minlength=hi - lo)
-                        total[lo:hi] = np.bincount(row, logp[np.searchsorted(keys, h)], minlength=hi - lo)
+                        total[lo:hi] = np.bincount(row, logp[places(keys, first, shift, h)], minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total)], names=[*b.schema.names, "lm_chars", "lm_logp"])
         return base.mapInArrow(run, schema)
 
