@@ -132,7 +132,10 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
     med = exact_quantile(scored, keys, "amount_abs", 0.5, "_ll_median")
     stats = join_on_keys(join_on_keys(stats, thr, keys, "left"), med, keys, "left")
     close = F.abs(F.col("_ll_hi") - F.col("_ll_lo")) <= (1e-8 + 1e-5 * F.abs(F.col("_ll_lo")))
-    stats = stats.withColumn("_ll_active", (F.col("_ll_cnt") >= min_expenses) & ~close)
+    # One row per key, written once: its tables and sorts are not held beside
+    # those of the join with the ledger.
+    stats = materialize(stats.select(*keys, ((F.col("_ll_cnt") >= min_expenses) & ~close).alias("_ll_active"),
+                                     "_ll_thr", "_ll_median"), "anomaly-limits")
 
     ranked = top_k(scored.select(*keys, "transaction_id", "raw_score"), keys,
                    [F.col("raw_score").desc(), F.col("transaction_id")], top_n, salt_col="transaction_id",
@@ -142,7 +145,7 @@ def score_anomalies(df: DataFrame, keys: Keys = (), method: str = "zscore", cont
                                  [*keys, "transaction_id"], "left")
 
     out = df.join(exp_scores, [*keys, "transaction_id"], "left")
-    out = join_on_keys(out, stats.select(*keys, "_ll_active", "_ll_thr", "_ll_median"), keys, "left")
+    out = join_on_keys(out, stats, keys, "left")
     active = F.coalesce(F.col("_ll_active"), F.lit(False))
     score = F.when(active, F.coalesce(F.col("raw_score"), F.lit(0.0))).otherwise(F.lit(0.0))
     out = out.withColumn("anomaly_score", score)

@@ -29,6 +29,15 @@ def key_cols(keys: Keys) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
+def group_hash(df: DataFrame, cols: Keys) -> Column:
+    """A number that leads the sort of groups by ``cols`` and mostly decides it.
+    Only columns whose equal values have equal bits enter: 0.0 and -0.0 are one
+    group."""
+    plain = {"string", "boolean", "byte", "short", "integer", "long", "date", "timestamp", "timestamp_ntz", "decimal"}
+    hashed = [c for c in cols if df.schema[c].dataType.typeName() in plain]
+    return F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys``; with no keys the right side is one row (a global
     aggregate) and is attached with a constant-key join."""
@@ -120,7 +129,9 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
     2. One pass counts the rows below the bracket and keeps the values next to
        it (largest below, smallest above); rows inside are reduced to
        (value, count) — at most about 6·n/accuracy distinct values per key,
-       ties included.
+       ties included.  The brackets and this table are written once, so the
+       rows are joined with their bracket once and no task holds the sorts and
+       tables of all steps together.
     3. Those values fall into ``buckets`` equal parts of the bracket; a running
        count over the parts finds the one or two that hold the ranks
        floor((n-1)q) and ceil((n-1)q), and a running count over the values of
@@ -142,29 +153,34 @@ def exact_quantile(df: DataFrame, keys: Keys, col: str, q: float, out: str = "qu
         F.min(x).alias("_ll_min"), F.max(x).alias("_ll_max"))
     lo_b = F.lit(lo_q) == 0.0
     hi_b = F.lit(hi_q) == 1.0
-    bounds = bounds.select(*kk, "_ll_n",
-                           F.when(lo_b, F.col("_ll_min")).otherwise(F.col("_ll_b")[0]).alias("_ll_lo"),
-                           F.when(hi_b, F.col("_ll_max")).otherwise(F.col("_ll_b")[1]).alias("_ll_hi"))
+    bounds = materialize(bounds.select(*kk, "_ll_n",
+                                       F.when(lo_b, F.col("_ll_min")).otherwise(F.col("_ll_b")[0]).alias("_ll_lo"),
+                                       F.when(hi_b, F.col("_ll_max")).otherwise(F.col("_ll_b")[1]).alias("_ll_hi")), "quantile-brackets")
     j = base.select(*kk, x.alias("_ll_x")).join(bounds, kk)
-    under = F.col("_ll_x") < F.col("_ll_lo")
-    over = F.col("_ll_x") > F.col("_ll_hi")
-    below = j.groupBy(*kk).agg(F.count_if(under).alias("_ll_below"), F.count_if(~over).alias("_ll_upto"),
-                               F.max(F.when(under, F.col("_ll_x"))).alias("_ll_left"),
-                               F.min(F.when(over, F.col("_ll_x"))).alias("_ll_right"))
+    zone = F.when(F.col("_ll_x") < F.col("_ll_lo"), -1).when(F.col("_ll_x") > F.col("_ll_hi"), 1).otherwise(0)
+    under, within, over = (F.col("_ll_zone") == z for z in (-1, 0, 1))
     # Order-preserving buckets of equal width across the bracket.
     value, low, high = (F.col(c).cast("double") for c in ("_ll_x", "_ll_lo", "_ll_hi"))
     share = F.try_divide(value - low, high - low) * buckets
     finite = (high - low > 0) & (high - low < float("inf"))  # else one bucket
-    bucket = F.when(finite, F.least(F.floor(share), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int").alias("_ll_bucket")
-    inside = (j.where(~under & ~over)
-              .groupBy(*kk, bucket, "_ll_x").agg(F.count(F.lit(1)).alias("_ll_c")))
+    bucket = F.when(finite, F.least(F.floor(share), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    parts = (j.withColumn("_ll_zone", zone)
+             .groupBy(*kk, "_ll_n", "_ll_zone", F.when(within, bucket).alias("_ll_bucket"), F.when(within, F.col("_ll_x")).alias("_ll_value"))
+             .agg(F.count(F.lit(1)).alias("_ll_c"), F.min("_ll_x").alias("_ll_least"), F.max("_ll_x").alias("_ll_most")))
+    parts = materialize(parts, "quantile-parts")
+
+    def rows_in(zones: Column) -> Column:
+        return F.coalesce(F.sum(F.when(zones, F.col("_ll_c"))), F.lit(0))
+    known = parts.groupBy(*kk, "_ll_n").agg(rows_in(under).alias("_ll_below"), rows_in(~over).alias("_ll_upto"),
+                                            F.max(F.when(under, F.col("_ll_most"))).alias("_ll_left"),
+                                            F.min(F.when(over, F.col("_ll_least"))).alias("_ll_right"))
+    inside = parts.where(within).select(*kk, "_ll_bucket", F.col("_ll_value").alias("_ll_x"), "_ll_c")
     pos = (F.col("_ll_n") - 1) * F.lit(q)
     r_lo = F.floor(pos)
     r_hi = F.ceil(pos)
 
     def holds(rank: Column) -> Column:
         return (F.col("_ll_start") <= rank) & (rank < F.col("_ll_end"))
-    known = below.join(bounds.select(*kk, "_ll_n"), kk)
 
     def running(part: Sequence[str], order: str) -> Column:
         return F.sum("_ll_c").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
