@@ -15,7 +15,7 @@ from ledgerlens.functions.dates import (
 )
 from ledgerlens.functions.rules import NEAR_DUP_MAX_DAYS
 from ledgerlens.functions.text import normalize_description
-from ledgerlens.operators.common import Keys
+from ledgerlens.operators.common import Keys, group_hash
 
 
 def normalize_descriptions(df: DataFrame, src: str = "description", out: str = "description",
@@ -68,20 +68,23 @@ def dedup_near(df: DataFrame, keys: Keys = (), window_days: int = 2, id_col: str
         return df
     cols = df.columns
     group = [*keys, "description", "amount"]
-    rows = F.struct(*[F.col(c) for c in cols])
+    # Text and whole-number keys need not travel twice.  Floating-point ones are
+    # kept in the row: groups hold 0.0 and -0.0 as one value.
+    plain = [c for c in (*keys, "description") if df.schema[c].dataType.typeName() in ("string", "byte", "short", "integer", "long")]
+    rows = F.struct(*[F.col(c) for c in cols if c not in plain])
     # NULL-date rows are always kept: each becomes its own group (keyed by its
     # id) and its own window.
     undated = F.when(F.col("date").isNull(), F.col(id_col))
     first_of_day = (
-        df.groupBy(*group, day_number(F.col("date")).alias("_ll_day"), undated.alias("_ll_undated"))
+        df.groupBy(group_hash(df, group).alias("_ll_hash"), day_number(F.col("date")).alias("_ll_day"), *group, undated.alias("_ll_undated"))
         .agg(F.min_by(rows, F.struct("date", id_col)).alias("_ll_row"), F.max("date").alias("_ll_last"))
     )
-    prev = F.lag("_ll_last").over(Window.partitionBy(*group, "_ll_undated").orderBy("_ll_day"))
+    prev = F.lag("_ll_last").over(Window.partitionBy("_ll_hash", *group, "_ll_undated").orderBy("_ll_day"))
     limit = window_days * MICROS_PER_DAY
     return (first_of_day.withColumn("_ll_prev", prev)
             .where(F.col("_ll_prev").isNull() | F.col("_ll_row.date").isNull()
                    | ((micros(F.col("_ll_row.date")) - micros(F.col("_ll_prev"))) > limit))
-            .select("_ll_row.*"))
+            .select(*[F.col(c if c in plain else f"_ll_row.`{c}`").alias(c) for c in cols]))
 
 
 def deduplicate(df: DataFrame, near_dup_window_days: int = 2, keys: Keys = (),

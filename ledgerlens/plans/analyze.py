@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.anomaly import score_anomalies
+from ledgerlens.operators.categorize import categorize_keywords
 from ledgerlens.operators.clean import deduplicate, normalize_dates, normalize_descriptions
 from ledgerlens.operators.common import Keys
 from ledgerlens.operators.filters import filter_period
@@ -34,8 +35,8 @@ def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: in
 
     Descriptions are cleaned after the id shuffle: the shuffle carries the raw
     text only, and the rules run on its partitions however few files the scan
-    has.  The category is a pure function of the clean description and is
-    computed in the same projection."""
+    has.  The category is a pure function of the clean description: it is
+    computed for the rows that stay and no shuffle carries it."""
     obs = (lambda df, stage: audit.observe(df, stage)) if audit is not None else (lambda df, stage: df)
     if period_days is not None:
         # The period filter comes first, as in the source pipeline; it is a
@@ -43,11 +44,12 @@ def clean(ledger: DataFrame, keys: Keys = DEFAULT_KEYS, near_dup_window_days: in
         ledger = filter_period(ledger, period_days, as_of)
     d = obs(ledger, "parse")
     d = with_ledger_ids(d, keys)
-    d = obs(normalize_descriptions(d, src="raw_description", with_category=with_category),
-            "normalize_descriptions")
+    d = obs(normalize_descriptions(d, src="raw_description"), "normalize_descriptions")
     # ids were numbered per account just above: no two rows of an account
     # share one, so the exact pass is skipped (it stays for unioned loads).
     d = obs(deduplicate(d, near_dup_window_days, keys, ids_unique=True), "deduplicate")
+    if with_category:
+        d = categorize_keywords(d)
     return obs(normalize_dates(d), "normalize_dates")
 
 

@@ -28,6 +28,7 @@ from ledgerlens.functions.rules import (
     DESC_VARIANTS,
     PLAID_REQUIRED,
 )
+from ledgerlens.operators.common import group_hash
 
 STANDARD_COLUMNS = ("date", "description", "amount", "raw_description", "source", "transaction_id")
 
@@ -49,23 +50,27 @@ def occurrence_index(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     the row's content, so every branch of the plan and every retry sees the
     same split whatever the partitioning.  Only rows equal in *every* column
     share a bucket.
+
+    Rows are numbered where their (group, bucket) lies and take only offsets
+    above 0 from the other side, few where most lines occur once: the rows are
+    shuffled and sorted once.  The group is one struct, whose null fields are
+    equal to each other, behind its hash, by which the sorts mostly decide.
     """
-    salt = "_ll_salt"
+    salt, group, digest = "_ll_salt", "_ll_group", "_ll_hash"
     # Salt from the row's own content: the ordering columns when given (a line
     # number or row id identifies the row), else every column.
     salt_src = list(order_cols) or list(df.columns)
     d = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in salt_src]), F.lit(buckets)))
-    counts = d.groupBy(*group_cols, salt).agg(F.count(F.lit(1)).alias("_ll_n"))
-    offsets = counts.withColumn(
-        "_ll_off",
-        F.sum("_ll_n").over(Window.partitionBy(*group_cols).orderBy(salt)) - F.col("_ll_n"),
-    ).drop("_ll_n")
-    cond = [d[c].eqNullSafe(offsets[c]) for c in group_cols] + [d[salt] == offsets[salt]]
-    joined = d.join(offsets, cond, "inner").select(d["*"], offsets["_ll_off"])
-    local_order = [F.col(c) for c in order_cols] or [F.lit(1)]
-    local = Window.partitionBy(*group_cols, salt).orderBy(*local_order)
-    return (joined.withColumn(out, (F.row_number().over(local) - 1 + F.col("_ll_off")).cast("long"))
-            .drop(salt, "_ll_off"))
+    local_order = [F.col(c) for c in order_cols if c not in group_cols] or [F.lit(1)]
+    d = d.select(group_hash(df, group_cols).alias(digest), F.struct(*group_cols).alias(group), salt,
+                 *[F.col(c) for c in df.columns if c not in group_cols])
+    counts = d.groupBy(digest, group, salt).agg(F.count(F.lit(1)).alias("_ll_n"))
+    before = F.sum("_ll_n").over(Window.partitionBy(digest, group).orderBy(salt)) - F.col("_ll_n")
+    offsets = counts.select(digest, group, salt, before.alias("_ll_off")).where(F.col("_ll_off") > 0)
+    local = Window.partitionBy(digest, group, salt).orderBy(*local_order)
+    rows = d.withColumn("_ll_local", F.row_number().over(local) - 1).join(offsets, [digest, group, salt], "left")
+    cols = [F.col(f"{group}.{c}").alias(c) if c in group_cols else F.col(c) for c in df.columns]
+    return rows.select(*cols, (F.col("_ll_local") + F.coalesce("_ll_off", F.lit(0))).cast("long").alias(out))
 
 
 def with_transaction_id(df: DataFrame, date_text: str = "date_text", raw: str = "raw_description",
@@ -77,7 +82,7 @@ def with_transaction_id(df: DataFrame, date_text: str = "date_text", raw: str =
     keyed = df.withColumn("_ll_amount_key", amount_key)
     occ = occurrence_index(keyed, [*file_cols, date_text, raw, "_ll_amount_key"], order_cols, "_ll_occ")
     return occ.withColumn(
-        "transaction_id", transaction_id(F.col(date_text), F.col(raw), F.col(amount), F.col("_ll_occ"))
+        "transaction_id", transaction_id(F.col(date_text), F.col(raw), F.col(amount), F.col("_ll_occ"), F.col("_ll_amount_key"))
     ).drop("_ll_occ", "_ll_amount_key")
 
 
