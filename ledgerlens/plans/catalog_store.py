@@ -17,8 +17,7 @@ LOAD2 = "date >= TIMESTAMP '1997-01-01 00:00:00'"
 OR = o.enriched_cte("orders", 2, "e")
 
 
-def _loads(spark, d):
-    e = enriched_orders(spark, d, once=True)
+def _loads(e):
     return (e.where(F.col("date") < F.to_timestamp(F.lit("1998-01-01 00:00:00"))),
             e.where(F.col("date") >= F.to_timestamp(F.lit("1997-01-01 00:00:00"))))
 
@@ -27,7 +26,7 @@ def _loads(spark, d):
 SELECT account_id, transaction_id, date, amount, description FROM l2
 WHERE NOT EXISTS (SELECT 1 FROM l1 WHERE l1.account_id = l2.account_id AND l1.transaction_id = l2.transaction_id)""")
 def q_insert(spark, d):
-    l1, l2 = _loads(spark, d)
+    l1, l2 = _loads(enriched_orders(spark, d, once=True))
     return sto.insert_new(l2, l1, KEYS).select("account_id", "transaction_id", "date", "amount", "description")
 
 
@@ -58,22 +57,22 @@ mg AS (SELECT coalesce(b.account_id, dl.account_id) AS account_id, coalesce(b.no
 FROM b FULL OUTER JOIN dl ON b.account_id = dl.account_id AND b.normalized_name = dl.normalized_name)"""
 
 
-def _merged(spark, d):
-    l1, l2 = _loads(spark, d)
+def _merged(e):
+    l1, l2 = _loads(e)
     base = sto.merchant_delta(l1, KEYS)
     return sto.merge_merchants(base, sto.merchant_delta(l2, KEYS), KEYS)
 
 
 @register("merchant_upsert", f"WITH {OR}, {_MERGE} SELECT * FROM mg")
 def q_upsert(spark, d):
-    return _merged(spark, d)
+    return _merged(enriched_orders(spark, d, once=True))
 
 
 @register("top_merchants", f"""WITH {OR}, {_MERGE}
 SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY total_spent DESC, normalized_name) AS rank FROM mg)
 WHERE rank <= 5""")
 def q_top_merchants(spark, d):
-    return sto.top_merchants_table(_merged(spark, d), KEYS, 5)
+    return sto.top_merchants_table(_merged(enriched_orders(spark, d, once=True)), KEYS, 5)
 
 
 # Analysis runs: one run per (account, calendar year) of the orders ledger,
@@ -173,8 +172,8 @@ SELECT 'transactions' AS table_name, COUNT(*) AS n FROM e
 UNION ALL SELECT 'analysis_runs', COUNT(*) FROM runs
 UNION ALL SELECT 'merchants', COUNT(*) FROM mg""")
 def q_counts(spark, d):
-    return sto.table_counts({"transactions": enriched_orders(spark, d, once=True), "analysis_runs": _runs(spark, d),
-                             "merchants": _merged(spark, d)})
+    e = enriched_orders(spark, d, once=True)  # the transactions counted are those that make the merchants
+    return sto.table_counts({"transactions": e, "analysis_runs": _runs(spark, d), "merchants": _merged(e)})
 
 
 # ---------------------------------------------------------------------------
